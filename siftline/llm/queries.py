@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftline.common import read
-from siftline.llm import key_forms, term_counts
+from siftline.llm import distinctive, key_forms, mix, pack, split, term_counts
 
 
 def _p1_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,42 @@ def p5_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return key_forms.key_forms(read(spark, sf_dir, "msgcounts")).select("key", "form", "repaired")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p5_found, p5_keys)}
+def p7_distinctive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of each key of each message under the message's parsimonious model."""
+    scored = distinctive.distinctiveness(read(spark, sf_dir, "msgcounts"))
+    return scored.select(F.col("record").alias("msg_id"), F.col("term").alias("key"), "freq", "score")
+
+
+def _setting(spark: SparkSession, sf_dir: str, *names: str) -> list[int]:
+    rows = read(spark, sf_dir, "params").where(F.col("param_name").isin(*names)).collect()
+    values = {r["param_name"]: int(r["param_value"]) for r in rows}
+    return [values[n] for n in names]
+
+
+def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document, or piece of an oversized one, lies, for both capacities."""
+    sizes = _setting(spark, sf_dir, "pack_capacity", "pack_capacity_small")
+    return pack.pack(read(spark, sf_dir, "documents"), sizes).withColumnRenamed("id", "doc_id")
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of the mixture and how often each is used."""
+    m = mix.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"))
+    return m.used.withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of each named source."""
+    return mix.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets")).report
+
+
+def p10_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document."""
+    limit, overlap = _setting(spark, sf_dir, "split_limit", "split_overlap")
+    return split.split_texts(read(spark, sf_dir, "documents"), limit, overlap).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p5_found, p5_keys, p7_distinctive, p8_pack, p9_mix, p9_shares, p10_split)}
 
 _P1 = """
 WITH t AS (

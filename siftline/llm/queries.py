@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftline.common import read
-from siftline.llm import distinctive, key_forms, mix, pack, split, term_counts
+from siftline.llm import distinctive, key_forms, mix, near_dup, pack, split, term_counts
 
 
 def _p1_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,20 @@ def p5_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return key_forms.key_forms(read(spark, sf_dir, "msgcounts")).select("key", "form", "repaired")
 
 
+def _p6(spark: SparkSession, sf_dir: str) -> near_dup.NearDuplicates:
+    return near_dup.near_duplicates(read(spark, sf_dir, "mime_parts"), "part_id", "msg", threshold=0.6, min_words=20, features=near_dup.word_hashes)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of parts whose sets of words have a similarity of at least 0.6."""
+    return near_dup.expanded(_p6(spark, sf_dir)).select(F.col("a").alias("part_id_a"), F.col("b").alias("part_id_b"))
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of near duplicates of every part of at least 20 words, and its number of similar classes."""
+    return near_dup.groups(_p6(spark, sf_dir)).withColumnRenamed("id", "part_id")
+
+
 def p7_distinctive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of each key of each message under the message's parsimonious model."""
     scored = distinctive.distinctiveness(read(spark, sf_dir, "msgcounts"))
@@ -68,7 +82,7 @@ def p10_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_texts(read(spark, sf_dir, "documents"), limit, overlap).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p5_found, p5_keys, p7_distinctive, p8_pack, p9_mix, p9_shares, p10_split)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p5_found, p5_keys, p6_found, p6_groups, p7_distinctive, p8_pack, p9_mix, p9_shares, p10_split)}
 
 _P1 = """
 WITH t AS (

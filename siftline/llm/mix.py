@@ -155,7 +155,7 @@ def mix(df: DataFrame, targets: DataFrame, total: float | None = None, target_en
     held = {r["source"]: (r["t"], r["n"]) for r in items.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()}  # one row per named source
     sources = [Source(name, *held.get(name, (0, 0)), t, m) for name, (t, m) in sorted(wanted.items())]
     p = plan(sources, total, target_entropy)
-    rows = [(s.name, s.tokens, int(p.budgets[s.name] // s.tokens), p.budgets[s.name] % s.tokens, max(1, -(-s.records // block_records))) for s in sources if s.name in p.budgets]
+    rows = [(s.name, s.tokens, int(p.budgets[s.name] // s.tokens), float(p.budgets[s.name] % s.tokens), max(1, -(-s.records // block_records))) for s in sources if s.name in p.budgets]
     settings = spark.createDataFrame(rows, "source string, held long, passes int, budget double, blocks long")
 
     place = F.xxhash64(F.lit(seed), "id", "n_tokens")

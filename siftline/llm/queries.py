@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftline.common import read
-from siftline.llm import distinctive, key_forms, mix, near_dup, pack, split, term_counts
+from siftline.llm import distinctive, garbled, key_forms, mix, near_dup, pack, split, term_counts
 
 
 def _p1_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,20 @@ def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p1_marked(spark, sf_dir).select(F.col("term").alias("key"), "good", "bad", "occurrences", F.col("records").alias("messages"), "mark")
 
 
+def _p2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return garbled.find_garbled(read(spark, sf_dir, "mime_parts"), "part_id", "msg").where("garbled").withColumnRenamed("id", "part_id")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts whose text, or some portion of it, was decoded with the wrong charset."""
+    return _p2(spark, sf_dir).select("part_id")
+
+
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those parts with the chain found and, where it can be had, the original text."""
+    return _p2(spark, sf_dir).select("part_id", "written_in", "read_as", "restored")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of wordlist entries whose keys look the same and differ in characters."""
     pairs = key_forms.look_alike_pairs(read(spark, sf_dir, "wordlist"))
@@ -82,7 +96,7 @@ def p10_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_texts(read(spark, sf_dir, "documents"), limit, overlap).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p5_found, p5_keys, p6_found, p6_groups, p7_distinctive, p8_pack, p9_mix, p9_shares, p10_split)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_restored, p5_found, p5_keys, p6_found, p6_groups, p7_distinctive, p8_pack, p9_mix, p9_shares, p10_split)}
 
 _P1 = """
 WITH t AS (

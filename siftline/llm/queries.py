@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftline.common import read
-from siftline.llm import distinctive, garbled, key_forms, mix, near_dup, pack, split, term_counts
+from siftline.llm import distinctive, garbled, key_forms, markup, mix, near_dup, pack, split, term_counts
 
 
 def _p1_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,21 @@ def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _p2(spark, sf_dir).select("part_id", "written_in", "read_as", "restored")
 
 
+def _p4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.clean_markup(read(spark, sf_dir, "mime_parts"), "part_id", "msg").withColumnRenamed("id", "part_id")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts whose text holds a piece of HTML, Markdown, wiki or LaTeX markup."""
+    return _p4(spark, sf_dir).where("html + markdown + wiki + latex > 0").select("part_id")
+
+
+def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clean text of every part, with its numbers of blocks by what they hold."""
+    n = lambda kind: F.size(F.filter("blocks", lambda b: b["kind"] == kind)).alias(f"n_{kind}")
+    return _p4(spark, sf_dir).select("part_id", "clean", n("heading"), n("item"), n("code"), n("formula"), n("row"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of wordlist entries whose keys look the same and differ in characters."""
     pairs = key_forms.look_alike_pairs(read(spark, sf_dir, "wordlist"))
@@ -96,7 +111,7 @@ def p10_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_texts(read(spark, sf_dir, "documents"), limit, overlap).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_restored, p5_found, p5_keys, p6_found, p6_groups, p7_distinctive, p8_pack, p9_mix, p9_shares, p10_split)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_restored, p4_found, p4_clean, p5_found, p5_keys, p6_found, p6_groups, p7_distinctive, p8_pack, p9_mix, p9_shares, p10_split)}
 
 _P1 = """
 WITH t AS (

@@ -7,6 +7,7 @@ batch functions over whole columns, never per-row calls across the JVM border.
 from __future__ import annotations
 
 import binascii
+import codecs
 import re
 
 import pandas as pd
@@ -61,13 +62,12 @@ def uuencoded(raw: bytes) -> bytes:
 def charset_name(name: str | None) -> str:
     """The name Python knows a declared charset by; utf-8 for what it does not know."""
     plain = (name or "").strip().strip("\"'").lower().replace("_", "-")
-    plain = re.sub(r"^iso-(?=\d)", "iso", plain) if not plain.startswith("iso-8859") and not plain.startswith("iso-2022") else plain
     if plain in ("", "us-ascii", "ascii", "default", "unknown-8bit", "x-unknown", "8bit"):
         return "utf-8"
     if plain == "ansi":
         return "cp1252"
     try:
-        b"".decode(plain)
+        codecs.lookup(plain)
     except LookupError:
         return "utf-8"
     return plain

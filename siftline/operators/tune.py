@@ -76,7 +76,7 @@ def split_for_tuning(messages: DataFrame, train_parts: int = 1, score_parts: int
     return messages.withColumn("role", F.when(part < train_parts, "train").otherwise("score")).withColumn("bin", F.pmod(F.shiftrightunsigned(h, 32), F.lit(3)).cast("int"))
 
 
-def grid_scores(counted: DataFrame, grid: Grid, at_once: int = 32) -> DataFrame:
+def grid_scores(counted: DataFrame, grid: Grid, at_once: int = 6) -> DataFrame:
     """idx, id, spamicity of every cell for every message of counted(id, token, good, bad, msgs_good, msgs_bad)."""
     rows = None
     cells = grid.cells()

@@ -324,7 +324,7 @@ def mbox_split(spark, sf_dir):
     """Each mailbox's messages joined as one mbox text and split again."""
     head = F.concat(F.lit("From sender "), F.col("msg_id"), F.lit("\n"))
     one = read(spark, sf_dir, "messages").select(F.pmod(F.xxhash64("msg_id"), F.lit(1000)).alias("box"), F.struct("msg_id", F.concat(head, F.regexp_replace(F.regexp_replace("raw", "\r\n", "\n"), "(?m)^From ", ">From "), F.lit("\n")).alias("m")).alias("s"))
-    boxes = one.groupBy("box").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: F.regexp_replace(s["m"], r"\n*\z", "\n\n")), "").alias("text"))
+    boxes = one.groupBy("box").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: F.concat(F.regexp_replace(s["m"], r"\n+\z", ""), F.lit("\n\n"))), "").alias("text"))
     split = boxes.select(F.explode(mailstores.split_mbox(F.col("text"))).alias("m"))
     return split.groupBy(F.regexp_extract("m", r"^From sender (\S+)", 1).alias("msg_id")).agg(F.count("*").alias("n"))
 

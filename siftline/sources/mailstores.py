@@ -24,7 +24,7 @@ def mbox(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     rows = spark.read.text(paths, lineSep="\n\nFrom ").select(F.col("_metadata.file_path").alias("source"), F.monotonically_increasing_id().alias("position"), F.col("value").alias("v"))
     first = F.col("v").startswith("From ")
     raw = F.when(first, F.col("v")).otherwise(F.concat(F.lit("From "), F.col("v")))
-    return rows.where(F.length(F.trim("v")) > 0).select("source", "position", F.regexp_replace(raw, r"\n*\z", "\n").alias("raw"))
+    return rows.where(F.length(F.trim("v")) > 0).select("source", "position", F.concat(F.regexp_replace(raw, r"\n+\z", ""), F.lit("\n")).alias("raw"))
 
 
 def _directory(spark: SparkSession, path: str, glob: str) -> DataFrame:

@@ -61,3 +61,11 @@ def blank_to_null(c: Column) -> Column:
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once, however often body mentions it (keeps generated code small)."""
     return F.transform(F.array(value), body)[0]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core, for costly work on inputs of a few large files; otherwise (and for streams) the input itself."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -13,6 +13,7 @@ from itertools import product
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from siftline.common import broadcast_if_small, checkpoint
 from siftline.functions.prob import combine, deviates, token_probability
 from siftline.params import Params
 
@@ -123,7 +124,7 @@ def threshold(n_good: int, scores_of_good_desc: list[float]) -> tuple[int, float
 
 def grid_results(scored: DataFrame, labels: DataFrame, grid: Grid, target: int) -> DataFrame:
     """One row per cell: its place and parameters, the cutoff at which `target` good messages are above, fp and fn."""
-    rows = scored.join(F.broadcast(labels) if labels.isLocal() else labels, "id")
+    rows = checkpoint(scored.join(broadcast_if_small(labels), "id"))  # read twice below: cutoffs, then errors at them
     cut = kth_highest(rows.where(~F.col("is_spam")), target).select("idx", F.least(F.col("cutoff"), F.lit(SPAM_CUTOFF)).alias("cutoff"))
     at = rows.join(F.broadcast(cut), "idx")  # one row per cell
     counts = at.groupBy("idx", "cutoff").agg(F.count_if(~F.col("is_spam") & (F.col("spamicity") >= F.col("cutoff"))).alias("fp"), F.count_if(F.col("is_spam") & (F.col("spamicity") < F.col("cutoff"))).alias("fn"))

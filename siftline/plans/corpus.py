@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftline.common import checkpoint, read
+from siftline.common import checkpoint, read, spread
 from siftline.functions.prob import token_probability
 from siftline.operators import score, stats, tokenize, train, wordlist
 from siftline.params import Params
@@ -33,7 +33,7 @@ class Trained:
 
 def trained(spark: SparkSession, sf_dir: str) -> Trained:
     """The count table of the labelled documents. Every message also holds the totals' token, so one aggregate gives both."""
-    docs = read(spark, sf_dir, "documents")
+    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
     found = F.array_distinct(tokenize.token_array(F.col("text"), P))
     held = docs.select(F.col("doc_id").alias("id"), found.alias("t")).where(F.size("t") > 0).select("id", F.explode(F.concat("t", F.array(F.lit(TOTALS)))).alias("token"))
     table = checkpoint(wordlist.register(held, labels(spark, sf_dir)))

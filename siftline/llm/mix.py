@@ -110,7 +110,7 @@ def plan(sources: list[Source], total: float | None = None, target_entropy: floa
         total = total or most
         a = exponent_for_repeats(lambda x: tilted(targets, shares, x), usable, total)
         w = tilted(targets, shares, a)
-    return Plan(a, total, {s.name: min(total * x, s.repeats * s.tokens) for s, x in zip(usable, w, strict=True)})
+    return Plan(a, total, {s.name: min(total * x + 1e-6, s.repeats * s.tokens) for s, x in zip(usable, w, strict=True)})
 
 
 def sized(df: DataFrame, id_col: str, text_col: str, source_col: str, ranks: str) -> DataFrame:

@@ -71,7 +71,11 @@ _TASK = re.compile(r"^(\s*[-*+] )\[[ xX]\] ")
 _STRONG = re.compile(r"\*\*(?=[^\s*])([^*]{0,300}?[^\s*])\*\*(?!\*)")
 _STRONG_ = re.compile(r"(?<![\w_])__(?=[^\s_])([^_]{0,300}?[^\s_])__(?![\w_])")
 _STRIKE = re.compile(r"~~(?=[^\s~])([^~]{0,300}?[^\s~])~~")
-_TICKS = re.compile(r"(`+)(?=[^`\n])([^\n]*?[^`])\1(?!`)")
+_TICKS = re.compile(r"(?<![�\x80-\x9f])(`+)(?=[^`\n])([^\n�\x80-\x9f]*?[^`�\x80-\x9f])\1(?![`�\x80-\x9f])")
+
+# pieces broken by an empty line
+_BROKEN = re.compile(r"(\*\*|~~|```)(?=[^\s*~`])([^*~`]{1,300}?\n[ \t]*\n[^*~`]{0,300}?[^\s*~`])\1(?![*~`])")
+_BROKEN_WIKI = re.compile(r"\[\[([^\[\]]{1,300}?\n[ \t]*\n[^\[\]]{1,300}?)\]\]|\{\{([^{}]{1,300}?\n[ \t]*\n[^{}]{1,300}?)\}\}")
 
 _WIKI_HEAD = re.compile(r"^(={2,6})\s*([^=\s](?:.*[^=\s])?)\s*\1\s*$")
 _TEXTILE = re.compile(r"^(?:h([1-6])|bq)\. +(\S.*)$")
@@ -248,6 +252,11 @@ def blocks_of(text: str) -> tuple[list[Block], Counter]:
     if "<" in text or "&" in text or ">" in text:
         text = _Html(found).convert(text)
     html = found["html"] > 0
+    text, n = _BROKEN.subn(r"\2", text)
+    found["markdown"] += n
+    text, n = _BROKEN_WIKI.subn(lambda m: (m.group(1) or m.group(2)).partition("|")[0], text)
+    found["wiki"] += n
+    found = +found  # no families without pieces
     lines, out, paragraph = text.split("\n"), [], []
 
     def flush() -> None:

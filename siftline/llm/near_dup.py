@@ -141,7 +141,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     reps = prints.groupBy("p").agg(F.min("id").alias("rep"))
     members = prints.join(reps, "p").select("id", "rep")
     chosen = sets.join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
-    near = neighbours(chosen, threshold, region)
+    near = checkpoint(neighbours(chosen, threshold, region))  # two ids a candidate; cuts the long lineage of the levels
     wa, wb = chosen.select(F.col("id").alias("a"), F.col("words").alias("wa")), chosen.select(F.col("id").alias("b"), F.col("words").alias("wb"))
     shared = F.size(F.array_intersect("wa", "wb"))
     found = near.join(wa, "a").join(wb, "b").select("a", "b", F.size("wa").alias("na"), F.size("wb").alias("nb"), shared.alias("n"))

@@ -11,8 +11,13 @@ Neighbours are first compared by SKETCH one-bit minhashes carried along (a bound
 errors below the threshold), then exactly on their word sets.
 
 A pair of similarity s is neighbours at depth d in a tree with probability s**d, and found unless it
-misses in all trees: with 32 trees, for s = 0.7, the chance to miss is 2e-6 at depth 3, 2e-4 at 4,
-3e-3 at 5 and 2e-2 at 6; for s = 0.8 it is below 1e-4 down to depth 6.
+misses in all trees: with 32 trees, for s = 0.7, the chance to miss is 2e-4 at depth 4, 3e-3 at 5 and
+2e-2 at 6; for s = 0.8 it is below 1e-4 down to depth 6.
+
+Plan shape: signatures are computed once and kept at a checkpoint. Regions over the bound are counted by
+partial aggregates of one number a row; they are few, so they are broadcast once their number is known to be small,
+and each row then knows its region without a shuffle. One shuffle brings the rows of a region
+together.
 
 Defined cases: text null, empty or with fewer than min_words distinct words: in no class, no pair. Id null:
 ignored. Repeated ids: the row with the most words counts. Ties: equal sets are one class, smallest id first. Very long texts are taken
@@ -27,10 +32,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siftline.common import checkpoint
+from siftline.common import BROADCAST_BYTES, checkpoint
 from siftline.llm.util import arrow_map, pairs_within, spread
 
-TREES, MIN_DEPTH, MAX_DEPTH = 32, 3, 6
+TREES, MIN_DEPTH, MAX_DEPTH = 32, 4, 6
 REGION = 32
 BLOCK = 1024
 SKETCH = 256
@@ -90,7 +95,7 @@ def _sign(batch: pa.RecordBatch) -> pa.RecordBatch:
     words = batch.column(1)
     flat = words.flatten().to_numpy().view(np.uint64)
     starts = words.offsets.to_numpy()[:-1].astype(np.int64) - words.offsets[0].as_py()
-    regions, bits = signatures(flat, starts) if batch.num_rows else (np.empty((0, TREES, 4), np.int64), np.empty((0, 4), np.int64))
+    regions, bits = signatures(flat, starts) if batch.num_rows else (np.empty((0, TREES, MAX_DEPTH - MIN_DEPTH + 1), np.int64), np.empty((0, SKETCH // 64), np.int64))
     n, trees, depths = regions.shape
     per_tree = pa.ListArray.from_arrays(np.arange(0, n * trees + 1, dtype=np.int32) * depths, regions.reshape(-1))
     trees_of = pa.ListArray.from_arrays(np.arange(0, n + 1, dtype=np.int32) * trees, per_tree)
@@ -102,22 +107,29 @@ _BITS = [f"s{k}" for k in range(SKETCH // 64)]
 _SIGNED = "id long, trees array<array<long>>, " + ", ".join(f"{b} long" for b in _BITS)
 
 
+def _marked(rows: DataFrame, keys: DataFrame, key: Column, name: str, value: str) -> DataFrame:
+    """rows with the value of their key in keys(key, value), null where it has none; broadcast if few keys, else joined by shuffle."""
+    keys = checkpoint(keys)
+    few = keys.count() * 24 <= BROADCAST_BYTES
+    keys = keys.select(F.col("key").alias("_key"), F.col(value).alias(name))
+    return rows.join(F.broadcast(keys) if few else keys, key == F.col("_key"), "left").drop("_key")
+
+
 def neighbours(sets: DataFrame, threshold: float, region: int = REGION) -> DataFrame:
     """Distinct candidate pairs (a, b), a < b, of sets(id, words)."""
-    level = arrow_map(sets.select("id", "words"), _sign, _SIGNED).select("id", *_BITS, F.explode("trees").alias("tree"))
-    depths, settled = MAX_DEPTH - MIN_DEPTH + 1, []
-    for d in range(depths):
-        keyed = level.withColumn("region", F.col("tree")[d])
-        sizes = keyed.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")  # lone texts leave here
-        tagged = keyed.join(sizes, "region")
-        done = tagged if d == depths - 1 else tagged.where(F.col("n") <= region)
-        settled.append(done.select("region", "n", "id", *_BITS))
-        level = tagged.where(F.col("n") > region).drop("region", "n")
-    rows = settled[0]
-    for x in settled[1:]:
-        rows = rows.unionByName(x)
+    signed = checkpoint(arrow_map(sets.select("id", "words"), _sign, _SIGNED))
+    rows = signed.select("id", *_BITS, F.explode("trees").alias("tree"))
+    depths = MAX_DEPTH - MIN_DEPTH + 1
+    rows = rows.withColumn("region", F.col("tree")[0]).withColumn("open", F.lit(True))
+    for d in range(1, depths):
+        crowded = rows.where("open").groupBy(F.col("region").alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > region)
+        rows = _marked(rows, crowded, F.when(F.col("open"), F.col("region")), "_n", "n")
+        rows = rows.withColumn("open", F.col("_n").isNotNull()).drop("_n")
+        rows = rows.withColumn("region", F.when(F.col("open"), F.col("tree")[d]).otherwise(F.col("region")))
     # places: a region is one, unless it is larger than a block at the greatest depth; then it is every pair of its blocks
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    huge = rows.where("open").groupBy(F.col("region").alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    rows = _marked(rows, huge.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")), F.when(F.col("open"), F.col("region")), "parts", "parts")
+    parts = F.coalesce("parts", F.lit(1))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.select("region", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", *_BITS)
     left = rows.select("region", "i", "j", F.col("part").alias("pa"), F.col("id").alias("a"), *[F.col(x).alias(f"a{x}") for x in _BITS])

@@ -97,7 +97,7 @@ def grid_scores(counted: DataFrame, grid: Grid, at_once: int = 6) -> DataFrame:
 
 
 def kth_highest(scores: DataFrame, k: int, by: str = "idx") -> DataFrame:
-    """The k-th highest spamicity of each group; a bounded heap per task and group, no sort of all rows."""
+    """The k-th highest spamicity of each group, for a small k: each task keeps at most k rows a group before the shuffle."""
     top = F.element_at(F.sort_array(F.col("top"), asc=False), k)
     w = W.partitionBy(by).orderBy(F.desc("spamicity"))
     ranked = scores.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)  # row_number <= k is pruned before the shuffle
@@ -105,7 +105,7 @@ def kth_highest(scores: DataFrame, k: int, by: str = "idx") -> DataFrame:
 
 
 def target_of(n_good: int) -> int:
-    """False positives to aim at for so many good messages."""
+    """False positives to aim at for so many good messages; never more than 25."""
     x = math.log(max(n_good, 1))
     return max(int((-0.4831 * x + 12.8976) * x - 61.5264 + 0.5), 1)
 
@@ -163,13 +163,36 @@ def smooth_minimum(results: DataFrame, grid: Grid, target: int) -> DataFrame:
     return judged.withColumn("smooth", smooth).orderBy(F.desc("smooth"), "fn", "cutoff", "idx").limit(1).drop("low", "mean", "n")
 
 
+def order_statistics(scores: DataFrame, ks: list[int], column: str = "spamicity", bins: int = 1024, passes: int = 4) -> list[float]:
+    """The k-th highest of a column in [0, 1] for each k, without sorting or collecting rows.
+
+    Each pass counts the rows by bins of the interval that still holds the wanted place and narrows it
+    to one bin, so `passes` small aggregates reach 1 / bins ** passes; the value is the largest in the last bin.
+    """
+    out = []
+    for k in ks:
+        lo, width, above = 0.0, 1.0, 0
+        for _ in range(passes):
+            inside = scores.where((F.col(column) >= lo) & (F.col(column) <= lo + width))
+            at = F.least(F.floor((F.col(column) - lo) / width * bins), F.lit(bins - 1)).cast("int")
+            counts = dict(inside.groupBy(at.alias("b")).agg(F.count("*").alias("n")).collect())  # at most `bins` rows
+            for b in sorted(counts, reverse=True):
+                if above + counts[b] >= k:
+                    break
+                above += counts[b]
+            lo, width = lo + width * b / bins, width / bins
+        out.append(scores.where((F.col(column) >= lo) & (F.col(column) <= lo + width)).agg(F.max(column)).first()[0])
+    return out
+
+
 def recommended_cutoffs(scored: DataFrame) -> DataFrame:
     """per, cutoff, fp, fn: cutoffs at one false positive per 10000, 2000, 1000 and 500 good messages, where there are that many."""
-    n_good = scored.where(~F.col("is_spam")).count()
+    scored = checkpoint(scored.select("spamicity", "is_spam"))
+    good = scored.where(~F.col("is_spam"))
+    n_good = good.count()
     ks = {per: -(-n_good // per) for per in (10_000, 2_000, 1_000, 500) if n_good >= per}
     if not ks:
         return scored.sparkSession.createDataFrame([], "per int, cutoff double, fp bigint, fn bigint")
-    top = scored.where(~F.col("is_spam")).orderBy(F.desc("spamicity")).limit(max(ks.values())).select("spamicity").collect()  # at most 0.2 % of the good scores, for order statistics
-    cuts = {per: top[k - 1]["spamicity"] for per, k in ks.items()}
+    cuts = dict(zip(ks, order_statistics(good, list(ks.values())), strict=True))
     cells = [F.struct(F.lit(per).alias("per"), F.lit(c).alias("cutoff"), F.lit(n_good // per).cast("bigint").alias("fp"), F.count_if(F.col("is_spam") & (F.col("spamicity") < c)).alias("fn")) for per, c in cuts.items()]
     return scored.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))

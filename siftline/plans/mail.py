@@ -252,7 +252,7 @@ def _tuning(spark, sf_dir):
 def _results(spark, sf_dir):
     counted, truth = _tuning(spark, sf_dir)
     n_good = truth.where("not is_spam").count()
-    target = max(1, n_good // 100)
+    target = tune.target_of(n_good)
     scored = tune.grid_scores(counted, GRID).withColumn("spamicity", F.round("spamicity", 9))
     return checkpoint(tune.grid_results(scored, truth, GRID, target)), target
 
@@ -403,3 +403,57 @@ ORACLE = {
     "sender_rank": "SELECT * FROM (SELECT *, rank() OVER (PARTITION BY source ORDER BY n DESC) AS place FROM (SELECT source, sender, count(*) AS n FROM messages WHERE source IS NOT NULL AND sender IS NOT NULL GROUP BY 1, 2)) WHERE place <= 5",
     "cutoff_for_fp_target": f"WITH {_COUNTED}, {_sql_rated(P)}, {sql_scores('rated', P)}, truth AS (SELECT id, s > 0.5 AS is_spam FROM scored), b AS (WITH {_sql_rated(MULTI)}, {sql_scores('rated', MULTI)} SELECT scored.id, round(s, 9) AS s, is_spam FROM scored JOIN truth USING (id)), g AS (SELECT s, row_number() OVER (ORDER BY s DESC) AS r, count(*) OVER () AS n FROM b WHERE NOT is_spam), c AS (SELECT per, n // per AS fp, s AS cutoff FROM g, (VALUES (10000), (2000), (1000), (500)) v(per) WHERE n >= per AND r = (n + per - 1) // per) SELECT per, round(cutoff, 6) AS cutoff, fp, (SELECT count(*) FROM b WHERE is_spam AND s < c.cutoff) AS fn FROM c",
 }
+
+# --- more statements, for decoding, rendering and tuning ----------------------------------------------
+_LF = "replace(raw, chr(13) || chr(10), chr(10)) || chr(10)"
+_BODY_TOKENS = rf"""b AS (SELECT msg_id, regexp_replace(regexp_extract({_LF}, '(?s)^.*?\n[ \t]*\n(.*)$', 1), '(?s)(-----BEGIN PGP SIGNATURE-----\n).*?(-----END PGP SIGNATURE-----|\z)', '\1\2', 'g') AS body FROM messages),
+bt AS (SELECT msg_id, token FROM (SELECT msg_id, unnest(regexp_extract_all(body, '{RE_TOKEN}')) AS token FROM b) WHERE {KEEP})"""
+_ATTRIBUTES = rf"""l AS (SELECT msg_id, regexp_extract_all(regexp_split_to_array({_LF}, '\n[ \t]*\n')[1], '(?m)^[^\s:]+:[^\n]*(?:\n[ \t][^\n]*)*') AS lines FROM messages),
+v AS (SELECT msg_id, array_to_string(list_transform(list_filter(lines, lambda x: regexp_matches(x, '(?i)^received:')), lambda x: regexp_extract(x, '(?s)^[^:]+:(.*)$', 1)), chr(10)) AS received,
+  regexp_extract(list_filter(lines, lambda x: regexp_matches(x, '(?i)^message-id:'))[1], '(?s)^[^:]+:(.*)$', 1) AS mid FROM l),
+attributes AS (SELECT msg_id, list_filter(regexp_extract_all(received, '\[({RE_IP})\]', 1), lambda a: a <> '127.0.0.1')[1] AS message_addr, trim(regexp_replace(mid, '\s+', ' ', 'g')) AS message_id, nullif(regexp_extract(received, '[ \t]id\s+<?([A-Za-z0-9.\-]+)>?', 1), '') AS queue_id FROM v)"""
+
+
+def _sql_entities(x: str) -> str:
+    number = r"(CASE WHEN regexp_full_match(p, '(?i)&#x[0-9a-f]{1,4};') THEN ('0x' || regexp_extract(p, '(?i)^&#x([0-9a-f]+);$', 1))::INT WHEN regexp_full_match(p, '&#[0-9]{1,5};') THEN regexp_extract(p, '^&#([0-9]+);$', 1)::INT END)"
+    return f"(CASE WHEN contains({x}, '&#') THEN array_to_string(list_transform(regexp_extract_all({x}, '(?is)&#(?:[0-9]{{1,5}}|x[0-9a-f]{{1,4}});|[^&]+|&'), lambda p: CASE WHEN {number} BETWEEN 32 AND 126 OR {number} BETWEEN 160 AND 255 THEN chr({number}) ELSE p END), '') ELSE {x} END)"
+
+
+_BREAK = decode.BREAK_TAGS
+_HTML = "msg"
+for _pattern, _by in (("(?s)<!--.*?(?:-->|\\z)", ""), ("(?s)<![^>]*>", ""), ("(?is)<(?:a|img|font)\\s([^>]*)>", " \\1 "), (f"(?is)<(?:{_BREAK})(?:\\s[^>]*)?/?>", " "), ("(?s)<[^>]*>", "")):
+    _HTML = f"regexp_replace({_HTML}, '{_pattern}', '{_by}', 'g')"
+
+_GRID_CELLS = ", ".join(f"({idx}, {at[0]}, {at[1]}, {at[2]}, {p.robs!r}, {p.min_dev!r}, {p.robx!r})" for idx, at, p in GRID.cells())
+_TRUTH = f"{_COUNTED}, {_sql_rated(P)}, {sql_scores('rated', P)}, truth AS (SELECT id, s > 0.5 AS is_spam FROM scored)"
+_FW_CELL = "(CASE WHEN good + bad > 0 THEN (robs * robx + (good + bad) * (CASE WHEN bad::DOUBLE * mg + good::DOUBLE * ms > 0 THEN bad::DOUBLE * mg / (bad::DOUBLE * mg + good::DOUBLE * ms) ELSE robx END)) / (robs + (good + bad)) ELSE robx END)"
+_TUNED = f"""{_TRUTH}, target AS (SELECT greatest(1, trunc((-0.4831 * x + 12.8976) * x - 61.5264 + 0.5)::BIGINT) AS target FROM (SELECT ln(greatest(count(*) FILTER (NOT is_spam), 1)) AS x FROM truth)),
+grid(idx, rsi, mdi, rxi, robs, min_dev, robx) AS (SELECT a::INT, b::INT, c::INT, d::INT, e::DOUBLE, f::DOUBLE, g::DOUBLE FROM (VALUES {_GRID_CELLS}) v(a, b, c, d, e, f, g)),
+cf AS (SELECT idx, id, robx, min_dev, {_FW_CELL} AS fw FROM counted, grid),
+cs AS (SELECT idx, id, robx, coalesce(sum(-ln(1 - fw)) FILTER (abs(fw - 0.5) > min_dev), 0) AS yi, coalesce(sum(-ln(fw)) FILTER (abs(fw - 0.5) > min_dev), 0) AS yf, count(*) FILTER (abs(fw - 0.5) > min_dev) AS n FROM cf GROUP BY 1, 2, 3),
+cq AS (SELECT idx, id, robx, n, {{tail_i}} AS p, {{tail_f}} AS q FROM cs),
+cell AS (SELECT idx, id, is_spam, round(CASE WHEN n = 0 THEN robx ELSE (1 + q - p) / 2 END, 9) AS s FROM cq JOIN truth USING (id)),
+cut AS (SELECT idx, least(s, 0.975) AS cutoff FROM (SELECT idx, s, row_number() OVER (PARTITION BY idx ORDER BY s DESC) AS r FROM cell WHERE NOT is_spam), target WHERE r = target),
+res AS (SELECT idx, cutoff, count(*) FILTER (NOT is_spam AND s >= cutoff) AS fp, count(*) FILTER (is_spam AND s < cutoff) AS fn FROM cell JOIN cut USING (idx) GROUP BY 1, 2)"""
+
+
+def _tuned() -> str:
+    from siftline.plans.corpus import sql_tail
+
+    return _TUNED.format(tail_i=sql_tail("yi", "n"), tail_f=sql_tail("yf", "n"))
+
+
+ORACLE |= {
+    "message_tokens": f"WITH {_HEADER_TOKENS}, {_BODY_TOKENS} SELECT msg_id, token FROM ht UNION SELECT msg_id, token FROM bt",
+    "message_attributes": f"WITH {_ATTRIBUTES} SELECT * FROM attributes",
+    "html_tokens": f"WITH t AS (SELECT part_id, {_HTML} AS x FROM mime_parts WHERE starts_with(lower(trim(regexp_replace(mime_type, ';.*$', ''))), 'text/html')), e AS (SELECT part_id, {_sql_entities('x')} AS x FROM t), w AS (SELECT part_id, unnest(regexp_extract_all(x, '{RE_TOKEN}')) AS token FROM e) SELECT part_id, token, count(*) AS n FROM w WHERE {KEEP} GROUP BY ALL",
+    "html_entities": f"SELECT part_id, {_sql_entities('msg')} AS msg FROM mime_parts WHERE contains(msg, '&#')",
+    "format_headers": f"WITH {_COUNTED}, {_sql_rated(P)}, {sql_scores('rated', P)}, {_ATTRIBUTES}, z AS (SELECT id, round(s, 6) AS s, status, (SELECT count(*) FROM counted c WHERE c.id = scored.id) AS w FROM scored) SELECT id AS msg_id, 'X-Bogosity: ' || status || ', tests=bayes, spamicity=' || printf('%.6f', s) AS header, status[1] || ' ' || printf('%.6f', CASE WHEN status = 'Spam' THEN 1 - s ELSE s END) || ' ' || printf('%.6f', s) AS terse, 'id=' || coalesce(message_id, 'UNKNOWN') || ' queue=' || coalesce(queue_id, 'UNKNOWN') || ' from=' || coalesce(message_addr, 'UNKNOWN') || ' tokens=' || w || ' ' || printf('%e', s) || ' %' AS log FROM z JOIN attributes ON id = msg_id",
+    "tune_grid": f"WITH {_tuned()} SELECT idx, round(cutoff, 6) AS cutoff, fp, fn, rsi, mdi, rxi, 0 AS spi, 0 AS nsi, round(robs, 6) AS robs, min_dev, robx, 1.0::DOUBLE AS sp_esf, 1.0::DOUBLE AS ns_esf FROM res JOIN grid USING (idx)",
+    "tune_topten": f"WITH {_tuned()} SELECT idx, fp, fn, round(cutoff, 6) AS cutoff FROM res, target WHERE fp = target OR NOT EXISTS (SELECT 1 FROM res r WHERE r.fp = target) ORDER BY fn, res.cutoff, idx LIMIT 10",
+    "tune_smooth_min": f"""WITH {_tuned()}, ord AS (SELECT fn, row_number() OVER (ORDER BY fn, cutoff, idx) - 1 AS at, count(*) OVER () AS n FROM res),
+      q AS (SELECT max(fn) FILTER (at = floor(n * 0.50)) AS med, max(fn) FILTER (at = floor(n * 0.33)) AS third FROM ord),
+      nb AS (SELECT a.idx, CASE WHEN r.fp = target THEN r.fn END AS near FROM grid a JOIN grid b ON abs(a.rsi - b.rsi) + abs(a.mdi - b.mdi) + abs(a.rxi - b.rxi) = 1 LEFT JOIN res r ON r.idx = b.idx, target),
+      j AS (SELECT idx, bool_and(coalesce(near, 2147483647) < med) AS low, avg(near) AS mean, count(near) AS n, max(third) AS third FROM nb, q GROUP BY idx)
+      SELECT res.idx, coalesce(low, FALSE) AND n > 0 AND floor(mean) < third AS smooth, fp, fn, round(cutoff, 6) AS cutoff FROM res JOIN j USING (idx), target WHERE fp = target ORDER BY 2 DESC, fn, res.cutoff, res.idx LIMIT 1""",
+}

@@ -169,3 +169,9 @@ def test_header_tokens(spark):
 def test_verp(spark):
     df = spark.createDataFrame([("list-return-12345-joe=a.org@b.org",), ("joe@a.org",)], "t string")
     assert [r[0] for r in df.select(tokenize.normalise_verp(F.col("t"))).collect()] == ["list-#-joe=a.org@b.org", "joe@a.org"]
+
+
+def test_order_statistics(spark):
+    values = [0.0, 1.0, 0.5, 0.5, 0.25, 0.999999999, 1.0]
+    df = spark.createDataFrame([(v,) for v in values], "spamicity double")
+    assert tune.order_statistics(df, [1, 2, 3, 4, 5, 7]) == [1.0, 1.0, 0.999999999, 0.5, 0.5, 0.0]

@@ -79,7 +79,7 @@ def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_distinctive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of each key of each message under the message's parsimonious model."""
     scored = distinctive.distinctiveness(read(spark, sf_dir, "msgcounts"))
-    return scored.select(F.col("record").alias("msg_id"), F.col("term").alias("key"), "freq", "score")
+    return scored.select(F.col("record").alias("msg_id"), F.col("term").alias("key"), "freq", F.round("score", 9).alias("score"))
 
 
 def _setting(spark: SparkSession, sf_dir: str, *names: str) -> list[int]:
@@ -128,3 +128,28 @@ ORACLE = {
     "p1_found": _P1 + "SELECT key, mark FROM m WHERE mark IS NOT NULL",
     "p1_counts": _P1 + "SELECT * FROM m",
 }
+
+# the same letters as in key_forms, composed ones with marks added; full-width forms lie at a fixed distance
+_FROM = "".join(key_forms.LATIN_TWIN) + "\u0451\u0401\u0457\u0407" + "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+_TO = "".join(key_forms.LATIN_TWIN.values()) + "\u00eb\u00cb\u00ef\u00cf" + "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
+_TO = _TO.replace("'", "''")
+_SHAPE = f"trim(regexp_replace(regexp_replace(translate(nfc_normalize(key), '{_FROM}', '{_TO}'), '[\\x{{00AD}}\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{2064}}\\x{{FEFF}}]', '', 'g'), '[\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{205F}}\\x{{3000}}\\s]', ' ', 'g'))"
+
+ORACLE |= {
+    "p5_found": f"WITH s AS (SELECT entry_id, key, nfc_normalize({_SHAPE}) AS shape FROM wordlist WHERE key IS NOT NULL) SELECT a.entry_id AS entry_id_a, b.entry_id AS entry_id_b FROM s a JOIN s b ON a.shape = b.shape AND a.entry_id < b.entry_id AND a.key <> b.key",
+    "p6_found": """WITH w AS (SELECT DISTINCT part_id, unnest(regexp_extract_all(lower(msg), '[\\p{L}\\p{N}]{3,}')) AS word FROM mime_parts),
+      n AS (SELECT part_id, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 20),
+      s AS (SELECT a.part_id AS x, b.part_id AS y, count(*) AS shared FROM w a JOIN w b ON a.word = b.word AND a.part_id < b.part_id GROUP BY 1, 2)
+      SELECT x AS part_id_a, y AS part_id_b FROM s JOIN n nx ON nx.part_id = x JOIN n ny ON ny.part_id = y WHERE shared >= 0.6 * (nx.n + ny.n - shared)""",
+    "p7_distinctive": f"""WITH RECURSIVE t AS (
+        SELECT msg_id, key, max(greatest(coalesce(freq, 1), 1)) AS freq, max(greatest(coalesce(bad, 0), 0) + greatest(coalesce(good, 0), 0)) AS held,
+          max(CASE WHEN msgs_bad IS NOT NULL AND msgs_good IS NOT NULL THEN greatest(msgs_bad, 0) + greatest(msgs_good, 0) END) AS total
+        FROM msgcounts WHERE msg_id IS NOT NULL AND key <> '' GROUP BY 1, 2),
+      top AS (SELECT max(total) AS top FROM t),
+      k AS (SELECT key, max({{'total': coalesce(total, -1), 'held': held}}) AS m FROM t GROUP BY 1),
+      z AS (SELECT sum(CASE WHEN m.total < 0 THEN 0.5 / (top + 1) ELSE (m.held + 0.5) / (m.total + 1) END) AS mass FROM k, top),
+      b AS (SELECT msg_id, key, freq, (held + 0.5) / (coalesce(total, max(total) OVER (PARTITION BY msg_id), top) + 1) / mass AS b FROM t, top, z),
+      em AS (SELECT 0 AS i, msg_id, key, freq, b, freq / sum(freq) OVER (PARTITION BY msg_id) AS p FROM b
+        UNION ALL SELECT i + 1, msg_id, key, freq, b, e / sum(e) OVER (PARTITION BY msg_id) FROM (SELECT *, freq * {distinctive.OWN_WEIGHT} * p / ({distinctive.OWN_WEIGHT} * p + {1 - distinctive.OWN_WEIGHT} * b) AS e FROM em WHERE i < {distinctive.ITERATIONS}))
+      SELECT msg_id, key, freq::BIGINT AS freq, round(p, 9) AS score FROM em WHERE i = {distinctive.ITERATIONS}""",
+}

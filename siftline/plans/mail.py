@@ -11,7 +11,7 @@ from siftline.functions import decode, mime
 from siftline.functions.prob import token_probability
 from siftline.operators import render, score, stats, tokenize, tune, wordlist
 from siftline.params import Params, from_table
-from siftline.plans.corpus import KEEP, RE_IP, RE_TOKEN, RE_WORD, sql_fw, sql_scores
+from siftline.plans.corpus import KEEP, RE_IP, RE_TOKEN, RE_WORD, sql_classify, sql_fw, sql_scores, sql_tail
 from siftline.sources import mailstores, tables
 from siftline.streaming.auto_update import AutoUpdate
 
@@ -437,11 +437,7 @@ cut AS (SELECT idx, least(s, 0.975) AS cutoff FROM (SELECT idx, s, row_number()
 res AS (SELECT idx, cutoff, count(*) FILTER (NOT is_spam AND s >= cutoff) AS fp, count(*) FILTER (is_spam AND s < cutoff) AS fn FROM cell JOIN cut USING (idx) GROUP BY 1, 2)"""
 
 
-def _tuned() -> str:
-    from siftline.plans.corpus import sql_tail
-
-    return _TUNED.format(tail_i=sql_tail("yi", "n"), tail_f=sql_tail("yf", "n"))
-
+_TUNED = _TUNED.format(tail_i=sql_tail("yi", "n"), tail_f=sql_tail("yf", "n"))
 
 ORACLE |= {
     "message_tokens": f"WITH {_HEADER_TOKENS}, {_BODY_TOKENS} SELECT msg_id, token FROM ht UNION SELECT msg_id, token FROM bt",
@@ -449,11 +445,14 @@ ORACLE |= {
     "html_tokens": f"WITH t AS (SELECT part_id, {_HTML} AS x FROM mime_parts WHERE starts_with(lower(trim(regexp_replace(mime_type, ';.*$', ''))), 'text/html')), e AS (SELECT part_id, {_sql_entities('x')} AS x FROM t), w AS (SELECT part_id, unnest(regexp_extract_all(x, '{RE_TOKEN}')) AS token FROM e) SELECT part_id, token, count(*) AS n FROM w WHERE {KEEP} GROUP BY ALL",
     "html_entities": f"SELECT part_id, {_sql_entities('msg')} AS msg FROM mime_parts WHERE contains(msg, '&#')",
     "format_headers": f"WITH {_COUNTED}, {_sql_rated(P)}, {sql_scores('rated', P)}, {_ATTRIBUTES}, z AS (SELECT id, round(s, 6) AS s, status, (SELECT count(*) FROM counted c WHERE c.id = scored.id) AS w FROM scored) SELECT id AS msg_id, 'X-Bogosity: ' || status || ', tests=bayes, spamicity=' || printf('%.6f', s) AS header, status[1] || ' ' || printf('%.6f', CASE WHEN status = 'Spam' THEN 1 - s ELSE s END) || ' ' || printf('%.6f', s) AS terse, 'id=' || coalesce(message_id, 'UNKNOWN') || ' queue=' || coalesce(queue_id, 'UNKNOWN') || ' from=' || coalesce(message_addr, 'UNKNOWN') || ' tokens=' || w || ' ' || printf('%e', s) || ' %' AS log FROM z JOIN attributes ON id = msg_id",
-    "tune_grid": f"WITH {_tuned()} SELECT idx, round(cutoff, 6) AS cutoff, fp, fn, rsi, mdi, rxi, 0 AS spi, 0 AS nsi, round(robs, 6) AS robs, min_dev, robx, 1.0::DOUBLE AS sp_esf, 1.0::DOUBLE AS ns_esf FROM res JOIN grid USING (idx)",
-    "tune_topten": f"WITH {_tuned()} SELECT idx, fp, fn, round(cutoff, 6) AS cutoff FROM res, target WHERE fp = target OR NOT EXISTS (SELECT 1 FROM res r WHERE r.fp = target) ORDER BY fn, res.cutoff, idx LIMIT 10",
-    "tune_smooth_min": f"""WITH {_tuned()}, ord AS (SELECT fn, row_number() OVER (ORDER BY fn, cutoff, idx) - 1 AS pos, count(*) OVER () AS n FROM res),
+    "tune_grid": f"WITH {_TUNED} SELECT idx, round(cutoff, 6) AS cutoff, fp, fn, rsi, mdi, rxi, 0 AS spi, 0 AS nsi, round(robs, 6) AS robs, min_dev, robx, 1.0::DOUBLE AS sp_esf, 1.0::DOUBLE AS ns_esf FROM res JOIN grid USING (idx)",
+    "tune_topten": f"WITH {_TUNED} SELECT idx, fp, fn, round(cutoff, 6) AS cutoff FROM res, target WHERE fp = target OR NOT EXISTS (SELECT 1 FROM res r WHERE r.fp = target) ORDER BY fn, res.cutoff, idx LIMIT 10",
+    "tune_smooth_min": f"""WITH {_TUNED}, ord AS (SELECT fn, row_number() OVER (ORDER BY fn, cutoff, idx) - 1 AS pos, count(*) OVER () AS n FROM res),
       q AS (SELECT max(fn) FILTER (pos = floor(n * 0.50)) AS med, max(fn) FILTER (pos = floor(n * 0.33)) AS third FROM ord),
       nb AS (SELECT a.idx, CASE WHEN r.fp = target THEN r.fn END AS near FROM grid a JOIN grid b ON abs(a.rsi - b.rsi) + abs(a.mdi - b.mdi) + abs(a.rxi - b.rxi) = 1 LEFT JOIN res r ON r.idx = b.idx CROSS JOIN target),
       j AS (SELECT idx, bool_and(coalesce(near, 2147483647) < med) AS low, avg(near) AS mean, count(near) AS n, max(third) AS third FROM nb CROSS JOIN q GROUP BY idx)
       SELECT res.idx, (coalesce(low, FALSE) AND n > 0 AND floor(mean) < third) AS smooth, fp, fn, round(cutoff, 6) AS cutoff FROM res JOIN j USING (idx) CROSS JOIN target WHERE fp = target ORDER BY smooth DESC, fn, res.cutoff, res.idx LIMIT 1""",
 }
+
+# the documents lie in one file, so they are one batch, all scored against the counts before it
+ORACLE["stream_auto_update"] = f"SELECT doc_id, n_used, spamicity, status FROM ({sql_classify(P)})"

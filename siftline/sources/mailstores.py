@@ -46,7 +46,7 @@ def mh(spark: SparkSession, path: str) -> DataFrame:
 def dotted_batch(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """'MAIL FROM:' ... messages, each ended by a line with a single dot; doubled dots at line starts are one."""
     rows = spark.read.text(paths, lineSep="\n.\n").select(F.col("_metadata.file_path").alias("source"), F.monotonically_increasing_id().alias("position"), F.col("value").alias("v"))
-    body = F.regexp_replace(F.regexp_replace("v", r"(?is)\A.*?^DATA\n|\A(?:MAIL FROM:[^\n]*\n|RCPT TO:[^\n]*\n)+", ""), r"(?m)^\.\.", ".")
+    body = F.regexp_replace(F.regexp_replace("v", r"(?i)\A(?:(?:MAIL FROM|RCPT TO):[^\n]*\n)*(?:DATA\n)?", ""), r"(?m)^\.\.", ".")
     return rows.where(F.length(F.trim("v")) > 0).select("source", "position", body.alias("raw"))
 
 

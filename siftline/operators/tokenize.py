@@ -124,9 +124,19 @@ def body_tokens(df: DataFrame, id_col: str, raw_col: str, p: Params = Params())
     return mails.select("id", F.explode(token_array(without_signature(head_and_body(F.col("raw"))["body"]), p)).alias("token"))
 
 
+BAD_HEADER_END = "spc:invalid_end_of_header"
+
+
+def header_end_tokens(df: DataFrame, id_col: str, raw_col: str) -> DataFrame:
+    """id, token: a marker for messages whose header ends with a line that holds blanks."""
+    blanks = F.regexp_extract(unfolded(F.col(raw_col)), r"(?s)\A.*?\n([ \t]*)\n", 1)
+    return df.where(blanks != "").select(F.col(id_col).alias("id"), F.lit(BAD_HEADER_END).alias("token"))
+
+
 def message_tokens(df: DataFrame, id_col: str, raw_col: str, p: Params = Params()) -> DataFrame:
     """Distinct (id, token) of whole messages."""
-    return header_tokens(df, id_col, raw_col, p).select("id", "token").unionByName(body_tokens(df, id_col, raw_col, p)).distinct()
+    parts = [header_tokens(df, id_col, raw_col, p).select("id", "token"), header_end_tokens(df, id_col, raw_col), body_tokens(df, id_col, raw_col, p)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
 
 
 def without_signature(text: Column) -> Column:

@@ -243,7 +243,7 @@ GRID = tune.Grid(robs=(1.0, 0.1, 0.01), min_dev=(0.1, 0.3, 0.4), robx=(0.52, 0.5
 
 
 def _tuning(spark, sf_dir):
-    """Messages of the count file that a spam sender's label or the registered counts call spam: here, those scored above 1/2 by default parameters."""
+    """(counts, truth) of the count file's messages; spam is what the default parameters score above 1/2."""
     counted = checkpoint(_counted(spark, sf_dir))
     truth = score.scores(score.rated(counted, P), P).select("id", (F.col("spamicity") > 0.5).alias("is_spam"))
     return counted, checkpoint(truth)
@@ -440,7 +440,7 @@ res AS (SELECT idx, cutoff, count(*) FILTER (NOT is_spam AND s >= cutoff) AS fp,
 _TUNED = _TUNED.format(tail_i=sql_tail("yi", "n"), tail_f=sql_tail("yf", "n"))
 
 ORACLE |= {
-    "message_tokens": f"WITH {_HEADER_TOKENS}, {_BODY_TOKENS} SELECT msg_id, token FROM ht UNION SELECT msg_id, token FROM bt",
+    "message_tokens": f"WITH {_HEADER_TOKENS}, {_BODY_TOKENS} SELECT msg_id, token FROM ht UNION SELECT msg_id, token FROM bt UNION SELECT msg_id, 'spc:invalid_end_of_header' FROM messages WHERE regexp_extract(replace(raw, chr(13) || chr(10), chr(10)), '(?s)^.*?\\n([ \\t]*)\\n', 1) <> ''",
     "message_attributes": f"WITH {_ATTRIBUTES} SELECT * FROM attributes",
     "html_tokens": f"WITH t AS (SELECT part_id, {_HTML} AS x FROM mime_parts WHERE starts_with(lower(trim(regexp_replace(mime_type, ';.*$', ''))), 'text/html')), e AS (SELECT part_id, {_sql_entities('x')} AS x FROM t), w AS (SELECT part_id, unnest(regexp_extract_all(x, '{RE_TOKEN}')) AS token FROM e) SELECT part_id, token, count(*) AS n FROM w WHERE {KEEP} GROUP BY ALL",
     "html_entities": f"SELECT part_id, {_sql_entities('msg')} AS msg FROM mime_parts WHERE contains(msg, '&#')",

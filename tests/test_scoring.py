@@ -175,3 +175,9 @@ def test_order_statistics(spark):
     values = [0.0, 1.0, 0.5, 0.5, 0.25, 0.999999999, 1.0]
     df = spark.createDataFrame([(v,) for v in values], "spamicity double")
     assert tune.order_statistics(df, [1, 2, 3, 4, 5, 7]) == [1.0, 1.0, 0.999999999, 0.5, 0.5, 0.0]
+
+
+def test_header_that_ends_in_blanks(spark):
+    df = spark.createDataFrame([("a", "To: x\n \t\nbody text\n"), ("b", "To: x\n\nbody\n \n"), ("c", None)], "id string, raw string")
+    got = {(r["id"], r["token"]) for r in tokenize.message_tokens(df, "id", "raw").collect()}
+    assert {i for i, t in got if t == tokenize.BAD_HEADER_END} == {"a"}

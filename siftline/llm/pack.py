@@ -31,7 +31,7 @@ from siftline.llm.util import arrow_map, spread
 DIMENSIONS, BITS, HASHED = 4, 12, 256
 WINDOW = 4096
 OPEN_CONTAINERS = 4096
-RANGE_ITEMS = 200_000
+RANGE_ITEMS = 50_000
 OUT = "capacity int, container long, position int, id long, piece int, token_start long, n_tokens int"
 
 

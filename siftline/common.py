@@ -56,6 +56,11 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if plan_bytes(df) <= limit else df
 
 
+def broadcast_sized(df: DataFrame, size: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint for a DataFrame whose bytes were counted, if they are below the limit."""
+    return F.broadcast(df) if size <= limit else df
+
+
 def blank_to_null(c: Column) -> Column:
     """'' as null."""
     return F.when(c != "", c)

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from siftline.common import broadcast_if_small
+from siftline.common import broadcast_if_small, broadcast_sized
 from siftline.functions.prob import combine, deviates, status, token_probability
 from siftline.params import EPS, Params
 
 
-def with_counts(tokens: DataFrame, wordlist: DataFrame, msgs_good: int, msgs_bad: int) -> DataFrame:
-    """Distinct (id, token) with the counts of one list; unknown tokens have none. Broadcast only while the list is small."""
+def with_counts(tokens: DataFrame, wordlist: DataFrame, msgs_good: int, msgs_bad: int, size: int | None = None) -> DataFrame:
+    """Distinct (id, token) with the counts of one list; unknown tokens have none. Broadcast only while the list is small: by its counted bytes, if given."""
     table = wordlist.select("token", "good", F.col("spam").alias("bad"))
-    found = tokens.join(broadcast_if_small(table), "token", "left").na.fill(0, ["good", "bad"])
+    table = broadcast_if_small(table) if size is None else broadcast_sized(table, size)
+    found = tokens.join(table, "token", "left").na.fill(0, ["good", "bad"])
     return found.withColumns({"msgs_good": F.lit(msgs_good).cast("bigint"), "msgs_bad": F.lit(msgs_bad).cast("bigint")})
 
 

@@ -29,6 +29,7 @@ class Trained:
     table: DataFrame
     msgs_good: int
     msgs_spam: int
+    size: int  # bytes, counted
 
 
 def trained(spark: SparkSession, sf_dir: str) -> Trained:
@@ -37,13 +38,14 @@ def trained(spark: SparkSession, sf_dir: str) -> Trained:
     found = F.array_distinct(tokenize.token_array(F.col("text"), P))
     held = docs.select(F.col("doc_id").alias("id"), found.alias("t")).where(F.size("t") > 0).select("id", F.explode(F.concat("t", F.array(F.lit(TOTALS)))).alias("token"))
     table = checkpoint(wordlist.register(held, labels(spark, sf_dir)))
-    total = table.where(F.col("token") == TOTALS).first()
-    return Trained(table.where(F.col("token") != TOTALS), total["good"] if total else 0, total["spam"] if total else 0)
+    of_totals = lambda c: F.max(F.when(F.col("token") == TOTALS, F.col(c)))
+    one = table.agg(of_totals("good").alias("good"), of_totals("spam").alias("spam"), F.sum(F.octet_length("token") + 48).alias("size")).first()
+    return Trained(table.where(F.col("token") != TOTALS), one["good"] or 0, one["spam"] or 0, one["size"] or 0)
 
 
 def counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trained(spark, sf_dir)
-    return score.with_counts(doc_tokens(spark, sf_dir), t.table, t.msgs_good, t.msgs_spam)
+    return score.with_counts(doc_tokens(spark, sf_dir), t.table, t.msgs_good, t.msgs_spam, t.size)
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:

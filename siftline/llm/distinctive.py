@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from siftline.common import checkpoint
+from siftline.common import broadcast_sized, checkpoint
 
 OWN_WEIGHT = 0.1
 ITERATIONS = 60
@@ -91,7 +91,7 @@ def _streamed(own_weight: float, iterations: int):
     return run
 
 
-def _spread_em(rows: DataFrame, own_weight: float, iterations: int) -> DataFrame:
+def _spread_em(rows: DataFrame, own_weight: float, iterations: int, size: int) -> DataFrame:
     """The same iteration for records too long for a task: a term's probability follows from its own numbers and the sums so far."""
     rows = checkpoint(rows.withColumn("_salt", F.xxhash64("term")).repartition("_salt").drop("_salt"))
     sums = rows.groupBy("record").agg(F.array(F.sum("freq").cast("double")).alias("sums"))
@@ -104,10 +104,10 @@ def _spread_em(rows: DataFrame, own_weight: float, iterations: int) -> DataFrame
         return F.aggregate(F.slice(sums_col, F.lit(2), F.greatest(F.size(sums_col) - 1, F.lit(0))), first, step)
 
     for _ in range(iterations):
-        at = rows.join(F.broadcast(sums), "record")  # one row per record longer than stream_terms rows
+        at = rows.join(broadcast_sized(sums, size * 3), "record")  # one row per record longer than stream_terms rows
         e = at.withColumn("_e", step(now(F.col("sums")), F.lit(1.0))).groupBy("record", "sums").agg(F.sum("_e").alias("_s"))
         sums = checkpoint(e.select("record", F.concat("sums", F.array("_s")).alias("sums")))
-    return rows.join(F.broadcast(sums), "record").withColumn("score", now(F.col("sums"))).select("record", "term", "freq", "background", "score")
+    return rows.join(broadcast_sized(sums, size * 3), "record").withColumn("score", now(F.col("sums"))).select("record", "term", "freq", "background", "score")
 
 
 def distinctiveness(df: DataFrame, record: str = "msg_id", term: str = "key", own_weight: float = OWN_WEIGHT, iterations: int = ITERATIONS, stream_terms: int = STREAM_TERMS) -> DataFrame:
@@ -125,11 +125,13 @@ def distinctiveness(df: DataFrame, record: str = "msg_id", term: str = "key", ow
 
     long = df.where(F.col(record).isNotNull()).groupBy(F.col(record).cast("string").alias(record)).agg(F.count("*").alias("_n")).where(F.col("_n") > stream_terms).select(record)
     streamed, giants = df, None
-    if long.take(1):  # at most rows / stream_terms records, so they may be broadcast
-        rows = _rows(df.join(F.broadcast(long), record, "left_semi"), record, term, "record", "term")
+    long = checkpoint(long)  # at most rows / stream_terms records
+    if n_long := long.count():
+        size = n_long * 256
+        rows = _rows(df.join(broadcast_sized(long, size), record, "left_semi"), record, term, "record", "term")
         own = rows.groupBy("record").agg(F.max("total").alias("_own"))
-        giants = _spread_em(with_background(rows.join(F.broadcast(own), "record"), F.col("_own")), own_weight, iterations)
-        streamed = df.join(F.broadcast(long), record, "left_anti")
+        giants = _spread_em(with_background(rows.join(broadcast_sized(own, size), "record"), F.col("_own")), own_weight, iterations, size)
+        streamed = df.join(broadcast_sized(long, size), record, "left_anti")
     streamed = with_background(_rows(streamed, record, term, "record"), F.max("total").over(W.partitionBy("record")))
     scored = streamed.sortWithinPartitions("record", "term").mapInArrow(_streamed(own_weight, iterations), OUT)
     return scored.unionByName(giants) if giants is not None else scored

@@ -181,3 +181,23 @@ def test_header_that_ends_in_blanks(spark):
     df = spark.createDataFrame([("a", "To: x\n \t\nbody text\n"), ("b", "To: x\n\nbody\n \n"), ("c", None)], "id string, raw string")
     got = {(r["id"], r["token"]) for r in tokenize.message_tokens(df, "id", "raw").collect()}
     assert {i for i, t in got if t == tokenize.BAD_HEADER_END} == {"a"}
+
+
+def test_split_for_tuning_is_stable_and_proportional(spark):
+    df = spark.range(4000).select(F.col("id").cast("string").alias("id"))
+    one, two = tune.split_for_tuning(df, 4, 1), tune.split_for_tuning(df.repartition(7), 4, 1)
+    assert one.exceptAll(two).isEmpty()
+    n = {(r["role"], r["bin"]): r["count"] for r in one.groupBy("role", "bin").count().collect()}
+    assert len(n) == 6 and 0.76 < sum(v for (role, _), v in n.items() if role == "train") / 4000 < 0.84
+    assert tune.split_for_tuning(df.limit(0)).count() == 0
+
+
+def test_train_on_error_registers_only_what_it_gets_wrong(spark):
+    from siftline.operators.train import train_on_error
+
+    tokens = spark.createDataFrame([(k, t) for k in range(40) for t in (("pills", f"w{k}") if k % 2 else ("meeting", f"w{k}"))], "id bigint, token string")
+    labels = spark.createDataFrame([(k, bool(k % 2)) for k in range(40)], "id bigint, is_spam boolean")
+    p = Params(spam_cutoff=0.9, ham_cutoff=0.1)
+    table = {r["token"]: (r["spam"], r["good"]) for r in train_on_error(tokens, labels, p, rounds=3, parts=4).collect()}
+    assert 0 < table["pills"][0] < 20 and table["pills"][1] == 0 and 0 < table["meeting"][1] < 20
+    assert train_on_error(tokens.limit(0), labels.limit(0), p, rounds=1, parts=2).count() == 0

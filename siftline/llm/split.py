@@ -1,9 +1,11 @@
 """Splitting oversized texts at natural boundaries (problem 10).
 
 Balanced targets: the least number of pieces that can hold the text is computed, their ends are
-placed at equal distances, and each end is moved to the strongest boundary near its target. If any
-piece, encoded on its own, exceeds the limit, one more piece is tried. Consecutive pieces share
-`overlap` tokens of the text's own encoding.
+placed at equal distances, and each end is moved to the strongest boundary near its target, or where
+only strength 1 is near, in all of its range. If that has no other either, but a shorter piece would,
+there is one more piece, and all targets are spread anew: an end has strength 1 only where the size
+limit leaves no other. If any piece, encoded on its own, exceeds the limit, all are tried with a
+token less of room. Consecutive pieces share `overlap` tokens of the text's own encoding.
 
 Boundary strengths: 6 blank line, 5 line end, 4 sentence end, 3 other punctuation, 2 blank, 1 between
 characters. An end inside a character, or whose overlap would begin inside one, is not considered;
@@ -39,6 +41,9 @@ BOUNDARIES = [
 ]
 _BLANK = re.compile(r"\s+")
 
+#: Times the targets are spread, where boundaries needed more pieces.
+REBALANCE = 3
+
 
 class Splitter:
     def __init__(self, limit: int, overlap: int, ranks: str = RANKS):
@@ -64,47 +69,68 @@ class Splitter:
                     strength[m.end() - len(m.group()) + len(m.group().rstrip())] = level
         return char_at, strength[char_at] * (char_at >= 0)
 
-    def cuts(self, text: str, tokens: list[int], pieces: int, char_at: np.ndarray, strength: np.ndarray) -> list[tuple[int, int, int]] | None:
-        """(start, end, strength of the end) in token positions of so many balanced pieces, or None if they don't fit."""
-        n, out, start = len(tokens), [], 0
-        for k in range(pieces - 1, -1, -1):
+    def cuts(self, n: int, pieces: int, room: int, char_at: np.ndarray, strength: np.ndarray) -> list[tuple[int, int, int]] | None:
+        """(start, end, strength of the end) in token positions of pieces of at most room tokens, or None if a character doesn't fit.
+
+        There are as many as asked for, unless a size or a boundary needs more, or the rest fits before.
+        """
+        out, start, k = [], 0, pieces - 1  # k: pieces after this one
+        whole = char_at >= 0
+        clean = whole & np.concatenate((np.zeros(self.overlap, bool), whole[: n + 1 - self.overlap]))
+        natural = clean & (strength > 1)
+        back = np.maximum.accumulate(np.where(whole, np.arange(n + 1), 0))  # the character before
+        reach = max(8, self.limit // 8)
+        while True:
             if k == 0:
-                if n - start > self.limit:
-                    return None
-                out.append((start, n, 0))
-                break
+                if n - start <= room:
+                    out.append((start, n, 0))
+                    return out
+                k = 1
             # an end e leaves n - e + overlap for k pieces that share overlaps among themselves
-            step = (n - start + k * self.overlap) / (k + 1)
-            target = start + round(step)
-            least = max(start + self.overlap + 1, n - k * (self.limit - self.overlap))
-            most = min(start + self.limit, n - 1)
-            if least > most:
-                return None
-            reach = max(8, self.limit // 8)
-            found = None
-            for lo, hi in ((max(least, target - reach), min(most, target + reach)), (least, most)):
-                if lo > hi:
+            target = start + round((n - start + k * self.overlap) / (k + 1))
+            lowest, most = start + self.overlap + 1, min(start + room, n - 1)
+            least = max(lowest, n - k * (room - self.overlap))
+
+            span = slice(least, max(least, most + 1))
+
+            def nearest(ok: np.ndarray) -> int | None:
+                every = np.flatnonzero(ok) + least  # noqa: B023
+                near = every[np.abs(every - target) <= reach]  # noqa: B023
+                at = near if len(near) else every
+                return int(at[np.argmax(strength[at] - np.abs(at - target) / (4.0 * self.limit))]) if len(at) else None  # noqa: B023
+
+            found = nearest(natural[span])
+            if found is None:
+                if n - start <= room:  # no boundary, and none needed
+                    k = 0
+                    continue
+                if least > lowest and (least > most or natural[lowest:least].any()):
+                    k += 1
                     continue
-                at = np.arange(lo, hi + 1)
-                score = strength[at].astype(float)
-                clean = (char_at[at] >= 0) & (char_at[at - self.overlap] >= 0)
-                if clean.any():
-                    score = np.where(clean, score - np.abs(at - target) / (4.0 * self.limit), -1)
-                    found = int(at[np.argmax(score)])
-                    break
-                if hi - lo == most - least and (char_at[at] >= 0).any():
-                    score = np.where(char_at[at] >= 0, score - np.abs(at - target) / (4.0 * self.limit), -1)
-                    found = int(at[np.argmax(score)])
+                found = nearest(clean[span])
+            if found is None and least <= most:
+                found = nearest(whole[span] & (back[least - self.overlap : most + 1 - self.overlap] > start))
             if found is None:
-                return None
+                if least == lowest:
+                    return None
+                k += 1
+                continue
             out.append((start, found, int(strength[found])))
-            begin = found - self.overlap
-            while char_at[begin] < 0:
-                begin -= 1
-            if begin <= start:
+            start, k = int(back[found - self.overlap]), k - 1
+
+    def balanced(self, n: int, pieces: int, room: int, char_at: np.ndarray, strength: np.ndarray) -> list[tuple[int, int, int]] | None:
+        """cuts; where they became more than asked for, spread anew over their number, and the fewest taken."""
+        best = None
+        for _ in range(REBALANCE):
+            cuts = self.cuts(n, pieces, room, char_at, strength)
+            if cuts is None:
                 return None
-            start = begin
-        return out
+            if best is None or len(cuts) <= len(best):
+                best = cuts
+            if len(cuts) <= pieces:
+                break
+            pieces = len(cuts)
+        return best
 
     def split(self, text: str | None) -> list[tuple[int, int, int, int, int, str]]:
         """(char_start, char_end, n_tokens, overlap_tokens, strength, text) of each piece."""
@@ -114,22 +140,22 @@ class Splitter:
         if n <= self.limit:
             return [(0, len(text), n, 0, 0, text)]
         char_at, strength = self._places(text, tokens)
-        pieces = -(-(n - self.overlap) // (self.limit - self.overlap))
-        while True:
-            cuts = self.cuts(text, tokens, pieces, char_at, strength)
-            if cuts:
-                out, before = [], 0
-                for start, end, s in cuts:
-                    a, b = int(char_at[start]), int(char_at[end]) if end < n else len(text)
-                    piece = text[a:b]
-                    size = len(self.encoding.encode_ordinary(piece))
-                    out.append((a, b, size, before - start if out else 0, s, piece))
-                    before = end
-                if all(x[2] <= self.limit for x in out):
-                    return out
-            pieces += 1
-            if pieces > 2 * n:
-                raise ValueError("the limit can't hold a single character with its overlap")
+        room = self.limit
+        while room > self.overlap:
+            cuts = self.balanced(n, -(-(n - self.overlap) // (room - self.overlap)), room, char_at, strength)
+            if cuts is None:
+                break
+            out, before = [], 0
+            for start, end, s in cuts:
+                a, b = int(char_at[start]), int(char_at[end]) if end < n else len(text)
+                piece = text[a:b]
+                size = len(self.encoding.encode_ordinary(piece))
+                out.append((a, b, size, before - start if out else 0, s, piece))
+                before = end
+            if all(x[2] <= self.limit for x in out):
+                return out
+            room -= 1
+        raise ValueError("the limit can't hold a single character with its overlap")
 
 
 def split_texts(df: DataFrame, limit: int, overlap: int, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS) -> DataFrame:

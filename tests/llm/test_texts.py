@@ -271,6 +271,22 @@ def test_natural_boundaries_are_taken():
     assert strengths.count(6) >= 0.6 * len(strengths) and min(strengths) >= 2
 
 
+def test_no_end_is_forced_while_a_boundary_is_in_reach():
+    rng = random.Random(3)
+    runs = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(150, 500))) for _ in range(60)]
+    texts = [" ".join(runs), "".join(r + rng.choice([". ", "\n\n", ", ", " "]) for r in runs * 4)]
+    s = split.Splitter(400, 40)
+    for text in texts:
+        tokens = s.encoding.encode_ordinary(text)
+        char_at, strength = s._places(text, tokens)
+        at = {int(c): k for k, c in enumerate(char_at) if c >= 0}
+        pieces = s.split(text)
+        assert len(pieces) > 20 and len(pieces) <= 1.5 * len(tokens) / 360
+        for p in pieces[:-1]:
+            reach = np.arange(at[p[0]] + 41, min(at[p[0]] + 400, len(tokens) - 1) + 1)
+            assert p[4] > 1 or not ((strength[reach] > 1) & (char_at[reach - 40] >= 0)).any()
+
+
 def test_split_edge_cases(spark):
     rows = [(1, None, None), (2, "", None), (None, "short", None), (4, "w " * 500, None), (4, "w " * 500, None)]
     got = Counter((r["id"], r["piece"]) for r in split.split_texts(docs(spark, rows), 400, 40).collect())

@@ -2,22 +2,22 @@
 
 A text is its set of distinct words; texts with equal sets are one class with the smallest id as
 representative, and only representatives go on. Each of TREES trees orders them by a signature of
-minhash values; texts that share a long prefix in some tree are neighbours there. The depth adapts to
-the region: a region is the set of texts with a common prefix, it starts at MIN_DEPTH values, and as
-long as it holds more than REGION texts it is divided by the next value, down to MAX_DEPTH. What is
-still larger then is compared completely, in blocks spread over tasks, so no bucket is capped.
+minhash values; texts that share a prefix of DEPTH values in some tree are neighbours there, the region
+of that prefix. Every region is compared completely, however many texts it holds, those of more than
+BLOCK in blocks spread over tasks: no region is capped or divided further, as that would lose pairs of
+large families that small ones keep.
 
 Neighbours are first compared by SKETCH one-bit minhashes carried along (a bound many standard
 errors below the threshold), then exactly on their word sets.
 
-A pair of similarity s is neighbours at depth d in a tree with probability s**d, and found unless it
-misses in all trees: with 40 trees, for s = 0.7, the chance to miss is 2e-5 at depth 4, 6e-4 at 5 and
-7e-3 at 6; for s = 0.8 it is below 1e-5 down to depth 6.
+A pair of similarity s is neighbours in a tree with probability s**DEPTH, and found unless it misses in
+all trees. With 40 trees of depth 4 the chance to miss is 4e-3 for s = 0.6, 2e-5 for s = 0.7 and below
+1e-8 for s = 0.8, whatever the size of its region.
 
-Plan shape: signatures are computed once and kept at a checkpoint. Regions over the bound are counted by
+Plan shape: signatures are computed once and kept at a checkpoint. Regions over a block are counted by
 partial aggregates of one number a row; they are few, so they are broadcast once their number is known to be small,
-and each row then knows its region without a shuffle. One shuffle brings the rows of a region
-together.
+and each row then knows its blocks without a shuffle. One shuffle brings the rows of a block
+together. The work grows with the square of a crowded region, as do the pairs of a family.
 
 Defined cases: text null, empty or with fewer than min_words distinct words: in no class, no pair. Id null:
 ignored. Repeated ids: the row with the most words counts. Ties: equal sets are one class, smallest id first. Very long texts are taken
@@ -35,8 +35,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from siftline.common import BROADCAST_BYTES, checkpoint
 from siftline.llm.util import arrow_map, pairs_within, spread
 
-TREES, MIN_DEPTH, MAX_DEPTH = 40, 4, 6
-REGION = 32
+TREES, DEPTH = 40, 4
 BLOCK = 1024
 SKETCH = 256
 WORD = r"[\p{L}\p{N}]{3,}"
@@ -74,37 +73,33 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(regions: texts x trees x depths, sketch: texts x SKETCH/64) of word hashes laid end to end; every text has a word."""
+    """(regions: texts x trees, sketch: texts x SKETCH/64) of word hashes laid end to end; every text has a word."""
     n = len(starts)
-    a, b = _functions(max(SKETCH, TREES * MAX_DEPTH))
+    a, b = _functions(max(SKETCH, TREES * DEPTH))
     mins = np.empty((len(a), n), np.uint32)
     for f in range(len(a)):
         mins[f] = np.minimum.reduceat(((flat * a[f] + b[f]) >> np.uint64(32)).astype(np.uint32), starts)
     bits = np.packbits((mins[:SKETCH] & 1).astype(np.uint8).T, axis=1).copy().view(np.int64)
-    values = mins[: TREES * MAX_DEPTH].reshape(TREES, MAX_DEPTH, n).astype(np.uint64)
+    values = mins[: TREES * DEPTH].reshape(TREES, DEPTH, n).astype(np.uint64)
     key = np.repeat(np.arange(1, TREES + 1, dtype=np.uint64)[:, None], n, axis=1)
-    regions = np.empty((n, TREES, MAX_DEPTH - MIN_DEPTH + 1), np.int64)
-    for d in range(MAX_DEPTH):
+    for d in range(DEPTH):
         key = _mix(key * np.uint64(0x100000001B3) + values[:, d])
-        if d + 1 >= MIN_DEPTH:
-            regions[:, :, d + 1 - MIN_DEPTH] = key.T.view(np.int64)
-    return regions, bits
+    return np.ascontiguousarray(key.T).view(np.int64), bits
 
 
 def _sign(batch: pa.RecordBatch) -> pa.RecordBatch:
     words = batch.column(1)
     flat = words.flatten().to_numpy().view(np.uint64)
     starts = words.offsets.to_numpy()[:-1].astype(np.int64) - words.offsets[0].as_py()
-    regions, bits = signatures(flat, starts) if batch.num_rows else (np.empty((0, TREES, MAX_DEPTH - MIN_DEPTH + 1), np.int64), np.empty((0, SKETCH // 64), np.int64))
-    n, trees, depths = regions.shape
-    per_tree = pa.ListArray.from_arrays(np.arange(0, n * trees + 1, dtype=np.int32) * depths, regions.reshape(-1))
-    trees_of = pa.ListArray.from_arrays(np.arange(0, n + 1, dtype=np.int32) * trees, per_tree)
+    regions, bits = signatures(flat, starts) if batch.num_rows else (np.empty((0, TREES), np.int64), np.empty((0, SKETCH // 64), np.int64))
+    n, trees = regions.shape
+    trees_of = pa.ListArray.from_arrays(np.arange(0, n + 1, dtype=np.int32) * trees, regions.reshape(-1))
     cols = [batch.column(0), trees_of] + [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(SKETCH // 64)]
     return pa.RecordBatch.from_arrays(cols, ["id", "trees", *_BITS])
 
 
 _BITS = [f"s{k}" for k in range(SKETCH // 64)]
-_SIGNED = "id long, trees array<array<long>>, " + ", ".join(f"{b} long" for b in _BITS)
+_SIGNED = "id long, trees array<long>, " + ", ".join(f"{b} long" for b in _BITS)
 
 
 def _marked(rows: DataFrame, keys: DataFrame, key: Column, name: str, value: str) -> DataFrame:
@@ -115,20 +110,13 @@ def _marked(rows: DataFrame, keys: DataFrame, key: Column, name: str, value: str
     return rows.join(F.broadcast(keys) if few else keys, key == F.col("_key"), "left").drop("_key")
 
 
-def neighbours(sets: DataFrame, threshold: float, region: int = REGION) -> DataFrame:
-    """Distinct candidate pairs (a, b), a < b, of sets(id, words)."""
+def neighbours(sets: DataFrame, threshold: float, region: int = BLOCK) -> DataFrame:
+    """Distinct candidate pairs (a, b), a < b, of sets(id, words); regions of more than `region` texts are compared in blocks of about so many."""
     signed = checkpoint(arrow_map(sets.select("id", "words"), _sign, _SIGNED))
-    rows = signed.select("id", *_BITS, F.explode("trees").alias("tree"))
-    depths = MAX_DEPTH - MIN_DEPTH + 1
-    rows = rows.withColumn("region", F.col("tree")[0]).withColumn("open", F.lit(True))
-    for d in range(1, depths):
-        crowded = rows.where("open").groupBy(F.col("region").alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > region)
-        rows = _marked(rows, crowded, F.when(F.col("open"), F.col("region")), "_n", "n")
-        rows = rows.withColumn("open", F.col("_n").isNotNull()).drop("_n")
-        rows = rows.withColumn("region", F.when(F.col("open"), F.col("tree")[d]).otherwise(F.col("region")))
-    # places: a region is one, unless it is larger than a block at the greatest depth; then it is every pair of its blocks
-    huge = rows.where("open").groupBy(F.col("region").alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    rows = _marked(rows, huge.withColumn("parts", F.ceil(F.col("n") / BLOCK).cast("int")), F.when(F.col("open"), F.col("region")), "parts", "parts")
+    rows = signed.select("id", *_BITS, F.explode("trees").alias("region"))
+    # places: a region is one, unless it is larger than a block; then it is every pair of its blocks
+    huge = rows.groupBy(F.col("region").alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > region)
+    rows = _marked(rows, huge.withColumn("parts", F.ceil(F.col("n") / region).cast("int")), F.col("region"), "parts", "parts")
     parts = F.coalesce("parts", F.lit(1))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.select("region", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", *_BITS)
@@ -142,7 +130,7 @@ def neighbours(sets: DataFrame, threshold: float, region: int = REGION) -> DataF
     return left.join(right, ["region", "i", "j"]).where((F.col("a") < F.col("b")) & placed & (differing <= F.lit(int(most)))).select("a", "b").distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, min_words: int = 1, features=shingle_hashes, region: int = REGION) -> NearDuplicates:
+def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.8, min_words: int = 1, features=shingle_hashes, region: int = BLOCK) -> NearDuplicates:
     """Classes of equal sets and all pairs of representatives whose sets have a Jaccard similarity of at least threshold."""
     rows = spread(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
     rows = rows.select("id", F.coalesce(features(F.col("text")), F.array().cast("array<long>")).alias("words")).where(F.size("words") >= max(1, min_words))
@@ -153,7 +141,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, threshold: float
     reps = prints.groupBy("p").agg(F.min("id").alias("rep"))
     members = prints.join(reps, "p").select("id", "rep")
     chosen = sets.join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
-    near = checkpoint(neighbours(chosen, threshold, region))  # two ids a candidate; cuts the long lineage of the levels
+    near = checkpoint(neighbours(chosen, threshold, region))  # two ids a candidate
     wa, wb = chosen.select(F.col("id").alias("a"), F.col("words").alias("wa")), chosen.select(F.col("id").alias("b"), F.col("words").alias("wb"))
     shared = F.size(F.array_intersect("wa", "wb"))
     found = near.join(wa, "a").join(wb, "b").select("a", "b", F.size("wa").alias("na"), F.size("wb").alias("nb"), shared.alias("n"))

@@ -158,6 +158,14 @@ def test_near_duplicates_equal_brute_force(spark, region):
     assert group == {k: root(k) for k in group}
 
 
+def test_a_large_family_keeps_the_miss_rate(spark):
+    common = " ".join(f"base{k}x" for k in range(98))
+    texts = [(i, common + " " + " ".join(f"own{i}v{j}" for j in range(21)), None) for i in range(500)]  # every pair at s = 0.7
+    found = near_dup.near_duplicates(docs(spark, texts), "doc_id", "text", 0.69, 20, near_dup.word_hashes)
+    every = 500 * 499 // 2
+    assert every * (1 - 2e-4) <= found.pairs.count() <= every
+
+
 def test_near_duplicates_edge_cases(spark):
     empty = near_dup.near_duplicates(docs(spark, []), "doc_id", "text")
     assert empty.members.count() == 0 and near_dup.expanded(empty).count() == 0 and near_dup.groups(empty).count() == 0

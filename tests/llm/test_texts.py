@@ -54,6 +54,15 @@ def test_garbled_texts_come_back(model, chain):
     assert np.mean([f[1] == t for (t, _), f in zip(made, found, strict=True)]) >= 0.8
 
 
+def test_portions_of_six_chains_come_back(model):
+    chains = [("ru", ("utf-8", "cp1251")), ("de", ("utf-8", "cp1252")), ("pl", ("utf-8", "cp437")), ("fr", ("utf-8", "koi8-r")), ("ru", ("koi8-r", "cp1251")), ("pl", ("utf-8", "mac-roman"))]
+    parts = [" ".join(WORDS[name].split()[:10]) for name, _ in chains]
+    text = " and so on in plain words ".join(parts)
+    bad = " and so on in plain words ".join(garbled.garble(t, (step,)) for t, (_, step) in zip(parts, chains, strict=True))
+    found, restored, steps, _ = model.repair(bad)
+    assert found and len(steps) > 4 and restored == text
+
+
 def test_one_word_and_one_character(model):
     text = "ein langer Satz über schöne Gärten und große Häuser prüften"
     assert model.repair(text.replace("Gärten", "GÃ¤rten"))[1] == text

@@ -1,19 +1,25 @@
 """Messages delivered more than once: keep exactly one copy of each identifier.
 
-Identifiers that carry a producer and a running number (``<date>.<number>.qm@host``,
-``<hex counter>.<name>@host`` and the like) are split into (producer, number). What was seen of a
-producer is a set of disjoint number ranges; a number outside all ranges is accepted once and the
-ranges grow and merge. Identifiers without a number are looked up exactly.
+An identifier names a host and, in most spellings, a running number; the producer is the host with the
+number's base, without whatever random or constant parts stand beside the number. What was seen of a
+producer is a set of disjoint number ranges. A number outside all ranges can't have been seen, so its
+identifier is accepted at once and the ranges grow and merge. Only where a number is covered, and for
+identifiers without a number, the whole identifier is looked up exactly among those accepted: a number
+may stand in identifiers that differ elsewhere.
+
+Batches are folded in order, each against the state that the ones before left (fold); the rows do not
+depend on where the batches are cut.
 
 Plan shape: copies are reduced to one candidate per identifier by a partial aggregate before any
 sort, so a mail that makes up a third of the table costs one row per map task. Ranges live in
 (producer, block of 2**BLOCK_BITS numbers): a window partition holds at most that many distinct
-numbers, however busy the producer is.
+numbers, however busy the producer is. The exact lookup is a join of the few covered candidates.
 
 Defined cases: identifier null, empty or only brackets/blanks: shared by nobody, always kept, never
 in the state. Rows with the same delivery id and identifier are one delivery. A null delivery id
 sorts before every other. Ties do not exist beyond that: the smallest delivery id is the copy kept.
-Extra columns of the input are never read.
+Numbers of more than 18 decimal or 15 hexadecimal digits count as no number. Extra columns of the
+input are never read.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from siftline.common import let
+from siftline.common import checkpoint, let
 
 BLOCK_BITS = 16
 RANGE_SCHEMA = "producer string, block long, lo long, hi long"
@@ -31,7 +37,7 @@ EXACT_SCHEMA = "ident string"
 
 @dataclass
 class Seen:
-    """What earlier batches accepted: number ranges per producer, and exact keys."""
+    """What earlier batches accepted: number ranges per producer, and the identifiers themselves."""
 
     ranges: DataFrame
     exact: DataFrame
@@ -58,31 +64,23 @@ def identifier(raw: Column) -> Column:
     return let(core, lambda s: F.when(s != "", F.concat(F.regexp_replace(s, "@[^@]*$", ""), F.lower(F.regexp_extract(s, "(@[^@]*)$", 1)))))
 
 
-_SEP = r"[.\-=_+]"
-_DEC = rf"^((?:.*{_SEP})?)([0-9]{{9,18}})((?:{_SEP}[^@]*)?@.*)$"
-_HEX_LOWER = rf"^((?:.*{_SEP})?)((?=[0-9a-f]*[a-f])[0-9a-f]{{9,15}})((?:{_SEP}[^@]*)?@.*)$"
-_HEX_UPPER = rf"^((?:.*{_SEP})?)((?=[0-9A-F]*[A-F])[0-9A-F]{{9,15}})((?:{_SEP}[^@]*)?@.*)$"
-
-
 def split_sequence(ident: Column) -> Column:
-    """struct(producer, seq) of an identifier; both null where it holds no running number.
+    """struct(producer, seq) of an identifier; null where it holds no running number.
 
-    The split is one to one: the producer keeps everything around the number, the number's base,
-    letter case and, through its width, leading zeros. Braces mark the number's place, so an
-    identifier that has one itself is left to the exact lookup.
+    The number is the longest field of the local part (the last of equally long ones) that is written in
+    decimal digits, or in hexadecimal ones of one letter case with a digit among them.
     """
+    local = F.regexp_replace(ident, "@[^@]*$", "")
+    host = F.regexp_extract(ident, "(@[^@]*)$", 1)
+    fields = F.transform(F.split(local, r"[.\-=_+]"), lambda x, k: F.struct(F.length(x).alias("size"), k.alias("at"), x.alias("digits")))
+    kind = lambda x: F.when(x.rlike("^[0-9]{1,18}$"), "d").when(x.rlike("^(?=[a-f]*[0-9])[0-9a-f]{1,15}$"), "x").when(x.rlike("^(?=[A-F]*[0-9])[0-9A-F]{1,15}$"), "X")
 
-    def place(pattern: str, kind: str):
-        return lambda s: F.regexp_replace(s, pattern, f"$1{{{kind}}}$3")
-
-    def parts(s: Column) -> Column:
-        def made(pattern: str, kind: str, number) -> Column:
-            return let(F.regexp_extract(s, pattern, 2), lambda d: F.when(d != "", F.struct(F.concat(place(pattern, kind)(s), F.length(d).cast("string")).alias("producer"), number(d).alias("seq"))))
+    def named(n: Column) -> Column:
+        digits = n["digits"]
+        number = F.when(kind(digits) == "d", digits.try_cast("long")).otherwise(F.conv(digits, 16, 10).try_cast("long"))
+        return F.when(n.isNotNull(), F.struct(F.concat(kind(digits), host).alias("producer"), number.alias("seq")))
 
-        base16 = lambda d: F.conv(d, 16, 10).cast("long")
-        return F.coalesce(made(_DEC, "d", lambda d: d.cast("long")), made(_HEX_LOWER, "x", base16), made(_HEX_UPPER, "X", base16))
-
-    return let(F.when(~ident.contains("{"), ident), parts)
+    return let(F.array_max(F.filter(fields, lambda f: kind(f["digits"]).isNotNull())), named)
 
 
 def parsed(deliveries: DataFrame, id_col: str, ident_col: str) -> DataFrame:
@@ -105,29 +103,56 @@ def merge_ranges(ranges: DataFrame) -> DataFrame:
     )
 
 
-def uncovered(numbers: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The rows of numbers(producer, block, seq, delivery_id) that lie in no range: one sort, no join of pairs."""
-    both = numbers.select("producer", "block", F.col("seq").alias("at"), F.lit(1).alias("is_number"), F.lit(None).cast("long").alias("hi"), "delivery_id").unionByName(
-        ranges.select("producer", "block", F.col("lo").alias("at"), F.lit(0).alias("is_number"), "hi", F.lit(None).cast("string").alias("delivery_id"))
+def coverage(numbers: DataFrame, ranges: DataFrame) -> DataFrame:
+    """numbers(producer, block, seq, ident, delivery_id) with covered, whether a range holds seq: one sort, no join of pairs."""
+    none = F.lit(None).cast("string")
+    both = numbers.select("producer", "block", F.col("seq").alias("at"), F.lit(1).alias("is_number"), F.lit(None).cast("long").alias("hi"), "ident", "delivery_id").unionByName(
+        ranges.select("producer", "block", F.col("lo").alias("at"), F.lit(0).alias("is_number"), "hi", none.alias("ident"), none.alias("delivery_id"))
     )
     w = W.partitionBy("producer", "block").orderBy("at", "is_number").rowsBetween(W.unboundedPreceding, 0)
-    reach = F.max("hi").over(w)
-    return both.withColumn("_reach", reach).where((F.col("is_number") == 1) & (F.col("_reach").isNull() | (F.col("_reach") < F.col("at")))).select("producer", "block", F.col("at").alias("seq"), "delivery_id")
+    covered = F.coalesce(F.max("hi").over(w) >= F.col("at"), F.lit(False))
+    return both.withColumn("covered", covered).where("is_number = 1").select("producer", "block", F.col("at").alias("seq"), "ident", "delivery_id", "covered")
 
 
 def accept(deliveries: DataFrame, seen: Seen | None = None, id_col: str = "msg_id", ident_col: str = "message_id") -> Outcome:
     """One batch: which deliveries are first copies, which repeat something, and the new state."""
-    seen = seen or empty_seen(deliveries.sparkSession)
-    rows = parsed(deliveries, id_col, ident_col)
+    return accept_parsed(parsed(deliveries, id_col, ident_col), seen)
+
+
+def accept_parsed(rows: DataFrame, seen: Seen | None = None) -> Outcome:
+    """accept() of rows as parsed() gives them."""
+    seen = seen or empty_seen(rows.sparkSession)
     # one candidate per identifier, with map-side combine: hot identifiers collapse before the shuffle
-    first = rows.where("ident is not null").groupBy("producer", "seq", F.when(F.col("producer").isNull(), F.col("ident")).alias("ident")).agg(F.min("delivery_id").alias("delivery_id"))
-    numbers = first.where("producer is not null").select("producer", F.shiftright("seq", BLOCK_BITS).alias("block"), "seq", "delivery_id")
-    fresh = uncovered(numbers, seen.ranges)
-    others = first.where("producer is null").select("ident", "delivery_id").join(seen.exact.select("ident"), "ident", "left_anti")
-    kept = fresh.select("delivery_id").unionByName(others.select("delivery_id")).withColumn("_kept", F.lit(True))
+    first = rows.where("ident is not null").groupBy("ident", "producer", "seq").agg(F.min("delivery_id").alias("delivery_id"))
+    numbers = first.where("seq is not null").select("producer", F.shiftright("seq", BLOCK_BITS).alias("block"), "seq", "ident", "delivery_id")
+    judged = coverage(numbers, seen.ranges)
+    fresh = judged.where("not covered")
+    looked_up = judged.where("covered").select("ident", "delivery_id").unionByName(first.where("seq is null").select("ident", "delivery_id"))
+    unknown = looked_up.join(seen.exact.select("ident"), "ident", "left_anti")
+    kept = fresh.select("ident", "delivery_id").unionByName(unknown)
     known = rows.where("ident is not null").select("delivery_id", "ident").distinct()
-    duplicates = known.join(kept, "delivery_id", "left_anti")
-    nobody = rows.where("ident is null").select("delivery_id", "ident")
-    accepted = known.join(kept, "delivery_id", "left_semi").unionByName(nobody)
+    at = known.join(kept.select("ident", F.col("delivery_id").alias("_first")), "ident", "left").withColumn("_kept", F.col("delivery_id").eqNullSafe(F.col("_first")))
+    accepted = at.where("_kept").select("delivery_id", "ident").unionByName(rows.where("ident is null").select("delivery_id", "ident"))
     ranges = merge_ranges(seen.ranges.unionByName(fresh.select("producer", "block", F.col("seq").alias("lo"), F.col("seq").alias("hi"))))
-    return Outcome(accepted, duplicates, Seen(ranges, seen.exact.unionByName(others.select("ident"))))
+    return Outcome(accepted, at.where("not _kept").select("delivery_id", "ident"), Seen(ranges, seen.exact.unionByName(kept.select("ident"))))
+
+
+#: Ids from which the borders of batches are taken; they decide only how large each batch is.
+BORDER_SAMPLE = 2000
+
+
+def fold(deliveries: DataFrame, batches: int = 2, id_col: str = "msg_id", ident_col: str = "message_id") -> Outcome:
+    """All deliveries in the order of their ids, cut into batches, each accepted against the state of those before it."""
+    rows = checkpoint(parsed(deliveries, id_col, ident_col))
+    hashed = rows.select("delivery_id", F.xxhash64("delivery_id").alias("h")).orderBy("h").limit(BORDER_SAMPLE)
+    ids = sorted(r["delivery_id"] for r in hashed.collect())
+    borders = sorted({ids[len(ids) * k // batches] for k in range(1, batches)}) if ids else []
+    seen, accepted, duplicates = None, None, None
+    for k in range(len(borders) + 1):
+        part = rows.where((F.col("delivery_id") >= borders[k - 1]) if k else F.lit(True)).where((F.col("delivery_id") < borders[k]) if k < len(borders) else F.lit(True))
+        o = accept_parsed(part, seen)
+        last = k == len(borders)
+        seen = o.seen if last else Seen(checkpoint(o.seen.ranges), checkpoint(o.seen.exact))
+        accepted = o.accepted if accepted is None else accepted.unionByName(o.accepted)
+        duplicates = o.duplicates if duplicates is None else duplicates.unionByName(o.duplicates)
+    return Outcome(accepted, duplicates, seen)

@@ -4,22 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftline.common import read
+from siftline.common import fresh_dir, read
 from siftline.llm import distinctive, garbled, key_forms, markup, mix, near_dup, pack, split, term_counts
 
 
-def _p1_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return term_counts.marked(term_counts.count_terms(read(spark, sf_dir, "msgcounts")))
+def _p1_store(spark: SparkSession, sf_dir: str) -> term_counts.TermStore:
+    """The whole table in two loads: one half of the messages, then the other as a delta, merged."""
+    return term_counts.load_and_update(read(spark, sf_dir, "msgcounts"), F.xxhash64("msg_id") >= 0)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys held by fewer than 3 messages, or by more than 40 % of them."""
-    return _p1_marked(spark, sf_dir).where("mark is not null").select(F.col("term").alias("key"), "mark")
+    return term_counts.marked(_p1_store(spark, sf_dir)).where("mark is not null").select(F.col("term").alias("key"), "mark")
+
+
+def _p1_columns(marked: DataFrame) -> DataFrame:
+    return marked.select(F.col("term").alias("key"), "good", "bad", "occurrences", F.col("records").alias("messages"), "mark")
 
 
 def p1_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every key with its registered good and bad, occurrences, messages and mark."""
-    return _p1_marked(spark, sf_dir).select(F.col("term").alias("key"), "good", "bad", "occurrences", F.col("records").alias("messages"), "mark")
+    return _p1_columns(term_counts.marked(_p1_store(spark, sf_dir)))
+
+
+def p1_updated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same after a history: of an earlier state a third of the messages was missing, a third held other counts, and some messages were there that are gone now."""
+    now = read(spark, sf_dir, "msgcounts").select("msg_id", "key", "freq", "bad", "good", "msgs_bad", "msgs_good")
+    kind = F.pmod(F.xxhash64("msg_id"), F.lit(3))
+    other = now.where(kind == 1).withColumns({"freq": F.col("freq") + 2, "bad": F.col("bad") + 5, "msgs_bad": F.col("msgs_bad") + 100_000, "key": F.when(F.col("freq") == 1, F.concat("key", F.lit("~"))).otherwise(F.col("key"))})
+    gone = now.where(kind == 2).withColumns({"msg_id": F.concat("msg_id", F.lit("-gone")), "msgs_good": F.col("msgs_good") + 200_000})
+    before = term_counts.record_terms(now.where(kind == 2).unionByName(other).unionByName(gone))
+    after = term_counts.record_terms(now)
+    store = term_counts.TermStore(spark, fresh_dir(spark, "terms")).apply(term_counts.signed_changes(None, before))
+    store.apply(term_counts.signed_changes(before, after)).compact()
+    return _p1_columns(term_counts.marked(store))
 
 
 def _p2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +129,7 @@ def p10_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_texts(read(spark, sf_dir, "documents"), limit, overlap).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p2_found, p2_restored, p4_found, p4_clean, p5_found, p5_keys, p6_found, p6_groups, p7_distinctive, p8_pack, p9_mix, p9_shares, p10_split)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_updated, p2_found, p2_restored, p4_found, p4_clean, p5_found, p5_keys, p6_found, p6_groups, p7_distinctive, p8_pack, p9_mix, p9_shares, p10_split)}
 
 _P1 = """
 WITH t AS (
@@ -127,6 +145,7 @@ m AS (SELECT key, r.good AS good, r.bad AS bad, occurrences, messages,
 ORACLE = {
     "p1_found": _P1 + "SELECT key, mark FROM m WHERE mark IS NOT NULL",
     "p1_counts": _P1 + "SELECT * FROM m",
+    "p1_updated": _P1 + "SELECT * FROM m",
 }
 
 # the same letters as in key_forms, composed ones with marks added; full-width forms lie at a fixed distance

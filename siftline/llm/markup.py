@@ -2,8 +2,8 @@
 
 A text is cut into blocks: headings, paragraphs, list items, quotes, code, formulas, table rows. Their
 markup is removed; code and formulas stay as they are written. Then two passes label blocks as content
-or boilerplate. First: stop-word density, length and link density decide what they can; headings,
-code and formulas are set aside. Second: short and otherwise undecided blocks take the label of the nearest
+or boilerplate. First: headings, list items, code, formulas and table rows are content; stop-word density,
+length and link density decide what else they can. Second: short and otherwise undecided blocks take the label of the nearest
 decided neighbours (both agree, or the nearer one; content when there is none). The clean text holds
 the content blocks; the boilerplate ones are kept with their label.
 
@@ -54,49 +54,48 @@ STOP_CHARACTERS = frozenset("的了在是我和们有这のにはをとがでた
 
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)(\s[^<>]*|/)?>")
 _CUT_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s+[A-Za-z-]+(?:\s*=[^<>]*)?)?\s*(?=$|<)|\s+[A-Za-z-]+\s*=\s*(?:\"[^\"<>]*\"?|'[^'<>]*'?|[^\s<>]+)|(?<=<BR)(?=[\s])|(?<=<br)(?=[\s]))")
-_CUT_HEAD = re.compile(r"^[^<>\n]{0,80}?\b(?:href|src|class|style|color|size|face|bgcolor|width|align)\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[\w#%]+)[^<>\n]*>")
+_CUT_HEAD = re.compile(r"^[^<>\n]*?\b(?:href|src|class|style|color|size|face|bgcolor|width|align)\s*=\s*(?:\"[^\"<>]*\"|'[^'<>]*'|[\w#%]+)[^<>\n]*>")
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!DOCTYPE[^>]*(?:>|\Z)|<\?xml[^>]*(?:>|\Z)|<!\[CDATA\[|\]\]>|-->", re.S | re.I)
 _HIDDEN = re.compile(r"<(script|style)\b[^<>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
-_ENTITY = re.compile(r"&(?:#\d{1,7};?|#[xX][0-9A-Fa-f]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};|(?:nbsp|lt|gt|amp|quot|copy|reg)(?![A-Za-z0-9=;]))")
+_ENTITY_REST = re.compile(r"#\d{1,7};?|#[xX][0-9A-Fa-f]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};|(?:nbsp|lt|gt|amp|quot|copy|reg)(?![A-Za-z0-9=;])")
 
 _FENCE = re.compile(r"^ {0,3}(```+|~~~+)\s*([\w+#.-]*)\s*$")
 _ATX = re.compile(r"^ {0,3}(#{1,6})[ \t]+(\S.*?)(?:[ \t]+#+)?[ \t]*$")
 _TABLE_RULE = re.compile(r"^\s*\|?\s*:?-{2,}:?\s*(?:\|\s*:?-{2,}:?\s*)+\|?\s*$|^\s*\|\s*:?-{2,}:?\s*\|\s*$")
 _TABLE_ROW = re.compile(r"^\s*\|(?![-}+|]).*[^|\s].*\|\s*$")
-_LINK = re.compile(r"(!?)\[((?:[^\[\]]|\[[^\[\]\n]*\]){0,400})\]\(([^()\s]*(?:\([^()\s]*\))?[^()\s]*)(?:\s+\"[^\"\n]*\")?\)")
+_LINK = re.compile(r"(!?)\[((?:[^\[\]]++|\[[^\[\]\n]*\])*+)\]\(([^()\s]*(?:\([^()\s]*\))?[^()\s]*)(?:\s+\"[^\"\n]*\")?\)")
 _CUT_LINK = re.compile(r"\]\((?:https?|ftp|mailto):[^\s()]*\)?")
 _REFERENCE = re.compile(r"^ {0,3}\[[^\]\n]+\]:\s*<?\S+:\S+>?.*$")
 _REF_LINK = re.compile(r"\[([^\[\]\n]+)\]\[[^\[\]\n]*\]")
 _TASK = re.compile(r"^(\s*[-*+] )\[[ xX]\] ")
-_STRONG = re.compile(r"\*\*(?=[^\s*])([^*]{0,300}?[^\s*])\*\*(?!\*)")
-_STRONG_ = re.compile(r"(?<![\w_])__(?=[^\s_])([^_]{0,300}?[^\s_])__(?![\w_])")
-_STRIKE = re.compile(r"~~(?=[^\s~])([^~]{0,300}?[^\s~])~~")
+_STRONG = re.compile(r"\*\*(?=[^\s*])([^*]++)(?<!\s)\*\*(?!\*)")
+_STRONG_ = re.compile(r"(?<![\w_])__(?=[^\s_])([^_]++)(?<!\s)__(?![\w_])")
+_STRIKE = re.compile(r"~~(?=[^\s~])([^~]++)(?<!\s)~~")
 _TICKS = re.compile(r"(?<![�\x80-\x9f])(`+)(?=[^`\n])([^\n�\x80-\x9f]*?[^`�\x80-\x9f])\1(?![`�\x80-\x9f])")
 
 # pieces broken by an empty line
-_BROKEN = re.compile(r"(\*\*|~~|```)(?=[^\s*~`])([^*~`]{1,300}?\n[ \t]*\n[^*~`]{0,300}?[^\s*~`])\1(?![*~`])")
-_BROKEN_WIKI = re.compile(r"\[\[([^\[\]]{1,300}?\n[ \t]*\n[^\[\]]{1,300}?)\]\]|\{\{([^{}]{1,300}?\n[ \t]*\n[^{}]{1,300}?)\}\}")
+_BROKEN = re.compile(r"(\*\*|~~|```)(?=[^\s*~`])(?=[^*~`]+?\n[ \t]*\n)([^*~`]++)(?<!\s)\1(?![*~`])")
+_BROKEN_WIKI = re.compile(r"\[\[(?=[^\[\]]+?\n[ \t]*\n)([^\[\]]++)\]\]|\{\{(?=[^{}]+?\n[ \t]*\n)([^{}]++)\}\}")
 
 _WIKI_HEAD = re.compile(r"^(={2,6})\s*([^=\s](?:.*[^=\s])?)\s*\1\s*$")
 _TEXTILE = re.compile(r"^(?:h([1-6])|bq)\. +(\S.*)$")
-_WIKI_LINK = re.compile(r"\[\[(?:[^\[\]|]{0,300}\|)*([^\[\]|]{1,300})\]\]")
+_WIKI_LINK = re.compile(r"\[\[(?:[^\[\]|]*+\|)*+([^\[\]|]++)\]\]")
 _CATEGORY = re.compile(r"^\s*\[\[(?:Category|Kategorie|Catégorie|File|Image|Datei):[^\[\]\n]*\]\]\s*$", re.I)
-_URL_LINK = re.compile(r"\[(?:https?|ftp|mailto)[:/]\S+\s+([^\]]{1,300})\]")
-_TEMPLATE = re.compile(r"\{\{([^{}]{0,400})\}\}")
-_QUOTES = re.compile(r"('{2,5})(?=[^'\s])([^']{0,300}?[^'\s])\1(?!')")
+_URL_LINK = re.compile(r"\[(?:https?|ftp|mailto)[:/]\S+\s+((?:(?!\[(?:https?|ftp|mailto)[:/])[^\]])++)\]")
+_BRACES = re.compile(r"\{\{|\}\}|[{}]")
+_QUOTES = re.compile(r"('{2,5})(?=[^'\s])([^']++)(?<!\s)\1(?!')")
 _WIKI_TABLE = re.compile(r"^\s*(?:\{\||\|\}|\|-+\s*$|\|\+)")
 _WIKI_ROW = re.compile(r"^\s*(?:\|\|?|!)\s*(.*(?:\|\||!!).*?)\s*$")
 _MAGIC = re.compile(r"__(?:TOC|NOTOC|NOEDITSECTION)__|~~~~+(?=\s*$)|\{(?:code|noformat|quote)(?::[^}]*)?\}|#REDIRECT\b")
 
-_COMMAND = re.compile(r"~?\\([A-Za-z]+)\*?\s*((?:\[[^\[\]\n]*\]\s*)*)\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}")
+_COMMAND = re.compile(r"(?P<escaped>\\[{}])|(?P<command>~?\\(?P<name>[A-Za-z]+)\*?\s*(?:\[[^\[\]\n]*\]\s*)*\{)|(?P<group>\{\\(?:it|bf|em|tt|sc|rm|sf|sl|small|large|Large|tiny|footnotesize)\b\s*)|(?P<open>\{)|(?P<close>\})")
 _OPEN_COMMAND = re.compile(r"\\(?:text(?:bf|it|tt|rm|sf|sc)|emph|section|subsection|subsubsection|paragraph|chapter|footnote|cite|ref|label|begin|end|title|author)\*?\{")
 _BARE = re.compile(r"(?<![\w\\:])\\(?:item|maketitle|tableofcontents|centering|hline|noindent|newpage|clearpage|par|bigskip|medskip|smallskip|LaTeX|TeX|ldots|dots|quad|qquad|newline|linebreak|appendix)\b(?!\\)\s?")
 _ACCENT = re.compile(r"\\(['\"`^~])\s*(?:\{\\?([A-Za-z])\}|\\?([A-Za-z]))")
-_GROUP = re.compile(r"\{\\(?:it|bf|em|tt|sc|rm|sf|sl|small|large|Large|tiny|footnotesize)\b\s*([^{}]*)\}")
 _ESCAPED = re.compile(r"(?<![\\\w:])\\([%&#_$])|(?<=\w)\\([%&$])")
 _LINE_BREAK = re.compile(r"\\\\(?:\[[^\]\n]*\])?[ \t]*(?=\n|$)")
 _MATH = re.compile(r"\\\((.+?)\\\)|\\\[(.+?)\\\]|\$\$(.+?)\$\$", re.S)
-_DOLLARS = re.compile(r"(?<![\w$\\])\$(?=[^\s$])([^$\n]{1,200}?)(?<![\s\\])\$(?![\w$])")
+_DOLLARS = re.compile(r"(?<![\w$\\])\$(?=[^\s$])([^$\n]++)(?<![\s\\])\$(?![\w$])")
 _MATH_INNER = re.compile(r"\\[A-Za-z]|[\^_{}]|^[A-Za-z]$|^[A-Za-z0-9 ]*[=<>+/-] ?[A-Za-z0-9 .]+$")
 _BEGIN = re.compile(r"^\s*\\begin\{([A-Za-z]+)\*?\}")
 _SECTION = re.compile(r"^\s*\\(part|chapter|section|subsection|subsubsection|paragraph|subparagraph)\*?(?:\[[^\]\n]*\])?\{(.*)\}\s*$")
@@ -167,19 +166,86 @@ class _Html:
         return "\n" if name in BREAKING else ""
 
     def _entities(self, text: str) -> str:
-        def one(m: re.Match) -> str:
-            name = m.group()[1:]
-            if name[0] != "#" and name.rstrip(";") + ";" not in html5:
-                return m.group()
-            self.found["html"] += 1
-            return unescape(m.group() if m.group().endswith(";") else m.group() + ";")
-
-        for _ in range(3):  # escaped text may hold tags and entities again
-            after = _ENTITY.sub(one, text)
+        """Entities as characters; escaped text may hold entities and tags again, at any depth."""
+        while True:
+            after = self._unescaped(text)
             if after == text:
                 return after
             text = _TAG.sub(lambda m: ("\n" if m.group(2).lower() in BREAKING else "") if m.group(2).lower() in ELEMENTS else m.group(), after)
-        return text
+
+    def _unescaped(self, text: str) -> str:
+        """One pass; an ampersand that comes out is at once tried with what follows, so '&amp;amp;amp;' costs one pass too."""
+        out, at = [], 0
+        while (k := text.find("&", at)) >= 0:
+            out.append(text[at:k])
+            at, shown = k + 1, "&"
+            while shown == "&" and (m := _ENTITY_REST.match(text, at)):
+                name = m.group()
+                if name[0] != "#" and name.rstrip(";") + ";" not in html5:
+                    break
+                self.found["html"] += 1
+                shown, at = unescape("&" + (name if name.endswith(";") else name + ";")), m.end()
+            out.append(shown)
+        out.append(text[at:])
+        return "".join(out)
+
+
+def _templates(text: str, found: Counter) -> str:
+    """{{...}} without other braces inside, nested ones from the inside: the last argument, or nothing. One pass with a stack."""
+    stack: list[tuple[list[str], bool]] = [([], False)]  # text so far, whether single braces are in it
+    at = 0
+    for m in _BRACES.finditer(text):
+        stack[-1][0].append(text[at : m.start()])
+        at = m.end()
+        if m.group() == "{{":
+            stack.append(([], False))
+        elif m.group() == "}}" and len(stack) > 1:
+            parts, braces = stack.pop()
+            inner = "".join(parts)
+            if braces:
+                stack[-1][0].append("{{" + inner + "}}")
+            else:
+                found["wiki"] += 1
+                stack[-1][0].append(inner.rpartition("|")[2] if "|" in inner else "")
+        else:
+            stack[-1] = (stack[-1][0], True)
+            stack[-1][0].append(m.group())
+    tail = text[at:]
+    for parts, _ in reversed(stack[1:]):
+        tail = "{{" + "".join(parts) + tail
+    return "".join(stack[0][0]) + tail
+
+
+_DROPPED = frozenset("label cite ref documentclass usepackage begin end vspace hspace includegraphics bibliography pagestyle".split())
+
+
+def _commands(text: str, found: Counter) -> str:
+    """LaTeX commands with an argument and {\\it ...} groups as their text, at any depth. One pass with a stack."""
+    stack: list[tuple[str, str, list[str]]] = [("", "", [])]  # kind, what opened it, text so far
+    at = 0
+    for m in _COMMAND.finditer(text):
+        stack[-1][2].append(text[at : m.start()])
+        at = m.end()
+        kind = m.lastgroup if m.lastgroup != "name" else "command"
+        if kind == "close" and len(stack) > 1:
+            kind, opened, parts = stack.pop()
+            inner = "".join(parts)
+            if kind == "open":
+                inner = "{" + inner + "}"
+            else:
+                found["latex"] += 1
+                if kind == "command":
+                    name = opened.lstrip("~\\").rstrip("{").partition("[")[0].strip().rstrip("*")
+                    inner = "" if name in _DROPPED else f" ({inner})" if name == "footnote" else inner
+            stack[-1][2].append(inner)
+        elif kind in ("escaped", "close"):
+            stack[-1][2].append(m.group())
+        else:
+            stack.append((kind, m.group(), []))
+    tail = text[at:]
+    for _, opened, parts in reversed(stack[1:]):
+        tail = opened + "".join(parts) + tail
+    return "".join(stack[0][2]) + tail
 
 
 def _inline(text: str, found: Counter) -> tuple[str, int]:
@@ -216,26 +282,15 @@ def _inline(text: str, found: Counter) -> tuple[str, int]:
     text = _REF_LINK.sub(count("markdown", lambda m: m.group(1), True), text)
     text = _WIKI_LINK.sub(count("wiki", lambda m: m.group(1), True), text)
     text = _URL_LINK.sub(count("wiki", lambda m: m.group(1), True), text)
-    text = _TEMPLATE.sub(count("wiki", lambda m: m.group(1).split("|")[-1] if "|" in m.group(1) else ""), text)
+    if "{{" in text:
+        text = _templates(text, found)
     for pattern in (_STRONG, _STRONG_, _STRIKE):
         text = pattern.sub(count("markdown", lambda m: m.group(1)), text)
     text = _QUOTES.sub(count("wiki", lambda m: m.group(2)), text)
     text = _MAGIC.sub(count("wiki", lambda m: ""), text)
     if "\\" in text:
-
-        def command(m: re.Match) -> str:
-            name, body = m.group(1), m.group(3)
-            if name in ("label", "cite", "ref", "documentclass", "usepackage", "begin", "end", "vspace", "hspace", "includegraphics", "bibliography", "pagestyle"):
-                return ""
-            return f" ({body})" if name == "footnote" else body
-
         text = _ACCENT.sub(count("latex", lambda m: (m.group(2) or m.group(3)) + _MARKS[m.group(1)]), text)
-        text = _GROUP.sub(count("latex", lambda m: m.group(1)), text)
-        for _ in range(4):
-            after = _COMMAND.sub(count("latex", command), text)
-            if after == text:
-                break
-            text = after
+        text = _commands(text, found)
         text = _OPEN_COMMAND.sub(count("latex", lambda m: ""), text)
         text = _BARE.sub(count("latex", lambda m: ""), text)
         text = _ESCAPED.sub(count("latex", lambda m: m.group(1) or m.group(2)), text)
@@ -379,11 +434,13 @@ def label(blocks: list[Block]) -> None:
         size = len(b.text) + wide
         density = (sum(w in STOP_WORDS for w in words) + sum(c in STOP_CHARACTERS for c in b.text)) / max(1, len(words) + wide / 4)
         links = b.links / max(1, len(b.text))
-        if links > LINK_HIGH and b.kind != "heading":
+        if b.kind in ("heading", "item"):  # structure is kept whatever its links
+            b.label = "content"
+        elif links > LINK_HIGH:
             b.label = "boilerplate"
-        elif size < SHORT or b.kind == "heading":
+        elif size < SHORT:
             b.label = ""
-        elif density >= STOP_HIGH or size >= LONG and density >= STOP_LOW or b.kind in ("quote", "item"):
+        elif density >= STOP_HIGH or size >= LONG and density >= STOP_LOW or b.kind == "quote":
             b.label = "content"
         elif size >= LONG and links > LINK_HIGH / 2:
             b.label = "boilerplate"
@@ -395,9 +452,7 @@ def label(blocks: list[Block]) -> None:
             continue
         before = decided[at - 1] if at else None
         after = decided[at] if at < len(decided) else None
-        if b.kind == "heading" and after is not None:
-            b.label = blocks[after].label  # a heading belongs to what follows
-        elif before is None or after is None:
+        if before is None or after is None:
             b.label = blocks[before if before is not None else after].label if decided else "content"
         else:
             b.label = blocks[before if k - before <= after - k else after].label

@@ -117,6 +117,27 @@ def test_boilerplate_and_neighbours():
     assert [b.label for b in blocks] == ["boilerplate", "boilerplate", "boilerplate", "content", "content", "content"]
 
 
+LONG_SPAN = "word and more " * 720 + "end"  # about 10,000 characters
+
+
+@pytest.mark.parametrize("wrapped", ["a **{}** b", "a __{}__ b", "a ~~{}~~ b", "a [{}](http://h/x) b", "a ''{}'' b", "a [[Page|{}]] b", "a [http://h/x {}] b", "a {{{{t|{}}}}} b", r"a \textbf{{{}}} b", r"a {{\it {}}} b", "a <b>{}</b> b", "a **x\n\n{}** b"])
+def test_spans_of_any_length(wrapped):
+    _, blocks, found = markup.clean(wrapped.format(LONG_SPAN))  # of the blocks, as one of nothing but links is boilerplate
+    assert found and "\n".join(b.text for b in blocks).replace("x\n", "") == f"a {LONG_SPAN} b"
+
+
+def test_nesting_of_any_depth():
+    for opens, closes in (("{{t|", "}}"), (r"\emph{", "}"), (r"{\bf ", "}"), ("<b>", "</b>")):
+        out, _, found = markup.clean("see " + opens * 10 + "core" + closes * 10)
+        assert out == "see core" and found.total() >= 10
+    assert markup.clean("a &" + "amp;" * 10 + "lt;b&" + "amp;" * 10 + "gt;c")[0] == "a c"
+    assert markup.clean(r"\section{a} $x$ {{")[0] and markup.clean("{{" * 5000 + "&amp;" * 5000 + "}" * 5000)[2]["html"] == 5000
+
+
+def test_headings_and_lists_stay_whatever_their_links():
+    assert markup.clean("# T\n\n- [one](http://a/1)\n- [two](http://a/2)\n- [three](http://a/3)")[0] == "T\n\n- one\n- two\n- three"
+
+
 def test_markup_edge_cases(spark):
     rows = [(1, None, None), (2, "", None), (None, "<b>x</b>", None), (4, "# h\r\ntext\r\n", None), (5, "<p>" * 5_000 + "x" * 100_000 + "&amp;" * 5_000, None), (6, "[" * 3_000 + "{" * 3_000 + "<" * 3_000 + "*" * 3_000, None)]
     got = {r["id"]: r for r in markup.clean_markup(docs(spark, rows), "doc_id", "text").collect()}

@@ -8,11 +8,14 @@ Without a wanted total, it is the largest one that a = 0 allows, so the targets
 
 The weights are realised as budgeted block permutations: a source's records are permuted by a seeded
 hash, cut into blocks of the permutation, and taken as whole passes over the source plus a prefix of
-one more pass that ends where the token budget does; in the block in which it ends, each record that
-still fits is taken, in order.
+one more pass that ends where the token budget does. The block in which it ends is swept in order for
+records that still fit, again and again while one does and may be used once more; if taking the largest
+first comes closer to the budget, it is filled that way. So a source ends within its smallest record that
+may be used again of its budget.
 
-Plan shape: one pass sizes the texts (no text goes on), block sums by partial aggregate, a window
-over blocks (few) and one task per source over its single boundary block (bounded by the block size).
+Plan shape: one pass sizes the texts (no text goes on), block sums by partial aggregate, running sums over
+blocks in two levels (no task holds a source's blocks), and one task per source over its single boundary
+block (bounded by the block size).
 
 Defined cases: text null or empty: 0 tokens, used as often as its source's whole passes plus its place in the prefix says. Source
 null or not among the targets: weight 0. A target without documents or with a share null or <= 0:
@@ -27,13 +30,14 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from siftline.common import checkpoint
 from siftline.llm.tokens import RANKS, encode
-from siftline.llm.util import arrow_map, spread
+from siftline.llm.util import arrow_map, running_before, spread
 
 BLOCK_RECORDS = 4096
 
@@ -92,8 +96,8 @@ class Plan:
     budgets: dict[str, float]
 
 
-def plan(sources: list[Source], total: float | None = None, target_entropy: float | None = None) -> Plan:
-    """Token budgets per source. With target_entropy the targets are ignored and natural shares are tempered."""
+def plan(sources: list[Source], total: float | None = None, target_entropy: float | None = None, stretch: float = 1.0) -> Plan:
+    """Token budgets per source; without a total, `stretch` times the largest one that the targets allow. With target_entropy the targets are ignored and natural shares are tempered."""
     usable = [s for s in sources if s.tokens > 0 and (s.target > 0 or target_entropy is not None)]
     if not usable:
         return Plan(0.0, 0.0, {})
@@ -107,7 +111,7 @@ def plan(sources: list[Source], total: float | None = None, target_entropy: floa
         t = sum(s.target for s in usable)
         targets = [s.target / t for s in usable]
         most = min(s.repeats * s.tokens / x for s, x in zip(usable, targets, strict=True))
-        total = total or most
+        total = total or most * stretch
         a = exponent_for_repeats(lambda x: tilted(targets, shares, x), usable, total)
         w = tilted(targets, shares, a)
     return Plan(a, total, {s.name: min(total * x + 1e-6, s.repeats * s.tokens) for s, x in zip(usable, w, strict=True)})
@@ -126,26 +130,45 @@ _USED = ["source", "id", "n_tokens", "passes", "extra"]
 _EDGE = "source string, id long, n_tokens long, passes int, extra int"
 
 
+def fill(sizes: list[int], room: float, spare: int) -> list[int]:
+    """How often each of the records, in order, is used so that their tokens come close to room, none more than `spare` times."""
+
+    def swept(order: list[int]) -> tuple[float, list[int]]:
+        uses, left = [0] * len(sizes), room
+        for again in range(spare):
+            before = left
+            for k in order:
+                if sizes[k] <= left and (sizes[k] or not again):
+                    uses[k] += 1
+                    left -= sizes[k]
+            if left == before:
+                break
+        return left, uses
+
+    ways = [swept(list(range(len(sizes))))]
+    if ways[0][0] >= 1 or max(ways[0][1], default=0) > 1:
+        ways.append(swept(sorted(range(len(sizes)), key=lambda k: -sizes[k])))
+    # what stays free in steps of half a percent of the room, then how often a record is repeated, then the permuted order
+    return min(ways, key=lambda w: (round(w[0] / room * 200) if room else 0, max(w[1], default=0)))[1]
+
+
 def _fill_edge(block: pd.DataFrame) -> pd.DataFrame:
-    """The block in which a source's budget ends (about BLOCK_RECORDS rows): in permuted order, each record that still fits."""
+    """The block in which a source's budget ends (about BLOCK_RECORDS rows)."""
     block = block.sort_values(["place", "id"])
-    room, extra = block["room"].iloc[0], []
-    for n in block["n_tokens"]:
-        extra.append(int(n <= room))
-        room -= n * extra[-1]
-    return block.assign(extra=extra)[_USED]
+    extra = fill(block["n_tokens"].tolist(), float(block["room"].iloc[0]), int(block["spare"].iloc[0]))
+    return block.assign(extra=np.array(extra, np.int32))[_USED]
 
 
 @dataclass
 class Mixture:
-    """used(source, id, n_tokens, n_uses) of every record that is used; report(source, target_share, reached_share, n_records, tokens, most_uses); the plan."""
+    """used(source, id, n_tokens, n_uses) of every record that is used; report(source, target_share, reached_share, deviation, n_records, tokens, most_uses), deviation from the plan's share; the plan."""
 
     used: DataFrame
     report: DataFrame
     plan: Plan
 
 
-def mix(df: DataFrame, targets: DataFrame, total: float | None = None, target_entropy: float | None = None, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ranks: str = RANKS, block_records: int = BLOCK_RECORDS) -> Mixture:
+def mix(df: DataFrame, targets: DataFrame, total: float | None = None, target_entropy: float | None = None, stretch: float = 1.0, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", ranks: str = RANKS, block_records: int = BLOCK_RECORDS) -> Mixture:
     """Draw the mixture. targets: source, target_share, max_repeats (one row per source, a table of settings)."""
     spark = df.sparkSession
     wanted: dict[str, tuple[float, int]] = {}
@@ -154,24 +177,24 @@ def mix(df: DataFrame, targets: DataFrame, total: float | None = None, target_en
     items = checkpoint(sized(df.where(F.col(source_col).isin(list(wanted))), id_col, text_col, source_col, ranks))
     held = {r["source"]: (r["t"], r["n"]) for r in items.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()}  # one row per named source
     sources = [Source(name, *held.get(name, (0, 0)), t, m) for name, (t, m) in sorted(wanted.items())]
-    p = plan(sources, total, target_entropy)
-    rows = [(s.name, s.tokens, int(p.budgets[s.name] // s.tokens), float(p.budgets[s.name] % s.tokens), max(1, -(-s.records // block_records))) for s in sources if s.name in p.budgets]
-    settings = spark.createDataFrame(rows, "source string, held long, passes int, budget double, blocks long")
+    p = plan(sources, total, target_entropy, stretch)
+    rows = [(s.name, s.tokens, int(p.budgets[s.name] // s.tokens), float(p.budgets[s.name] % s.tokens), max(1, -(-s.records // block_records)), s.repeats) for s in sources if s.name in p.budgets]
+    settings = spark.createDataFrame(rows, "source string, held long, passes int, budget double, blocks long, repeats int")
 
     place = F.xxhash64(F.lit(seed), "id", "n_tokens")
     permuted = items.join(F.broadcast(settings), "source").withColumn("place", place).withColumn("block", F.pmod(F.shiftrightunsigned("place", 1), F.col("blocks")))
     blocks = permuted.groupBy("source", "block").agg(F.sum("n_tokens").alias("size"))
-    before = F.coalesce(F.sum("size").over(W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.withColumn("before", before).join(F.broadcast(settings.select("source", "budget")), "source")
+    blocks = running_before(blocks, "source", "block", "size", "before").join(F.broadcast(settings.select("source", "budget")), "source")
     blocks = blocks.withColumn("whole", F.col("before") + F.col("size") <= F.col("budget")).where(F.col("whole") | (F.col("before") < F.col("budget"))).select("source", "block", "before", "whole")
     at = permuted.join(blocks, ["source", "block"], "left")
     full = at.where(F.coalesce("whole", F.lit(True))).withColumn("extra", F.when(F.col("whole"), 1).otherwise(0)).select(*_USED)
-    edge = at.where(~F.col("whole")).select("source", "id", "n_tokens", "passes", "place", (F.col("budget") - F.col("before")).alias("room")).groupBy("source").applyInPandas(_fill_edge, _EDGE)
+    edge = at.where(~F.col("whole")).select("source", "id", "n_tokens", "passes", "place", (F.col("budget") - F.col("before")).alias("room"), (F.col("repeats") - F.col("passes")).alias("spare")).groupBy("source").applyInPandas(_fill_edge, _EDGE)
     used = full.unionByName(edge).withColumn("n_uses", F.col("passes") + F.col("extra")).where("n_uses > 0").select("source", "id", "n_tokens", "n_uses")
 
-    whole = spark.createDataFrame([(s.name, s.target) for s in sources], "source string, target_share double")
+    planned = {name: x / p.total for name, x in p.budgets.items()} if p.total else {}
+    whole = spark.createDataFrame([(s.name, s.target, planned.get(s.name, 0.0)) for s in sources], "source string, target_share double, planned double")
     sums = used.groupBy("source").agg(F.count("*").alias("n_records"), F.sum(F.col("n_tokens") * F.col("n_uses")).alias("tokens"), F.max("n_uses").alias("most_uses"))
     report = whole.join(sums, "source", "left").na.fill(0, ["n_records", "tokens", "most_uses"])
-    everything = F.sum("tokens").over(W.partitionBy(F.lit(1)))  # one row per named source
-    report = report.withColumn("reached_share", F.when(everything > 0, F.col("tokens") / everything).otherwise(0.0))
-    return Mixture(used, report.select("source", "target_share", "reached_share", "n_records", "tokens", "most_uses"), p)
+    everything = report.agg(F.sum("tokens").alias("everything"))  # one row
+    report = report.crossJoin(F.broadcast(everything)).withColumn("reached_share", F.when(F.col("everything") > 0, F.col("tokens") / F.col("everything")).otherwise(0.0))
+    return Mixture(used, report.select("source", "target_share", "reached_share", (F.col("reached_share") - F.col("planned")).alias("deviation"), "n_records", "tokens", "most_uses"), p)

@@ -113,14 +113,38 @@ def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The records of the mixture and how often each is used."""
+    """The records of the mixture and how often each is used: the largest one that has the target shares, so the exponent is 0."""
     m = mix.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"))
     return m.used.withColumnRenamed("id", "doc_id")
 
 
+def _shares(m: mix.Mixture) -> DataFrame:
+    return m.report.withColumns({"exponent": F.lit(m.plan.exponent), "total": F.lit(int(m.plan.total)).cast("long")})
+
+
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target and reached share of each named source."""
-    return mix.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets")).report
+    """Target and reached share of each named source, and the exponent."""
+    return _shares(mix.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets")))
+
+
+def p9_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for a mixture of half as many tokens again, for which repetition limits bind: the exponent is bisected."""
+    docs, targets = read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets")
+    return _shares(mix.mix(docs, targets, stretch=1.5))
+
+
+def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source of the mixture whether it keeps its repetition limit and has the target share among the sources that have documents, to half a percent."""
+    docs, targets = read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets")
+    m = mix.mix(docs, targets)
+    held = docs.where("source is not null and text <> ''").select("source").distinct()
+    named = targets.join(F.broadcast(held), "source", "left_semi")  # a table of settings
+    whole = named.agg(F.sum("target_share").alias("whole"))
+    used = m.used.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_uses")).alias("tokens"), F.max("n_uses").alias("most"))
+    every = used.agg(F.sum("tokens").alias("every"))
+    rows = named.join(used, "source", "left").crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(every))  # one row each
+    met = F.abs(F.col("tokens") / F.col("every") - F.col("target_share") / F.col("whole")) < 0.005
+    return rows.select("source", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("limit_kept"), F.coalesce(met, F.lit(False)).alias("share_met"))
 
 
 def p10_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +153,7 @@ def p10_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_texts(read(spark, sf_dir, "documents"), limit, overlap).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_updated, p2_found, p2_restored, p4_found, p4_clean, p5_found, p5_keys, p6_found, p6_groups, p7_distinctive, p8_pack, p9_mix, p9_shares, p10_split)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_updated, p2_found, p2_restored, p4_found, p4_clean, p5_found, p5_keys, p6_found, p6_groups, p7_distinctive, p8_pack, p9_mix, p9_shares, p9_tempered, p9_kept, p10_split)}
 
 _P1 = """
 WITH t AS (
@@ -172,3 +196,7 @@ ORACLE |= {
         UNION ALL SELECT i + 1, msg_id, key, freq, b, e / sum(e) OVER (PARTITION BY msg_id) FROM (SELECT *, freq * {distinctive.OWN_WEIGHT} * p / ({distinctive.OWN_WEIGHT} * p + {1 - distinctive.OWN_WEIGHT} * b) AS e FROM em WHERE i < {distinctive.ITERATIONS}))
       SELECT msg_id, key, freq::BIGINT AS freq, round(p, 9) AS score FROM em WHERE i = {distinctive.ITERATIONS}""",
 }
+
+ORACLE |= {
+    "p9_kept": "SELECT source, TRUE AS limit_kept, TRUE AS share_met FROM mix_targets WHERE source IN (SELECT source FROM documents WHERE text <> '')",
+}

@@ -56,3 +56,12 @@ def pairs_within(df: DataFrame, group: str, row: str, differ: str | None = None,
     return a.join(b, ["_g", "_i", "_j"]).where(right_place & same).select("a", "b")
 
 
+def running_before(df: DataFrame, group: str, index: str, value: str, name: str, fan: int = 4096) -> DataFrame:
+    """df with the sum of value over the group's rows of smaller index, in two levels: no window holds more than about `fan` rows, or rows / fan.
+
+    index: distinct within the group, integers from 0 without large gaps.
+    """
+    rows = df.withColumn("_super", F.floor(F.col(index) / fan))
+    before = lambda part: F.coalesce(F.sum(part).over(W.partitionBy(group, *(["_super"] if part == value else [])).orderBy(index if part == value else "_super").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    supers = rows.groupBy(group, "_super").agg(F.sum(value).alias("_sum")).withColumn("_base", before("_sum")).drop("_sum")
+    return rows.withColumn("_in", before(value)).join(supers, [group, "_super"]).withColumn(name, F.col("_base") + F.col("_in")).drop("_super", "_base", "_in")

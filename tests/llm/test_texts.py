@@ -263,6 +263,14 @@ def test_mixing_more_than_targets_allow_tilts_to_natural_shares(spark):
     assert mix.mix(docs(spark, rows), t.limit(0)).report.count() == 0
 
 
+def test_budgets_are_filled_record_by_record():
+    sizes = [240] * 10 + [9_111, 20_000]
+    uses = mix.fill(sizes, 10_700, 5)
+    assert sum(n * u for n, u in zip(sizes, uses)) > 10_700 - 240 and max(uses) <= 5
+    assert mix.fill([5, 5], 12, 1) == [1, 1] and mix.fill([0, 7], 6, 3) == [1, 0] and mix.fill([], 0.0, 1) == []
+    assert sum(mix.fill([3], 100, 4)) == 4
+
+
 def test_temperature_meets_entropy():
     shares = [0.7, 0.2, 0.1]
     target = 1.0

@@ -7,10 +7,14 @@ other scripts are replaced by the look-alikes of the dominant one, but only in m
 and only if the repaired key is in the corpus vocabulary (base forms without mixed tokens).
 
 Keys that look the same may still differ after that: the repaired key may not be in the vocabulary,
-or a whole token may be written in look-alikes of another script. Each key therefore belongs to a
-class, the keys with the same shape (every look-alike letter as its Latin twin), and the class takes
+or a whole token may be written in look-alikes of another script. Only what repair leaves apart goes on: keys
+with the same shape (every look-alike letter as its Latin twin) form a class, and the class takes
 one form: the most frequent repaired or clean vocabulary form, else the dominant-script repair of its most
-frequent key; ties by string order.
+frequent key; ties by string order. step tells how a key came to its form: base, repair or shape.
+
+Plan shape: keys are made distinct with a partial aggregate, analysed in one Arrow pass and kept at a
+checkpoint. Pairs are made of the distinct keys of a form, in blocks, and only then joined with their rows, so
+a key of very many rows costs its own pairs and no more.
 
 Defined cases: key null: no form, no row in forms; key empty, or of blanks and invisible characters only: form ''.
 Repeated keys weigh by their number of rows. Extra columns are ignored.
@@ -25,6 +29,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from siftline.common import checkpoint
 from siftline.llm.util import arrow_map, pairs_within
 
 # Letters of the same shape, Cyrillic and Greek beside Latin.
@@ -122,14 +127,17 @@ def _forms(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def key_forms(df: DataFrame, key_col: str = "key") -> DataFrame:
-    """key, form, shape, repaired (whether the token repair was taken from the vocabulary), for each distinct key."""
+    """key, form, own, shape, repaired, step of each distinct key: own is its form before classes are formed, repaired whether the token repair was taken from the vocabulary."""
     distinct = df.where(F.col(key_col).isNotNull()).groupBy(F.col(key_col).alias("key")).agg(F.count("*").alias("n"))
-    keys = arrow_map(distinct, _forms, "key string, base string, repaired string, mixed boolean, shape string, n long")
+    keys = checkpoint(arrow_map(distinct, _forms, "key string, base string, repaired string, mixed boolean, shape string, n long"))
     vocabulary = keys.where("not mixed").groupBy(F.col("base").alias("repaired")).agg(F.sum("n").alias("n_vocabulary"))
     looked = keys.join(vocabulary, "repaired", "left")  # clean keys find themselves, mixed ones their repair
-    rank = F.struct(F.col("n_vocabulary").isNotNull().cast("int").alias("known"), F.coalesce("n_vocabulary", "n").alias("weight"), F.col("repaired").alias("form"))
+    taken = F.col("n_vocabulary").isNotNull()
+    looked = looked.withColumn("own", F.when(taken, F.col("repaired")).otherwise(F.col("base")))
+    rank = F.struct(taken.cast("int").alias("known"), F.coalesce("n_vocabulary", "n").alias("weight"), F.col("repaired").alias("form"))
     best = looked.groupBy("shape").agg(F.max(rank).getField("form").alias("form"))
-    return looked.join(best, "shape").select("key", "form", "shape", (F.col("mixed") & F.col("n_vocabulary").isNotNull()).alias("repaired"))
+    step = F.when(F.col("form") != F.col("own"), "shape").when(F.col("mixed") & taken, "repair").otherwise("base")
+    return looked.join(best, "shape").select("key", "form", "own", "base", "shape", (F.col("mixed") & taken).alias("repaired"), step.alias("step"))
 
 
 def unify(df: DataFrame, key_col: str = "key", out_col: str = "key_form") -> DataFrame:
@@ -138,10 +146,19 @@ def unify(df: DataFrame, key_col: str = "key", out_col: str = "key_form") -> Dat
     return df.join(forms, df[key_col] == forms["_key_in"], "left").drop("_key_in")
 
 
-def look_alike_pairs(df: DataFrame, id_col: str = "entry_id", key_col: str = "key") -> DataFrame:
-    """(a, b) of rows whose keys differ in characters but have one form; a < b."""
-    forms = key_forms(df, key_col)
+def key_pairs(df: DataFrame, key_col: str = "key") -> DataFrame:
+    """(a, b, step), a < b, of distinct keys that have one form; step: what made them one, base forms, repair or shape."""
+    forms = checkpoint(key_forms(df, key_col).select("key", "form", "own", "base"))
     several = forms.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
-    hot = forms.join(several, "form", "left_semi").select("key", "form")
-    rows = df.select(F.col(id_col).alias("row"), F.col(key_col).alias("key")).join(hot, "key")
-    return pairs_within(rows, "form", "row", differ="key")
+    hot = checkpoint(forms.join(several, "form", "left_semi"))
+    pairs = pairs_within(hot, "form", "key")
+    side = lambda x: hot.select(F.col("key").alias(x), F.col("own").alias(f"own_{x}"), F.col("base").alias(f"base_{x}"))
+    step = F.when(F.col("base_a") == F.col("base_b"), "base").when(F.col("own_a") == F.col("own_b"), "repair").otherwise("shape")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", step.alias("step"))
+
+
+def look_alike_pairs(df: DataFrame, id_col: str = "entry_id", key_col: str = "key") -> DataFrame:
+    """(a, b, step) of rows whose keys differ in characters but have one form; a < b."""
+    pairs = checkpoint(key_pairs(df, key_col))
+    side = lambda key, row: df.select(F.col(key_col).alias(key), F.col(id_col).alias(row))
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "step")

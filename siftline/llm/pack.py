@@ -3,8 +3,10 @@
 Each text becomes a hashed vector of its tokens, projected to DIMENSIONS numbers; the Hilbert key of
 that point orders the collection so that neighbours on the curve have similar content. Texts are
 range-sorted by the key and packed along the curve: in windows of WINDOW items, largest first into
-the open container with the least sufficient room; containers with room left stay open for the next
-window. A text above the capacity fills containers of its own and its rest is packed like any other.
+the open container with the least sufficient room; at most OPEN_CONTAINERS with room left stay open for the
+next window, so a container holds items of a short stretch of the curve. A text above the capacity fills
+containers of its own and its rest is packed like any other. locality() measures how similar the texts of a
+container are.
 
 Plan shape: one pass to size the texts, whose small result (no text) is kept at a checkpoint because the
 range sort samples it; one range shuffle of that; packing is a stream over each range with bounded
@@ -29,8 +31,9 @@ from siftline.llm.tokens import RANKS, encode
 from siftline.llm.util import arrow_map, spread
 
 DIMENSIONS, BITS, HASHED = 4, 12, 256
-WINDOW = 4096
-OPEN_CONTAINERS = 4096
+#: Items packed at a time, and containers that stay open between windows: more fill better, fewer keep neighbours together.
+WINDOW = 64
+OPEN_CONTAINERS = 48
 RANGE_ITEMS = 50_000
 OUT = "capacity int, container long, position int, id long, piece int, token_start long, n_tokens int"
 
@@ -68,8 +71,8 @@ def _projection() -> np.ndarray:
     return np.random.default_rng(7).standard_normal((HASHED, DIMENSIONS))
 
 
-def curve_keys(token_lists: list[list[int]]) -> np.ndarray:
-    """Hilbert key of each text: signed hashed token counts, damped and normalised, projected, cut at normal quantiles."""
+def token_vectors(token_lists: list[list[int]]) -> np.ndarray:
+    """Unit vectors of signed hashed token counts, damped; zero for no tokens."""
     v = np.zeros((len(token_lists), HASHED))
     for k, tokens in enumerate(token_lists):
         if tokens:
@@ -78,7 +81,12 @@ def curve_keys(token_lists: list[list[int]]) -> np.ndarray:
             sign = 1.0 - 2.0 * ((h >> np.uint64(40)) & np.uint64(1)).astype(float)
             np.add.at(v[k], (h >> np.uint64(56)).astype(int) % HASHED, sign * np.sqrt(n))
     norm = np.linalg.norm(v, axis=1, keepdims=True)
-    z = (v / np.where(norm == 0, 1, norm)) @ _projection()  # about standard normal in each dimension
+    return v / np.where(norm == 0, 1, norm)
+
+
+def curve_keys(token_lists: list[list[int]]) -> np.ndarray:
+    """Hilbert key of each text: its vector projected and cut at normal quantiles."""
+    z = token_vectors(token_lists) @ _projection()  # about standard normal in each dimension
     cell = (1 / (1 + np.exp(-1.702 * z)) * (1 << BITS)).astype(int)
     return hilbert_keys(np.clip(cell, 0, (1 << BITS) - 1))
 
@@ -97,8 +105,8 @@ def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks:
 class Packer:
     """Containers of one capacity over a stream of items; best fit, with a bounded number kept open."""
 
-    def __init__(self, capacity: int, first_container: int):
-        self.capacity, self.next = capacity, first_container
+    def __init__(self, capacity: int, first_container: int, most_open: int = OPEN_CONTAINERS):
+        self.capacity, self.next, self.most_open = capacity, first_container, most_open
         self.free: dict[int, list[tuple[int, int]]] = {}  # room -> (container, items in it), newest last
         self.rooms = 0  # bit r is set if some open container has room r
         self.n_open = 0
@@ -127,31 +135,31 @@ class Packer:
         else:
             room, container, held = self.capacity, self.next, 0
             self.next += 1
-        if size == 0 and room == self.capacity:
-            room = self.capacity
         self._put(room - size, (container, held + 1))
         return container, held
 
     def end_window(self) -> None:
         """Close the fullest containers beyond the bound: they can take least."""
-        while self.n_open > OPEN_CONTAINERS:
+        while self.n_open > self.most_open:
             self._take((self.rooms & -self.rooms).bit_length() - 1)
 
 
-def pack(df: DataFrame, capacities: list[int], id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, range_items: int = RANGE_ITEMS) -> DataFrame:
-    """capacity, container, position, id, piece, token_start, n_tokens: where each text, or piece of an oversized one, lies."""
+def pack(df: DataFrame, capacities: list[int], id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS, range_items: int = RANGE_ITEMS, window: int = WINDOW, most_open: int = OPEN_CONTAINERS, shuffled: bool = False) -> DataFrame:
+    """capacity, container, position, id, piece, token_start, n_tokens: where each text, or piece of an oversized one, lies. shuffled: in a random order instead of the curve's, for comparison."""
     if any(c < 1 for c in capacities):
         raise ValueError("capacities must be positive")
     items = checkpoint(sized(df, id_col, text_col, ranks))
+    if shuffled:
+        items = items.withColumn("curve", F.xxhash64("id", "n_tokens"))
     ranges = max(1, -(-items.count() // range_items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = TaskContext.get().partitionId() << 40
-        packers = [Packer(c, start) for c in capacities]
+        packers = [Packer(c, start, most_open) for c in capacities]
         for batch in batches:
-            for at in range(0, batch.num_rows, WINDOW):
-                window = batch.slice(at, WINDOW)
-                ids, sizes = window.column("id").to_pylist(), window.column("n_tokens").to_pylist()
+            for at in range(0, batch.num_rows, window):
+                items_now = batch.slice(at, window)
+                ids, sizes = items_now.column("id").to_pylist(), items_now.column("n_tokens").to_pylist()
                 for packer in packers:
                     pieces = [(min(size - s, packer.capacity), k, s) for k, size in enumerate(sizes) for s in range(0, max(size, 1), packer.capacity)]
                     pieces.sort(key=lambda x: (-x[0], x[1]))
@@ -162,5 +170,27 @@ def pack(df: DataFrame, capacities: list[int], id_col: str = "doc_id", text_col:
     return items.repartitionByRange(ranges, "curve", "id").sortWithinPartitions("curve", "id", "n_tokens").mapInArrow(run, OUT)
 
 
+def locality(packed: DataFrame, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks: str = RANKS) -> DataFrame:
+    """capacity, containers, fill, similarity: the share of room used, and the mean cosine of two texts of one container (whole texts only).
+
+    From sums per container and vector component: the squares of the summed unit vectors count every pair twice and each text once.
+    """
+
+    def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
+        v = token_vectors([encode(t, ranks) for t in batch.column(1).to_pylist()]).astype(np.float32)
+        at, parts = np.nonzero(v)
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(parts.astype(np.int32)), pa.array(v[at, parts])], ["id", "part", "x"])
+
+    vectors = arrow_map(spread(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).dropDuplicates(["id"])), measure, "id long, part int, x float")
+    counted = packed.groupBy("capacity", "container").agg(F.sum("n_tokens").alias("held"), F.max("piece").alias("pieces"))
+    whole = packed.where("piece = 0 and n_tokens > 0 and id is not null").join(counted.where("pieces = 0"), ["capacity", "container"]).select("capacity", "container", "id")
+    sums = whole.join(vectors, "id").groupBy("capacity", "container", "part").agg(F.sum("x").alias("x"))
+    squares = sums.groupBy("capacity", "container").agg(F.sum(F.col("x") * F.col("x")).alias("square"))
+    pairs = whole.groupBy("capacity", "container").agg(F.count("*").alias("n")).join(squares, ["capacity", "container"])
+    similar = pairs.groupBy("capacity").agg((F.sum(F.col("square") - F.col("n")) / F.sum(F.col("n") * (F.col("n") - 1))).alias("similarity"))
+    filled = counted.groupBy("capacity").agg(F.count("*").alias("containers"), (F.sum("held") / F.sum("capacity")).alias("fill"))
+    return filled.join(F.broadcast(similar), "capacity", "left")  # one row per capacity
+
+
 _NAMES = [c.split()[0] for c in OUT.split(", ")]
 _TYPES = [{"int": pa.int32(), "long": pa.int64()}[c.split()[1]] for c in OUT.split(", ")]

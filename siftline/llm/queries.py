@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from siftline.common import fresh_dir, read
+from siftline.common import checkpoint, fresh_dir, read
 from siftline.llm import distinctive, garbled, key_forms, markup, mix, near_dup, pack, split, term_counts
 
 
@@ -80,6 +80,11 @@ def p5_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return key_forms.key_forms(read(spark, sf_dir, "msgcounts")).select("key", "form", "repaired")
 
 
+def p5_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different keys of the wordlist by what made them one: base forms, the script-aware repair, or the shape class for the rest."""
+    return key_forms.key_pairs(read(spark, sf_dir, "wordlist")).groupBy("step").agg(F.count("*").alias("n_pairs"))
+
+
 def _p6(spark: SparkSession, sf_dir: str) -> near_dup.NearDuplicates:
     return near_dup.near_duplicates(read(spark, sf_dir, "mime_parts"), "part_id", "msg", threshold=0.6, min_words=20, features=near_dup.word_hashes)
 
@@ -112,6 +117,24 @@ def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(read(spark, sf_dir, "documents"), sizes).withColumnRenamed("id", "doc_id")
 
 
+def p8_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per capacity the documents placed, containers above the capacity, documents whose pieces do not follow one another, and documents split though they fit."""
+    packed = p8_pack(spark, sf_dir)
+    over = packed.groupBy("capacity", "container").agg(F.sum("n_tokens").alias("held")).groupBy("capacity").agg(F.count_if(F.col("held") > F.col("capacity")).alias("overfull"))
+    docs = packed.groupBy("capacity", "doc_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("token_start") + F.col("n_tokens")).alias("end"), F.count("*").alias("pieces"), F.countDistinct("token_start").alias("starts"))
+    loose = (F.col("n") != F.col("end")) | (F.col("pieces") != F.col("starts"))
+    split_ = (F.col("pieces") > 1) & (F.col("n") <= F.col("capacity"))
+    sums = docs.groupBy("capacity").agg(F.count("*").alias("n_docs"), F.count_if(loose).alias("loose"), F.count_if(split_).alias("needless"))
+    return sums.join(F.broadcast(over), "capacity").select("capacity", "n_docs", "overfull", "loose", "needless")
+
+
+def p8_locality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill and similarity of texts within containers, along the curve and in a random order."""
+    sizes, docs = _setting(spark, sf_dir, "pack_capacity", "pack_capacity_small"), read(spark, sf_dir, "documents")
+    curve, shuffled = (pack.locality(checkpoint(pack.pack(docs, sizes, shuffled=x)), docs).withColumn("order", F.lit(name)) for x, name in ((False, "curve"), (True, "random")))
+    return curve.unionByName(shuffled)
+
+
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records of the mixture and how often each is used: the largest one that has the target shares, so the exponent is 0."""
     m = mix.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"))
@@ -147,13 +170,23 @@ def p9_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("source", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("limit_kept"), F.coalesce(met, F.lit(False)).alias("share_met"))
 
 
+def p10_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document put together again from its pieces without their overlaps, and whether all pieces keep the limit."""
+    limit = _setting(spark, sf_dir, "split_limit")[0]
+    pieces = p10_split(spark, sf_dir)
+    before = F.lag("char_end", 1, 0).over(W.partitionBy("doc_id").orderBy("piece"))
+    own = pieces.withColumn("_before", before).withColumn("own", F.substring("text", F.greatest(F.col("_before") - F.col("char_start"), F.lit(0)) + 1, F.length("text")))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("piece", "own"))), lambda x: x["own"])  # the pieces of one document
+    return own.groupBy("doc_id").agg(F.array_join(parts, "").alias("text"), (F.max("n_tokens") <= limit).alias("within_limit"))
+
+
 def p10_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of every document."""
     limit, overlap = _setting(spark, sf_dir, "split_limit", "split_overlap")
     return split.split_texts(read(spark, sf_dir, "documents"), limit, overlap).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_updated, p2_found, p2_restored, p4_found, p4_clean, p5_found, p5_keys, p6_found, p6_groups, p7_distinctive, p8_pack, p9_mix, p9_shares, p9_tempered, p9_kept, p10_split)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_counts, p1_updated, p2_found, p2_restored, p4_found, p4_clean, p5_found, p5_keys, p5_reach, p6_found, p6_groups, p7_distinctive, p8_pack, p8_kept, p8_locality, p9_mix, p9_shares, p9_tempered, p9_kept, p10_split, p10_rebuilt)}
 
 _P1 = """
 WITH t AS (
@@ -199,4 +232,6 @@ ORACLE |= {
 
 ORACLE |= {
     "p9_kept": "SELECT source, TRUE AS limit_kept, TRUE AS share_met FROM mix_targets WHERE source IN (SELECT source FROM documents WHERE text <> '')",
+    "p8_kept": "SELECT c AS capacity, (SELECT count(*) FROM documents) AS n_docs, 0 AS overfull, 0 AS loose, 0 AS needless FROM (SELECT param_value::INT AS c FROM params WHERE param_name IN ('pack_capacity', 'pack_capacity_small'))",
+    "p10_rebuilt": "SELECT doc_id, coalesce(text, '') AS text, TRUE AS within_limit FROM documents",
 }

@@ -111,6 +111,14 @@ def decode_body(raw: bytes, encoding: str | None, charset: str | None) -> str:
     return to_text(raw, charset)
 
 
+def decode_text(text: str, encoding: str | None, charset: str | None) -> str:
+    """decode_body for a body that is text already: its charset matters only where the transfer encoding hid it."""
+    e = (encoding or "").strip().lower()
+    if e not in ("quoted-printable", "base64", "x-uuencode", "uuencode"):
+        return text
+    return decode_body(text.encode("utf-8", "replace"), e, charset)
+
+
 @F.pandas_udf(T.StringType())
 def decoded_body(raw: pd.Series, encoding: pd.Series, charset: pd.Series) -> pd.Series:
     return pd.Series([None if r is None else decode_body(bytes(r), e, c) for r, e, c in zip(raw, encoding, charset, strict=True)])
@@ -121,9 +129,9 @@ def decoded_words(text: pd.Series) -> pd.Series:
     return text.map(encoded_words, na_action="ignore")
 
 
-def qp_valid(text: Column) -> Column:
-    """Only printable ASCII, tabs and line ends."""
-    return text.rlike(r"^[\x20-\x7e\t\r\n]*$")
+def qp_valid(text: Column, in_header: bool = False) -> Column:
+    """Only printable ASCII; in bodies tabs and line ends too, in headers neither those nor blanks and question marks."""
+    return text.rlike(r"^[\x21-\x3e\x40-\x7e]*$" if in_header else r"^[\x20-\x7e\t\r\n]*$")
 
 
 def crlf_to_lf(text: Column) -> Column:
@@ -148,14 +156,34 @@ def percent_escapes(url: Column) -> Column:
     return F.when(tail.rlike("%[0-9A-Fa-f]{2}"), F.concat(F.regexp_replace(url, r"/.*$", ""), F.coalesce(F.try_url_decode(F.regexp_replace(F.replace(tail, F.lit("+"), F.lit("%2B")), r"%(?![0-9A-Fa-f]{2})", "%25")), tail))).otherwise(url)
 
 
+# The character classes of a token's first, inner and last character.
+# Written as ASCII ranges, which the JVM matches three times faster than its named classes.
+BAD = r"\x00-\x20\x7f:$*<>;=()&%#@+|/\\{}^\"?,\[\]"
+FRONT = r"[^\x00-@\[-`{-\x7f]"
+WORD = rf"{FRONT}(?:[^{BAD}]*[^{BAD}._~'`\-])?"
+
 # Tags that part words; all others leave the words around them joined.
 BREAK_TAGS = r"p|br|li|h[1-6]|hr|title|table|center|dd|dt|iframe|img|input|select|td|textarea|th|/?(?:div|blockquote|pre|dir|dl|fieldset|legend|form|menu|ol|ul)"
 
 
+def escapes_in_tags(html: Column) -> Column:
+    """%xx in the attributes of a, img and font resolved from the first slash of a value on; bytes that are no text stay."""
+    def tag(p: Column) -> Column:
+        parts = F.regexp_extract_all(p, F.lit(r"(?:%[0-9A-Fa-f]{2})+|[^%]+|%"), F.lit(0))
+        shown = F.transform(parts, lambda x, k: F.when(x.rlike("^%[0-9A-Fa-f]{2}") & F.exists(F.slice(parts, F.lit(1), k), lambda y: y.contains("/")), F.coalesce(F.try_url_decode(x), x)).otherwise(x))
+        return F.array_join(shown, "")
+
+    pieces = F.regexp_extract_all(html, F.lit(r"(?is)<(?:a|img|font)\s[^>]*>|[^<]+|<"), F.lit(0))
+    has = html.rlike(r"(?is)<(?:a|img|font)\s[^>]*/[^>]*%[0-9a-f]{2}")
+    return F.when(has, F.array_join(F.transform(pieces, lambda p: F.when(p.startswith("<") & p.contains("%"), tag(p)).otherwise(p)), "")).otherwise(html)
+
+
 def html_text(html: Column) -> Column:
-    """Words of HTML: comments vanish, breaking tags part words, other tags join them; attributes of a, img and font stay as words."""
+    """Words of HTML: comments vanish, breaking tags part words, other tags join them; attributes of a, img and font stay as words, their escapes resolved."""
     out = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")
     out = F.regexp_replace(out, r"(?s)<![^>]*>", "")
+    out = F.regexp_replace(out, rf"(?is)({WORD})((?:<(?:a|font)\s[^>]*>)+)([^\s<])", "$2$1$3")  # the words around such a tag are one
+    out = escapes_in_tags(out)
     out = F.regexp_replace(out, r"(?is)<(?:a|img|font)\s([^>]*)>", " $1 ")
     out = F.regexp_replace(out, rf"(?is)<(?:{BREAK_TAGS})(?:\s[^>]*)?/?>", " ")
     return numeric_entities(F.regexp_replace(out, r"(?s)<[^>]*>", ""))

@@ -5,23 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftline.common import let, spread
+from siftline.functions.decode import BAD, FRONT, WORD, html_text
+from siftline.functions.mime import NAME_ONLY, SKIPPED, TAGS, with_segments
+from siftline.operators.wordlist import fold_nonascii
 from siftline.params import Params
 
-# The character classes of a token's first, inner and last character, of IP addresses and amounts.
-# Written as ASCII ranges, which the JVM matches three times faster than its named classes.
-_BAD = r"\x00-\x20\x7f:$*<>;=()&%#@+|/\\{}^\"?,\[\]"
-FRONT = r"[^\x00-@\[-`{-\x7f]"
-MID = rf"[^{_BAD}]"
-BACK = rf"[^{_BAD}._~'`\-]"
+# IP addresses and amounts.
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 IP = rf"{OCTET}(?:\.{OCTET}){{3}}"
 MONEY = r"\$[0-9]+(?:\.[0-9]+)?"
-WORD = rf"{FRONT}(?:{MID}*{BACK})?"
 TOKEN = rf"{IP}|{MONEY}|{WORD}"
 
-# Header -> tag; headers of which only the name is kept.
-TAGS = {"to": "to:", "cc": "to:", "from": "from:", "return-path": "rtrn:", "subject": "subj:", "received": "rcvd:"}
-NAME_ONLY = ("date", "delivery-date", "message-id", "resent-message-id", "in-reply-to", "references")
 
 
 def is_ip(token: Column) -> Column:
@@ -109,7 +103,7 @@ def header_tokens(df: DataFrame, id_col: str, raw_col: str, p: Params = Params()
     tag = F.lit(None).cast("string")
     for name, prefix in TAGS.items():
         tag = F.when(F.col("name") == name, prefix).otherwise(tag)
-    value = F.regexp_replace("value", r"(?i)boundary=[ ]*\"?[^\s\";]*\"?|(?:file)?name=\"?|[ \t]id\s+<?[A-Za-z0-9.\-]+>?", " ")
+    value = F.regexp_replace("value", SKIPPED, " ")
     inner = F.when(F.col("name").isin(*NAME_ONLY), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(value, F.lit(TOKEN), F.lit(0)))
     names = F.when(F.col("tag").isNull(), F.regexp_extract_all("written", F.lit(WORD), F.lit(0))).otherwise(F.array().cast("array<string>"))
     kept = _kept(F.concat(names, inner), p)
@@ -133,10 +127,48 @@ def header_end_tokens(df: DataFrame, id_col: str, raw_col: str) -> DataFrame:
     return df.where(blanks != "").select(F.col(id_col).alias("id"), F.lit(BAD_HEADER_END).alias("token"))
 
 
+#: Stands for '#' in bounce addresses until the tokens are cut; no text has it.
+_HASH = "\ue000"
+_VERP = rf"({FRONT}[^{BAD}\-]*)-[A-Za-z0-9#\-]*[0-9][A-Za-z0-9#\-]*-([^{BAD}\-]*={WORD}@{FRONT})"
+
+
+def segment_tokens(segment: Column, p: Params = Params()) -> Column:
+    """The tokens of one segment of a message in order: addresses with their subnets, n-grams after the token that ends them, tags once before each.
+
+    In headers a bounce address is normalised and n-grams go on over neighbouring headers of one tag; in bodies they end with the line.
+    """
+    tag, kind, text = segment["tag"], segment["kind"], segment["text"]
+    bounce = F.when(text.contains("="), F.regexp_replace(text, _VERP, f"$1-{_HASH}-$2")).otherwise(text)
+    plain = F.when(kind == "header", bounce).when(kind == "html", html_text(text)).otherwise(without_signature(text))
+
+    def words(t: Column) -> Column:
+        found = F.transform(token_array(t, p), lambda x: F.translate(x, _HASH, "#"))
+        if p.replace_nonascii:
+            found = F.transform(found, fold_nonascii)
+        return F.flatten(F.transform(found, subnets)) if p.block_on_subnets else found
+
+    def prefixed(x: Column) -> Column:
+        address = F.lit("ip:" if p.wordlist_version >= 20040500 else "url:")
+        return F.when(tag.isNull(), x).when(is_ip(x), F.concat(address, x)).otherwise(F.concat(tag, x))
+
+    if p.multi_token_count < 2:
+        return F.filter(F.transform(words(plain), prefixed), lambda x: F.octet_length(x) <= p.max_token_len)
+    lines = F.when(kind == "header", F.array(plain)).otherwise(F.split(plain, "\n"))
+    grams = F.flatten(F.transform(lines, lambda t: F.coalesce(ngrams(words(t), p.multi_token_count), F.array().cast("array<struct<pos: int, size: int, gram: string>>"))))
+    kept = F.filter(F.transform(grams, lambda g: F.struct(g["size"].alias("size"), prefixed(g["gram"]).alias("x"))), lambda g: (g["size"] > 1) | (F.octet_length(g["x"]) <= p.max_token_len))
+    return F.transform(kept, lambda g: g["x"])
+
+
+def token_stream(df: DataFrame, id_col: str, raw_col: str, p: Params = Params()) -> DataFrame:
+    """id, tokens: all tokens of every message in order, from its parts decoded (see mime.segments)."""
+    rows = with_segments(spread(df.select(id_col, raw_col)), id_col, raw_col, p.header_line_markup)
+    return rows.select("id", F.flatten(F.transform("segments", lambda s: segment_tokens(s, p))).alias("tokens"))
+
+
 def message_tokens(df: DataFrame, id_col: str, raw_col: str, p: Params = Params()) -> DataFrame:
-    """Distinct (id, token) of whole messages."""
-    parts = [header_tokens(df, id_col, raw_col, p).select("id", "token"), header_end_tokens(df, id_col, raw_col), body_tokens(df, id_col, raw_col, p)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+    """Distinct (id, token) of whole messages; distinct within the message before exploding, so without a shuffle."""
+    rows = token_stream(df, id_col, raw_col, p).select("id", F.explode(F.array_distinct("tokens")).alias("token"))
+    return rows.unionByName(header_end_tokens(df, id_col, raw_col))
 
 
 def without_signature(text: Column) -> Column:
@@ -152,5 +184,3 @@ def attributes(df: DataFrame, id_col: str, raw_col: str) -> DataFrame:
     address = F.get(F.filter(F.regexp_extract_all("received", F.lit(rf"\[({IP})\]"), F.lit(1)), lambda a: a != "127.0.0.1"), F.lit(0))
     queue = F.regexp_extract("received", r"[ \t]id\s+<?([A-Za-z0-9.\-]+)>?", 1)
     return rows.select("id", address.alias("message_addr"), F.trim(F.regexp_replace("mid", r"\s+", " ")).alias("message_id"), F.when(queue != "", queue).alias("queue_id"))
-
-

@@ -24,6 +24,11 @@ class Params:
     token_count_min: int = 0
     token_count_max: int = 0
     thresh_update: float = 0.0
+    multi_token_count: int = 1  # longest n-gram of tokens
+    header_line_markup: bool = True  # tag the tokens of headers
+    block_on_subnets: bool = False  # addresses with their subnets
+    replace_nonascii: bool = False
+    wordlist_version: int = 20040500  # older ones tag addresses url: instead of ip:
     tags: tuple[str, str, str] = ("Spam", "Ham", "Unsure")
 
     def __post_init__(self):
@@ -33,6 +38,12 @@ class Params:
             raise ValueError("the minimum token count is above the maximum")
 
 
+def _value(like, text: str):
+    if isinstance(like, bool):
+        return text.lower() in ("1", "y", "yes", "t", "true", "on")
+    return type(like)(float(text))
+
+
 def parse(lines: list[str], base: Params = Params()) -> Params:
     """key=value settings; '#' starts a comment, case and '-' for '_' make no difference, unknown keys are ignored, zero robs or robx mean the default."""
     found = {}
@@ -40,7 +51,7 @@ def parse(lines: list[str], base: Params = Params()) -> Params:
         name, sep, value = line.partition("#")[0].partition("=")
         name = name.strip().lower().replace("-", "_")
         if sep and name in Params.__dataclass_fields__ and name != "tags":
-            found[name] = type(getattr(base, name))(float(value)) if value.strip() else getattr(base, name)
+            found[name] = _value(getattr(base, name), value.strip()) if value.strip() else getattr(base, name)
     for name in ("robs", "robx"):
         if found.get(name) == 0:
             found[name] = getattr(Params(), name)

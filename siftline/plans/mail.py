@@ -69,6 +69,45 @@ def part_kinds(spark, sf_dir):
     return read(spark, sf_dir, "mime_parts").groupBy(kind.alias("kind"), enc.alias("encoding")).agg(F.count("*").alias("n"), F.sum(F.coalesce(F.length("msg"), F.lit(0))).alias("chars"))
 
 
+def _mime_messages(spark, sf_dir) -> DataFrame:
+    """msg_id, raw: the decoded parts of each mail written as a MIME message again: base64 of UTF-8 and of UTF-16, quoted-printable, some within a message of their own, beside a part that is no text."""
+    parts = read(spark, sf_dir, "mime_parts").where("msg is not null and msg_id is not null")
+    way = F.pmod("part_id", F.lit(3))
+    wide = F.encode("msg", "UTF-16BE")
+    quoted = F.regexp_replace(F.regexp_replace(F.hex(F.encode("msg", "UTF-8")), "(..)", "=$1"), "((?:=..){24})", "$1=\n")
+    body = F.when(way == 0, F.base64(F.encode("msg", "UTF-8"))).when(way == 1, F.base64(wide)).otherwise(quoted)
+    kind = F.when(mime.normal_type(F.col("mime_type")) == "html", "text/html").otherwise("text/plain")
+    head = F.concat(F.lit("Content-Type: "), kind, F.lit("; charset="), F.when(way == 1, "utf-16be").otherwise("utf-8"), F.lit("\nContent-Transfer-Encoding: "), F.when(way == 2, "quoted-printable").otherwise("base64"), F.lit("\n\n"))
+    nested = F.when(F.pmod("part_id", F.lit(5)) == 0, F.lit("Content-Type: message/rfc822\n\nTo: inner\n")).otherwise(F.lit(""))
+    one = parts.select("msg_id", F.struct("part_no", "part_id", F.concat(F.lit("--=_part\n"), nested, head, F.regexp_replace(body, "\r\n", "\n"), F.lit("\n")).alias("text")).alias("part"))
+    texts = F.transform(F.array_sort(F.collect_list("part")), lambda x: x["text"])  # the parts of one mail
+    subject = F.concat(F.lit("Subject: =?utf-8?B?"), F.base64(F.encode(F.concat(F.lit("Grüße "), F.lit("wegen Teilen")), "UTF-8")), F.lit("?=\nContent-Type: multipart/mixed; boundary=\"=_part\"\n\npreamble here\n"))
+    picture = F.lit("--=_part\nContent-Type: image/png\nContent-Transfer-Encoding: base64\n\naW1hZ2Ugd29yZHM=\n--=_part--\nepilogue\n")
+    return one.groupBy("msg_id").agg(F.concat(subject, F.array_join(texts, ""), picture).alias("raw"))
+
+
+def mime_roundtrip(spark, sf_dir):
+    """The text parts of the generated MIME messages, decoded: type, encoding, depth and text as they were written."""
+    rows = mime.readable(mime.explode_parts(_mime_messages(spark, sf_dir), "msg_id", "raw"))
+    return rows.select(F.col("id").alias("msg_id"), "depth", "parent_type", "mime_type", "mime_encoding", "msg")
+
+
+def mime_tokens(spark, sf_dir):
+    """Tokens of the generated MIME messages."""
+    return tokenize.message_tokens(_mime_messages(spark, sf_dir), "msg_id", "raw", P).withColumnRenamed("id", "msg_id")
+
+
+def classify_messages(spark, sf_dir):
+    """Whole messages scored with the counts registered for their tokens (those at the largest totals)."""
+    c = wordlist.clamp
+    rows = read(spark, sf_dir, "msgcounts").where("key <> ''").select(F.col("key").alias("token"), *[c(F.col(n)).alias(n) for n in ("good", "bad", "msgs_good", "msgs_bad")])
+    known = rows.groupBy("token").agg(F.max(F.struct(F.col("msgs_good") + F.col("msgs_bad"), "bad", "good")).alias("m")).select("token", F.col("m.good").alias("good"), F.col("m.bad").alias("spam"))
+    top = rows.agg(F.max(F.struct(F.col("msgs_good") + F.col("msgs_bad"), "msgs_bad", "msgs_good")).alias("m")).first()["m"]
+    found = tokenize.message_tokens(read(spark, sf_dir, "messages"), "msg_id", "raw", P)
+    counted = score.with_counts(found, known, top["msgs_good"] if top else 0, top["msgs_bad"] if top else 0)
+    return _rounded(score.scores(score.rated(counted, MULTI), MULTI).withColumnRenamed("id", "msg_id"), "p_value", "q_value", "spamicity")
+
+
 def message_parts(spark, sf_dir):
     """The part tree of every message, decoded."""
     rows = mime.explode_parts(read(spark, sf_dir, "messages"), "msg_id", "raw")
@@ -338,7 +377,7 @@ def sender_rank(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        header_tokens, message_tokens, message_attributes, ip_subnets, html_tokens, html_entities, url_escapes, part_kinds, message_parts, decoded_headers, transfer_decoding, without_nonascii,
+        header_tokens, message_tokens, message_attributes, ip_subnets, html_tokens, html_entities, url_escapes, part_kinds, message_parts, mime_roundtrip, mime_tokens, classify_messages, decoded_headers, transfer_decoding, without_nonascii,
         classify_msgcounts, msgcount_roundtrip, wordlist_load, wordlist_merge, legacy_merge, maint_count, maint_age, maint_size, maint_all, nonascii_fold, upgrade_prefix, wordlist_dump,
         dump_roundtrip, bytes_before, multi_list_tokens, multi_list_score, format_headers, pass_through, tune_grid, tune_topten, tune_smooth_min, tune_split, cutoff_for_fp_target,
         stream_auto_update, token_age, event_windows, part_name_bags, mbox_split, sender_rank,
@@ -421,7 +460,7 @@ def _sql_entities(x: str) -> str:
 
 _BREAK = decode.BREAK_TAGS
 _HTML = "msg"
-for _pattern, _by in (("(?s)<!--.*?(?:-->|\\z)", ""), ("(?s)<![^>]*>", ""), ("(?is)<(?:a|img|font)\\s([^>]*)>", " \\1 "), (f"(?is)<(?:{_BREAK})(?:\\s[^>]*)?/?>", " "), ("(?s)<[^>]*>", "")):
+for _pattern, _by in (("(?s)<!--.*?(?:-->|\\z)", ""), ("(?s)<![^>]*>", ""), (f"(?is)({RE_WORD})((?:<(?:a|font)\\s[^>]*>)+)([^\\s<])", "\\2\\1\\3"), ("(?is)<(?:a|img|font)\\s([^>]*)>", " \\1 "), (f"(?is)<(?:{_BREAK})(?:\\s[^>]*)?/?>", " "), ("(?s)<[^>]*>", "")):
     _HTML = f"regexp_replace({_HTML}, '{_pattern}', '{_by}', 'g')"
 
 _GRID_CELLS = ", ".join(f"({idx}, {at[0]}, {at[1]}, {at[2]}, {p.robs!r}, {p.min_dev!r}, {p.robx!r})" for idx, at, p in GRID.cells())
@@ -456,3 +495,23 @@ ORACLE |= {
 
 # the documents lie in one file, so they are one batch, all scored against the counts before it
 ORACLE["stream_auto_update"] = f"SELECT doc_id, n_used, spamicity, status FROM ({sql_classify(P)})"
+
+_READABLE = "CASE WHEN starts_with(lower(trim(regexp_replace(mime_type, ';.*$', ''))), 'text/html') THEN 'text/html' ELSE 'text/plain' END"
+_DEEP = "part_id % 5 = 0"
+_NEW_TOKENS = ["subj:Grüße", "subj:wegen", "subj:Teilen", "head:Content-Type", "head:multipart", "head:mixed", "mime:Content-Type", "mime:image", "mime:png", "mime:Content-Transfer-Encoding", "mime:base64", "preamble", "here", "epilogue"]
+_PLAIN = r"regexp_replace(msg, '(?s)(-----BEGIN PGP SIGNATURE-----\n).*?(-----END PGP SIGNATURE-----|\z)', '\1\2', 'g')"
+ORACLE |= {
+    "mime_roundtrip": f"SELECT msg_id, CASE WHEN {_DEEP} THEN 2 ELSE 1 END AS depth, CASE WHEN {_DEEP} THEN 'message/rfc822' ELSE 'multipart/mixed' END AS parent_type, {_READABLE} AS mime_type, CASE WHEN part_id % 3 = 2 THEN 'quoted-printable' ELSE 'base64' END AS mime_encoding, msg FROM mime_parts WHERE msg IS NOT NULL AND msg_id IS NOT NULL",
+    "mime_tokens": f"""WITH p AS (SELECT part_id, msg_id, msg, {_READABLE} AS kind FROM mime_parts WHERE msg IS NOT NULL AND msg_id IS NOT NULL),
+      t AS (SELECT msg_id, {_HTML} AS x FROM p WHERE kind = 'text/html'), e AS (SELECT msg_id, {_sql_entities('x')} AS x FROM t UNION ALL SELECT msg_id, {_PLAIN} FROM p WHERE kind <> 'text/html'),
+      w AS (SELECT msg_id, unnest(regexp_extract_all(x, '{RE_TOKEN}')) AS token FROM e),
+      f AS (SELECT msg_id, unnest({_NEW_TOKENS!r}) AS token FROM p),
+      g AS (SELECT msg_id, CASE WHEN {_DEEP} THEN '' ELSE 'mime:' END AS tag, unnest(['Content-Type', 'text', kind[6:], 'charset', CASE WHEN part_id % 3 = 1 THEN 'utf-16be' ELSE 'utf-8' END, 'Content-Transfer-Encoding', CASE WHEN part_id % 3 = 2 THEN 'quoted-printable' ELSE 'base64' END]) AS token FROM p),
+      h AS (SELECT msg_id, unnest(['inner', 'mime:message', 'mime:rfc822']) AS token FROM p WHERE {_DEEP})
+      SELECT msg_id, token FROM w WHERE {KEEP} UNION SELECT * FROM f UNION SELECT msg_id, tag || token FROM g UNION SELECT * FROM h""",
+    "classify_messages": f"""WITH {_HEADER_TOKENS}, {_BODY_TOKENS}, tok AS (SELECT msg_id, token FROM ht UNION SELECT msg_id, token FROM bt UNION SELECT msg_id, 'spc:invalid_end_of_header' FROM messages WHERE regexp_extract(replace(raw, chr(13) || chr(10), chr(10)), '(?s)^.*?\\n([ \\t]*)\\n', 1) <> ''),
+      r AS (SELECT key, greatest(coalesce(good, 0), 0) AS good, greatest(coalesce(bad, 0), 0) AS bad, greatest(coalesce(msgs_good, 0), 0) AS mg, greatest(coalesce(msgs_bad, 0), 0) AS ms FROM msgcounts WHERE key <> ''),
+      k AS (SELECT key AS token, max({{'t': mg + ms, 'b': bad, 'g': good}}) AS m FROM r GROUP BY 1), top AS (SELECT max({{'t': mg + ms, 'ms': ms, 'mg': mg}}) AS m FROM r),
+      counted AS (SELECT tok.msg_id AS id, tok.token, coalesce(k.m.g, 0) AS good, coalesce(k.m.b, 0) AS bad, top.m.mg AS mg, top.m.ms AS ms FROM tok LEFT JOIN k USING (token), top), {_sql_rated(MULTI)}, {sql_scores('rated', MULTI)}
+      SELECT id AS msg_id, n AS n_used, round(p, 6) AS p_value, round(q, 6) AS q_value, round(s, 6) AS spamicity, status FROM scored""",
+}

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.functions import decode, mime
-from siftline.operators import render
+from siftline.operators import render, tokenize
 from siftline.params import Params
 from siftline.sources import mailstores, tables
 from siftline.streaming.auto_update import AutoUpdate
@@ -115,3 +115,57 @@ def test_stream_auto_update(spark, tmp_path):
     assert {r["token"]: (r["spam"], r["good"]) for r in table.collect()}["cheapest"] == (1, 0)
     u(spark.createDataFrame([("a", "viagra pills cheapest"), ("b", "meeting lunch agenda")], schema), 0)  # a retried batch changes nothing
     assert u.counts()[1:] == (11, 11)
+
+
+def stream(spark, raw, **settings):
+    df = spark.createDataFrame([(1, raw)], "id int, raw string")
+    return tokenize.token_stream(df, "id", "raw", Params(**settings)).first()["tokens"]
+
+
+HEAD_AND_BODY = "From somebody@bogofilter.org\nTo:  somebody-else@bogofilter.org\n\nThis is a test\n"
+
+
+@pytest.mark.parametrize("n, want", [
+    (1, "From:somebody bogofilter.org | somebody-else bogofilter.org | This is test"),
+    (2, "From somebody From*somebody bogofilter.org somebody*bogofilter.org | somebody-else bogofilter.org somebody-else*bogofilter.org | This is This*is test is*test"),
+    (3, "From somebody From*somebody bogofilter.org somebody*bogofilter.org From*somebody*bogofilter.org | somebody-else bogofilter.org somebody-else*bogofilter.org | This is This*is test is*test This*is*test"),
+])
+def test_golden_ngrams_of_headers(spark, n, want):
+    parts = want.replace(":", " ").split(" | ")
+    want = [t + w for t, part in zip(("head:", "to:", ""), parts) for w in part.split()]
+    assert stream(spark, HEAD_AND_BODY, multi_token_count=n, min_token_len=2) == want
+
+
+def test_golden_subnets_of_messages(spark):
+    want = "head:test url:192.168.1.2 url:192.168.1 url:192.168 url:192 body 172.12.13.14 172.12.13 172.12 172".split()
+    assert stream(spark, "test: 192.168.1.2\n\nbody 172.12.13.14\n", block_on_subnets=True, wordlist_version=0) == want
+
+
+def test_golden_html_states(spark):
+    raw = "From bounce\nTo: junk\nContent-Type: text/html\n\nDONE\nDone\ndone\n\ncom<!innards>ment\ntwo<br>words\nword<a www.com/>list\nword<tag junk>list\n<junk href=href.a/>\n<a href=url.example.com/>\n<img href=file.img>\n<img picture.gif/>\n<font verdana,arial color=red>\n<fontx font>\n"
+    want = "head:From head:bounce to:junk head:Content-Type head:text head:html DONE Done done comment two words www.com wordlist wordlist href url.example.com href file.img picture.gif verdana arial color red"
+    assert sorted(stream(spark, raw)) == sorted(want.split())
+
+
+def test_golden_entities_and_escapes(spark):
+    raw = 'Content-Type: text/html\n\n&#x41;BC;\n&#68;EF&#71;\n&#x48;IJK&#x4c;\n&#x41;BC;&#151;&#68;EF&#71;\n\nGet<!--vE--> &#x41;n<!--4-->y&#x6F;&#x6E;&#x65;&#151;&#x45;&#x6c;&#x73;&#x65; R&#88;<!--cs-->&#x59;\n<IMG SRC="http://www.prerequisite.com@w%77w.o%6E%6C%69neme%64%73%74%6F%72%65%2E%62i%7A/%65%76/sv%2E%70%68p?e=dvsr@sonic-pik.com">\n'
+    assert [t for t in stream(spark, raw) if ":" not in t] == "ABC DEFG HIJKL ABC DEFG Get Anyone Else RXY SRC http www.prerequisite.com www.onlinemedstore.biz sv.php dvsr sonic-pik.com".split()
+    link = 'Content-Type: text/html; charset="iso-8859-1"\n\n<a href="http://%32%31.2%332.%316%30.1%305/%7a/s%69l%76e%72/f%61r%6d/i%6ed%65x.%68t%6dl">\n'
+    assert [t for t in stream(spark, link) if ":" not in t] == "href http 21.232.160.105 silver farm index.html".split()
+
+
+def test_parts_are_decoded_tagged_and_filtered(spark):
+    import base64
+
+    b64 = base64.encodebytes("secret grüße".encode()).decode()
+    raw = (
+        "Subject: =?utf-8?Q?gr=C3=BC=C3=9Fe?= you\nReturn-Path: <bounce-123-user=host.example@list.example>\nReceived: from [10.1.2.3] id ABC\nContent-Type: multipart/mixed; boundary=\"zz\"\n\npreamble\n"
+        f"--zz\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\n{b64}--zz\nContent-Type: image/png\n\nnothing\n--zz\nContent-Type: message/rfc822\n\nTo: inner\nX-Own: yes\n\nnested text\n"
+        "--zz\nContent-Type: text/html\nContent-Transfer-Encoding: quoted-printable\n\nbo<b>l=\nd</b>\n--zz--\nepilogue\n"
+    )
+    got = stream(spark, raw)
+    for t in ("subj:grüße", "subj:you", "rtrn:bounce-#-user", "rtrn:host.example", "ip:10.1.2.3", "preamble", "secret", "grüße", "mime:plain", "mime:image", "inner", "X-Own", "yes", "nested", "bold", "epilogue", "head:multipart", "head:mixed"):
+        assert t in got, t
+    assert not {"nothing", "rcvd:ABC", "to:inner", "zz", "head:zz"} & set(got)
+    assert stream(spark, "X: naïve\n\nnaïve\n", replace_nonascii=True, header_line_markup=False)[-1] == "na??ve"
+    assert stream(spark, "") == [] and stream(spark, None) in ([], None)

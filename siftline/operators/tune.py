@@ -1,39 +1,57 @@
 """Parameter search: grids, false-positive targets, order statistics and the choice of a smooth minimum.
 
-Token counts of the messages are joined once; a grid cell only redoes the arithmetic. Every message is
-scored for all cells in one aggregate (cells differ in columns, not in joined rows), so the shuffle
-carries messages x cells numbers instead of tokens x cells rows.
+Token counts of the messages are joined and brought together by message once; a grid cell only redoes the
+arithmetic. One Arrow pass scores every message for all cells: the sums over its tokens are shared by
+the cells that differ in exponents only, the chi-square tails by those that differ in the other exponent. What
+leaves a task is a few numbers per cell: first the highest good scores, from which each cell's cutoff
+follows, then the spam below it. The size of a message does not matter, as sums go on over batches.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from siftline.common import broadcast_if_small, checkpoint
-from siftline.functions.prob import combine, deviates, token_probability
-from siftline.params import Params
-
-RX_MIN, RX_MAX, SPAM_CUTOFF, MIN_CUTOFF = 0.4, 0.6, 0.975, 0.55
-
-
-def by_amount(first: float, last: float, step: float) -> list[float]:
-    n = int((abs(last - first) + 1e-12) / (abs(step) - 1e-15)) + 1
-    return [first + i * step for i in range(n)]
-
-
-def by_power(first: float, last: float, step: float) -> list[float]:
-    return [10**x for x in by_amount(first, last, step)]
-
-
-def around(center: float, step: float) -> list[float]:
-    """The centre and up to two steps to either side, within the allowed range of robx."""
-    center = min(max(center, RX_MIN), RX_MAX)
-    near = [center + sign * step * c for c in (1, 2) for sign in (-1, 1)]
-    return [center] + [x for x in near if RX_MIN <= x <= RX_MAX]
+from siftline.functions.prob import upper_gamma
+from siftline.params import EPS, Params
+
+SPAM_CUTOFF, MIN_CUTOFF, HAM_CUTOFF, CERTAIN = 0.975, 0.55, 0.10, 0.999999
+
+# Fixed values of the search, per dimension: the range allowed, the coarse values as (first, last, step) or as
+# (steps to either side, step) of a centre, the fine ones as (reach, step) around the best; robs in powers of ten.
+SEARCH = {
+    "robs": {"range": (-2.0, 0.0), "coarse": (-2.0, 0.0, 1.0), "fine": (0.5, 0.25), "power": True},
+    "min_dev": {"range": (0.01, 0.499), "coarse": (0.05, 0.45, 0.1), "fine": (0.042, 0.014)},
+    "robx": {"range": (0.4, 0.6), "coarse": (2, 0.05), "fine": (0.026, 0.013), "centred": True},
+    "sp_exp": {"range": (0.0, 20.0), "coarse": (2.0, 20.0, 3.0), "fine": (1.5, 0.5)},
+    "ns_exp": {"range": (0.0, 20.0), "coarse": (2.0, 20.0, 3.0), "fine": (1.5, 0.5)},
+}
+
+
+def values(name: str, around: float | None = None, fine: bool = False) -> tuple[float, ...]:
+    """The values of a dimension; those with a centre by their distance from it, powers from the highest down."""
+    d = SEARCH[name]
+    low, high = d["range"]
+    if d.get("centred"):
+        step = d["fine"][1] if fine else d["coarse"][1]
+        centre = float(np.clip(around, low, high))
+        grid = centre + step * np.array([0, -1, 1, -2, 2])
+        grid = grid[(grid >= low - 1e-9) & (grid <= high + 1e-9)]
+    else:
+        if fine:
+            at, (reach, step) = math.log10(around) if d.get("power") else around, d["fine"]
+            first, last = max(at - reach, low), min(at + reach, high)
+        else:
+            first, last, step = d["coarse"]
+        grid = np.arange(first, last + step * 1e-6, step)
+    return tuple((10.0 ** grid[::-1] if d.get("power") else grid).round(12).tolist())
 
 
 @dataclass(frozen=True)
@@ -58,50 +76,150 @@ class Grid:
 
 
 def coarse_grid(robx: float, esf: bool = True) -> Grid:
-    exps = tuple(by_amount(2.0, 20.0, 3.0)) if esf else (0.0,)
-    return Grid(tuple(by_power(0.0, -2.0, -1.0)), tuple(by_amount(0.05, 0.45, 0.1)), tuple(around(robx, 0.05)), exps, exps)
+    return Grid(*(values(n, robx) for n in ("robs", "min_dev", "robx")), *([values("sp_exp"), values("ns_exp")] if esf else []))
 
 
 def fine_grid(best: Params, sp_exp: float = 0.0, ns_exp: float = 0.0, esf: bool = True) -> Grid:
-    s0, s1 = max(math.log10(best.robs) - 0.5, -2.0), min(math.log10(best.robs) + 0.5, 0.0)
-    m0, m1 = max(best.min_dev - 0.042, 0.01), min(best.min_dev + 0.042, 0.499)
-    span = lambda e: tuple(by_amount(max(e - 1.5, 0.0), min(e + 1.5, 20.0), 0.5)) if esf else (0.0,)
-    return Grid(tuple(by_power(s1, s0, -0.25)), tuple(by_amount(m0, m1, 0.014)), tuple(around(best.robx, 0.013)), span(sp_exp), span(ns_exp))
-
-
-def split_for_tuning(messages: DataFrame, train_parts: int = 1, score_parts: int = 1) -> DataFrame:
-    """Adds role ('train', or 'score' with bin 0..2) by a stable hash of the id: a proportional split without a global sort."""
-    h = F.xxhash64("id")
-    whole = train_parts + score_parts
-    part = F.pmod(h, F.lit(whole))
-    return messages.withColumn("role", F.when(part < train_parts, "train").otherwise("score")).withColumn("bin", F.pmod(F.shiftrightunsigned(h, 32), F.lit(3)).cast("int"))
-
-
-def grid_scores(counted: DataFrame, grid: Grid, at_once: int = 6) -> DataFrame:
-    """idx, id, spamicity of every cell for every message of counted(id, token, good, bad, msgs_good, msgs_bad)."""
-    rows = None
-    cells = grid.cells()
-    for k in range(0, len(cells), at_once):
-        part = cells[k : k + at_once]
-        sums = []
-        for idx, _, p in part:
-            fw = token_probability(F.col("good"), F.col("bad"), F.col("msgs_good"), F.col("msgs_bad"), p)
-            used = deviates(fw, p)
-            ln = lambda x, u=used: F.coalesce(F.sum(F.when(u, F.ln(x))), F.lit(0.0))
-            sums.append(F.struct(ln(1 - fw).alias("i"), ln(fw).alias("f"), F.count_if(used).alias("n")).alias(f"c{idx}"))
-        wide = counted.groupBy("id").agg(*sums)
-        scored = F.array(*[F.struct(F.lit(idx).alias("idx"), combine(F.col(f"c{idx}.i"), F.col(f"c{idx}.f"), F.col(f"c{idx}.n"), p)["spamicity"].alias("spamicity")) for idx, _, p in part])
-        tall = wide.select("id", F.explode(scored).alias("s")).select("s.idx", "id", "s.spamicity")
-        rows = tall if rows is None else rows.unionByName(tall)
-    return rows
-
-
-def kth_highest(scores: DataFrame, k: int, by: str = "idx") -> DataFrame:
-    """The k-th highest spamicity of each group, for a small k: each task keeps at most k rows a group before the shuffle."""
-    top = F.element_at(F.sort_array(F.col("top"), asc=False), k)
-    w = W.partitionBy(by).orderBy(F.desc("spamicity"))
-    ranked = scores.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)  # row_number <= k is pruned before the shuffle
-    return ranked.groupBy(by).agg(F.collect_list("spamicity").alias("top")).where(F.size("top") >= k).select(by, top.alias("cutoff"))
+    """Narrower steps around a cell of the coarse grid."""
+    at = {"robs": best.robs, "min_dev": best.min_dev, "robx": best.robx, "sp_exp": sp_exp, "ns_exp": ns_exp}
+    return Grid(*(values(n, x, fine=True) for n, x in at.items() if esf or not n.endswith("exp")))
+
+
+LIST_COUNT, TEST_COUNT = 2000, 500
+
+
+def train_share(n: int) -> float:
+    """The share of so many messages of a class that is for training: 4 of 5 while they are few, then less, down to half."""
+    few, many = LIST_COUNT + TEST_COUNT, 2 * LIST_COUNT
+    place = min(max((n - few) / (many - few), 0.0), 1.0)
+    ratio = LIST_COUNT / TEST_COUNT + (1 - LIST_COUNT / TEST_COUNT) * place
+    return ratio / (1 + ratio)
+
+
+def split_for_tuning(messages: DataFrame, n_good: int, n_spam: int) -> DataFrame:
+    """Adds role ('train', or 'score' with bin 0..2) to messages(id, is_spam) by digits of the id's MD5: the share of each class follows its size, without a sort."""
+    digest = F.md5(F.col("id").cast("string"))
+    number = lambda at, n: F.conv(F.substring(digest, at, n), 16, 10).cast("long")
+    share = F.when(F.col("is_spam"), F.lit(train_share(n_spam))).otherwise(F.lit(train_share(n_good)))
+    return messages.withColumn("role", F.when(number(1, 8) < share * (1 << 32), "train").otherwise("score")).withColumn("bin", F.pmod(number(9, 4), F.lit(3)).cast("int"))
+
+
+_INPUT = ["id", "is_spam", "good", "bad", "msgs_good", "msgs_bad"]
+
+
+def by_message(counted: DataFrame, labels: DataFrame) -> DataFrame:
+    """Counted tokens with their message's class, brought together by message, ready for any number of scans."""
+    rows = counted.join(broadcast_if_small(labels.select("id", "is_spam")), "id").select(*_INPUT)
+    return checkpoint(rows.repartition("id").sortWithinPartitions("id"))
+
+
+def token_sums(batch: pa.RecordBatch, starts: np.ndarray, grid: Grid) -> np.ndarray:
+    """(sum of ln(1 - fw), sum of ln(fw), number) of used tokens: 3 x robs x min_dev x robx x messages."""
+    good, bad, mg, ms = (batch.column(n).to_numpy(zero_copy_only=False).astype(float) for n in _INPUT[2:])
+    n, weighted = good + bad, bad * mg
+    known = weighted + good * ms
+    out = np.empty((3, len(grid.robs), len(grid.min_dev), len(grid.robx), len(starts)))
+    for (i, s), (k, x) in product(enumerate(grid.robs), enumerate(grid.robx)):
+        share = np.where(known > 0, weighted / np.where(known > 0, known, 1), x)
+        fw = np.where(n > 0, (s * x + n * share) / (s + n), x)
+        logs = np.log(np.clip(np.stack([1 - fw, fw]), 1e-300, 1.0))
+        for j, d in enumerate(grid.min_dev):
+            used = np.abs(fw - 0.5) > d
+            out[:2, i, j, k] = np.add.reduceat(np.where(used, logs, 0.0), starts, axis=1)
+            out[2, i, j, k] = np.add.reduceat(used.astype(float), starts)
+    return out
+
+
+def cell_scores(sums: np.ndarray, grid: Grid) -> np.ndarray:
+    """Spamicity of each cell, in its order, for each message: cells x messages."""
+    def tails(logs: np.ndarray, exponents: tuple[float, ...]) -> np.ndarray:
+        factor = 0.75 ** np.array(exponents).reshape(-1, 1)
+        flat, n = logs.reshape(1, -1), sums[2].reshape(1, -1)
+        q = upper_gamma(n * factor, -flat * factor).reshape(len(exponents), *logs.shape)
+        return np.where(q < EPS, 0.0, q)
+
+    p, q = tails(sums[0], grid.sp_exp)[:, None], tails(sums[1], grid.ns_exp)[None]  # spam exponent x ham exponent x the rest
+    with np.errstate(invalid="ignore"):
+        s = np.where((p == 0) & (q == 0), 0.5, q / (p + q))
+    robx = np.array(grid.robx).reshape(1, 1, 1, 1, -1, 1)
+    s = np.where(sums[2][None, None] == 0, robx, s)
+    return np.moveaxis(s, (0, 1), (3, 4)).reshape(-1, sums.shape[-1]).round(9)
+
+
+def scored_messages(batches: Iterator[pa.RecordBatch], grid: Grid) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """(ids, is_spam, scores: cells x messages) of a stream of by_message rows; a message may go on over batches."""
+    held: tuple | None = None  # id, class and sums of the message that may go on
+    for b in batches:
+        if not b.num_rows:
+            continue
+        code = b.column("id").dictionary_encode()
+        starts = np.flatnonzero(np.diff(code.indices.to_numpy(), prepend=-1))
+        ids, spam = b.column("id").take(pa.array(starts)).to_pylist(), b.column("is_spam").to_numpy(zero_copy_only=False)[starts].astype(bool)
+        sums = token_sums(b, starts, grid)
+        if held is not None:
+            if held[0] == ids[0]:
+                sums[..., 0] += held[2]
+            else:
+                yield [held[0]], np.array([held[1]]), cell_scores(held[2][..., None], grid)
+        held = (ids[-1], spam[-1], sums[..., -1].copy())
+        for at in range(0, len(ids) - 1, 512):
+            end = min(at + 512, len(ids) - 1)
+            yield ids[at:end], spam[at:end], cell_scores(sums[..., at:end], grid)
+    if held is not None:
+        yield [held[0]], np.array([held[1]]), cell_scores(held[2][..., None], grid)
+
+
+def grid_scores(rows: DataFrame, grid: Grid) -> DataFrame:
+    """idx, id, is_spam, spamicity of every cell and message, for small grids and for looking at."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, spam, s in scored_messages(batches, grid):
+            cells, n = s.shape
+            at = np.tile(np.arange(n), cells)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(cells, dtype=np.int32), n)), pa.array(ids).take(pa.array(at)), pa.array(spam[at]), pa.array(s.reshape(-1))], ["idx", "id", "is_spam", "spamicity"])
+
+    return rows.mapInArrow(run, f"idx int, id {rows.schema['id'].dataType.simpleString()}, is_spam boolean, spamicity double")
+
+
+def grid_results(rows: DataFrame, grid: Grid, target: int) -> DataFrame:
+    """One row per cell: its place and parameters, cutoff, fp and fn, of by_message rows.
+
+    The cutoff is the target-th highest good score, or, where that is all but 1, the highest one that is not: fp is its
+    place among the good scores, fn the number of spam below it.
+    """
+    n_cells = math.prod(grid.shape())
+    spark = rows.sparkSession
+
+    def highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, below = np.full((n_cells, target), -1.0), np.full(n_cells, -1.0)
+        certain, least, n = np.zeros(n_cells, np.int64), np.full(n_cells, 2.0), 0
+        for _, spam, s in scored_messages(batches, grid):
+            s = s[:, ~spam]
+            n += s.shape[1]
+            if s.shape[1]:
+                top = -np.sort(-np.hstack([top, s]), axis=1)[:, :target]
+                sure = s >= CERTAIN
+                certain += sure.sum(1)
+                below = np.maximum(below, np.where(sure, -1.0, s).max(1))
+                least = np.minimum(least, s.min(1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_cells, dtype=np.int32)), pa.array(list(top), pa.list_(pa.float64())), pa.array(below), pa.array(least), pa.array(certain), pa.array([n] * n_cells, pa.int64())], ["idx", "top", "below", "least", "certain", "n"])
+
+    per_task = rows.mapInArrow(highest, "idx int, top array<double>, below double, least double, certain long, n long")
+    merged = per_task.groupBy("idx").agg(F.flatten(F.collect_list("top")).alias("top"), F.max("below").alias("below"), F.min("least").alias("least"), F.sum("certain").alias("certain"), F.sum("n").alias("n"))  # `target` numbers per task
+    kth = F.element_at(F.sort_array("top", asc=False), target)
+    cut = F.when(F.col("n") < target, F.col("least")).when(F.col("certain") < target, kth).when(F.col("certain") < F.col("n"), F.col("below")).otherwise(F.col("least"))
+    place = F.when(F.col("n") < target, F.col("n")).when(F.col("certain") < target, F.lit(target)).otherwise(F.least(F.col("certain") + 1, F.col("n")))
+    found = {r["idx"]: r for r in merged.select("idx", cut.alias("cutoff"), place.cast("int").alias("fp")).collect()}  # one row per cell
+    cutoffs = np.array([found[k]["cutoff"] if k in found else 2.0 for k in range(n_cells)])
+
+    def missed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = np.zeros(n_cells, np.int64)
+        for _, spam, s in scored_messages(batches, grid):
+            fn += (s[:, spam] < cutoffs[:, None]).sum(1)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_cells, dtype=np.int32)), pa.array(fn)], ["idx", "fn"])
+
+    names = "idx int, rsi int, mdi int, rxi int, spi int, nsi int, robs double, min_dev double, robx double, sp_esf double, ns_esf double, cutoff double, fp int"
+    cells = spark.createDataFrame([(idx, *where, p.robs, p.min_dev, p.robx, p.sp_esf, p.ns_esf, found[idx]["cutoff"], found[idx]["fp"]) for idx, where, p in grid.cells() if idx in found], names)
+    return rows.mapInArrow(missed, "idx int, fn long").groupBy("idx").agg(F.sum("fn").alias("fn")).join(F.broadcast(cells), "idx")  # one row per cell
 
 
 def target_of(n_good: int) -> int:
@@ -110,27 +228,31 @@ def target_of(n_good: int) -> int:
     return max(int((-0.4831 * x + 12.8976) * x - 61.5264 + 0.5), 1)
 
 
-def threshold(n_good: int, scores_of_good_desc: list[float]) -> tuple[int, float]:
-    """(target, cutoff): the target lowered until its cutoff is high enough, and the cutoff capped."""
-    target = min(target_of(n_good), len(scores_of_good_desc))
-    while target > 1 and scores_of_good_desc[target - 1] < MIN_CUTOFF:
-        target -= 1
-    cutoff = scores_of_good_desc[target - 1]
-    if cutoff > SPAM_CUTOFF:
-        target = max(1, sum(s > SPAM_CUTOFF for s in scores_of_good_desc))
-        cutoff = SPAM_CUTOFF
-    return target, cutoff
-
-
-def grid_results(scored: DataFrame, labels: DataFrame, grid: Grid, target: int) -> DataFrame:
-    """One row per cell: its place and parameters, the cutoff at which `target` good messages are above, fp and fn."""
-    rows = checkpoint(scored.join(broadcast_if_small(labels), "id"))  # read twice below: cutoffs, then errors at them
-    cut = kth_highest(rows.where(~F.col("is_spam")), target).select("idx", F.least(F.col("cutoff"), F.lit(SPAM_CUTOFF)).alias("cutoff"))
-    at = rows.join(F.broadcast(cut), "idx")  # one row per cell
-    counts = at.groupBy("idx", "cutoff").agg(F.count_if(~F.col("is_spam") & (F.col("spamicity") >= F.col("cutoff"))).alias("fp"), F.count_if(F.col("is_spam") & (F.col("spamicity") < F.col("cutoff"))).alias("fn"))
-    names = "idx int, rsi int, mdi int, rxi int, spi int, nsi int, robs double, min_dev double, robx double, sp_esf double, ns_esf double"
-    cells = scored.sparkSession.createDataFrame([(idx, *where, p.robs, p.min_dev, p.robx, p.sp_esf, p.ns_esf) for idx, where, p in grid.cells()], names)
-    return counts.join(F.broadcast(cells), "idx")
+def threshold(scores: DataFrame) -> tuple[int, float]:
+    """(target, cutoff) from spamicity of good messages: the target lowered until its cutoff is high enough, and the cutoff capped.
+
+    Only as many of the highest scores as the target are collected, and a count of those above the cap.
+    """
+    n = scores.agg(F.count("*").alias("n"), F.count_if(F.col("spamicity") > SPAM_CUTOFF).alias("above")).first()
+    if not n["n"]:
+        return 1, SPAM_CUTOFF
+    top = [r[0] for r in scores.select("spamicity").orderBy(F.desc("spamicity")).limit(min(target_of(n["n"]), n["n"])).collect()]
+    target = next((k for k in range(len(top), 0, -1) if top[k - 1] >= MIN_CUTOFF), 1)
+    if top[target - 1] > SPAM_CUTOFF:
+        return n["above"], SPAM_CUTOFF
+    return target, top[target - 1]
+
+
+def quality_checks(scored: DataFrame, share: float = 0.01) -> DataFrame:
+    """class, at, score, suspicious: the score at the place of `share` among the highest good and the lowest spam scores of (is_spam, spamicity); suspicious where messages look wrongly filed."""
+    n = scored.agg(F.count_if(~F.col("is_spam")).alias("g"), F.count_if("is_spam").alias("s")).first()
+    spark, out = scored.sparkSession, []
+    for name, count, rows in (("good", n["g"], scored.where("not is_spam")), ("spam", n["s"], scored.where("is_spam").withColumn("spamicity", 1 - F.col("spamicity")))):
+        if count:
+            at = math.ceil(count * share)
+            s = order_statistics(rows, [at])[0]
+            out.append((name, at, s if name == "good" else 1 - s, s >= SPAM_CUTOFF if name == "good" else 1 - s <= HAM_CUTOFF + EPS))
+    return spark.createDataFrame(out, "class string, at long, score double, suspicious boolean")
 
 
 def best_cells(results: DataFrame, target: int, n: int = 10) -> DataFrame:

@@ -32,12 +32,12 @@ class Trained:
     size: int  # bytes, counted
 
 
-def trained(spark: SparkSession, sf_dir: str) -> Trained:
-    """The count table of the labelled documents. Every message also holds the totals' token, so one aggregate gives both."""
+def trained(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> Trained:
+    """The count table of the labelled documents, or of those in known(id, is_spam). Every message also holds the totals' token, so one aggregate gives both."""
     docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
     found = F.array_distinct(tokenize.token_array(F.col("text"), P))
     held = docs.select(F.col("doc_id").alias("id"), found.alias("t")).where(F.size("t") > 0).select("id", F.explode(F.concat("t", F.array(F.lit(TOTALS)))).alias("token"))
-    table = checkpoint(wordlist.register(held, labels(spark, sf_dir)))
+    table = checkpoint(wordlist.register(held, labels(spark, sf_dir) if known is None else known))
     of_totals = lambda c: F.max(F.when(F.col("token") == TOTALS, F.col(c)))
     one = table.agg(of_totals("good").alias("good"), of_totals("spam").alias("spam"), F.sum(F.octet_length("token") + 48).alias("size")).first()
     return Trained(table.where(F.col("token") != TOTALS), one["good"] or 0, one["spam"] or 0, one["size"] or 0)
@@ -170,7 +170,7 @@ def confusion_by_source(spark, sf_dir):
     return stats.confusion(_with_source(spark, sf_dir), "source", P.tags)
 
 
-def _labelled_scores(spark, sf_dir):
+def labelled_scores(spark, sf_dir):
     return score.scores(score.rated(counted(spark, sf_dir), P), P).join(labels(spark, sf_dir), "id")
 
 
@@ -178,7 +178,7 @@ CUTOFFS = [0.05 * k for k in range(1, 20)]
 
 
 def fp_fn_curve(spark, sf_dir):
-    scored = _labelled_scores(spark, sf_dir).withColumn("spamicity", F.round("spamicity", 6))
+    scored = labelled_scores(spark, sf_dir).withColumn("spamicity", F.round("spamicity", 6))
     return _rounded(stats.errors_at(scored, CUTOFFS), "cutoff")
 
 

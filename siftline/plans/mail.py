@@ -11,6 +11,7 @@ from siftline.functions import decode, mime
 from siftline.functions.prob import token_probability
 from siftline.operators import render, score, stats, tokenize, tune, wordlist
 from siftline.params import Params, from_table
+from siftline.plans import corpus
 from siftline.plans.corpus import KEEP, RE_IP, RE_TOKEN, RE_WORD, sql_classify, sql_fw, sql_scores, sql_tail
 from siftline.sources import mailstores, tables
 from siftline.streaming.auto_update import AutoUpdate
@@ -278,49 +279,78 @@ def pass_through(spark, sf_dir):
 
 # --- tuning -----------------------------------------------------------------------------------------
 
-GRID = tune.Grid(robs=(1.0, 0.1, 0.01), min_dev=(0.1, 0.3, 0.4), robx=(0.52, 0.57, 0.47))
-
-
 def _tuning(spark, sf_dir):
-    """(counts, truth) of the count file's messages; spam is what the default parameters score above 1/2."""
-    counted = checkpoint(_counted(spark, sf_dir))
-    truth = score.scores(score.rated(counted, P), P).select("id", (F.col("spamicity") > 0.5).alias("is_spam"))
-    return counted, checkpoint(truth)
-
-
-def _results(spark, sf_dir):
-    counted, truth = _tuning(spark, sf_dir)
-    n_good = truth.where("not is_spam").count()
-    target = tune.target_of(n_good)
-    scored = tune.grid_scores(counted, GRID).withColumn("spamicity", F.round("spamicity", 9))
-    return checkpoint(tune.grid_results(scored, truth, GRID, target)), target
+    """(tokens of the scored documents with the counts of the training ones, robx, target): the labelled documents, split."""
+    lab = corpus.labels(spark, sf_dir)
+    n = lab.agg(F.count_if(~F.col("is_spam")).alias("g"), F.count_if("is_spam").alias("s")).first()
+    roles = checkpoint(tune.split_for_tuning(lab, n["g"], n["s"]))
+    found = corpus.doc_tokens(spark, sf_dir)
+    t = corpus.trained(spark, sf_dir, roles.where("role = 'train'").select("id", "is_spam"))
+    mean = stats.robx(t.table, t.msgs_spam, t.msgs_good).first()["robx"]
+    robx = round(min(max(P.robx if mean is None else mean, 0.4), 0.6), 12)
+    truth = roles.where("role = 'score'").select("id", "is_spam")
+    rows = tune.by_message(score.with_counts(found.join(truth.select("id"), "id", "left_semi"), t.table, t.msgs_good, t.msgs_spam, t.size), truth)
+    first = tune.grid_scores(rows, tune.Grid((P.robs,), (0.02,), (robx,)))
+    return rows, robx, tune.threshold(first.where("not is_spam"))[0]
+
+
+def _coarse(spark, sf_dir):
+    rows, robx, target = _tuning(spark, sf_dir)
+    grid = tune.coarse_grid(robx)
+    return rows, grid, checkpoint(tune.grid_results(rows, grid, target)), target
 
 
 def tune_grid(spark, sf_dir):
-    return _rounded(_results(spark, sf_dir)[0], "cutoff", "robs", "sp_esf", "ns_esf")
+    """The coarse scan: every cell of all five dimensions."""
+    return _rounded(_coarse(spark, sf_dir)[2], "cutoff", "robs", "robx", "sp_esf", "ns_esf")
 
 
 def tune_topten(spark, sf_dir):
     """The ten best cells."""
-    results, target = _results(spark, sf_dir)
+    _, _, results, target = _coarse(spark, sf_dir)
     return tune.best_cells(results, target).select("idx", "fp", "fn", F.round("cutoff", 6).alias("cutoff"))
 
 
 def tune_smooth_min(spark, sf_dir):
-    results, target = _results(spark, sf_dir)
-    return tune.smooth_minimum(results, GRID, target).select("idx", "smooth", "fp", "fn", F.round("cutoff", 6).alias("cutoff"))
+    """The cell chosen for its neighbourhood."""
+    _, grid, results, target = _coarse(spark, sf_dir)
+    return tune.smooth_minimum(results, grid, target).select("idx", "smooth", "fp", "fn", F.round("cutoff", 6).alias("cutoff"))
+
+
+def tune_fine(spark, sf_dir):
+    """The recommended parameters: the best cell of the fine grid around the coarse scan's choice."""
+    rows, grid, results, target = _coarse(spark, sf_dir)
+    best = tune.smooth_minimum(results, grid, target).first()
+    if best is None:
+        return results.limit(0)
+    at = dict(zip(("sp_exp", "ns_exp"), (grid.sp_exp[best["spi"]], grid.ns_exp[best["nsi"]])))
+    fine = tune.fine_grid(Params(robs=best["robs"], min_dev=best["min_dev"], robx=best["robx"]), **at)
+    return tune.smooth_minimum(tune.grid_results(rows, fine, target), fine, target)
 
 
 def tune_split(spark, sf_dir):
-    rows = read(spark, sf_dir, "messages").select(F.col("msg_id").alias("id"))
-    return tune.split_for_tuning(rows, 4, 1).groupBy("role", "bin").agg(F.count("*").alias("n"))
+    """How many labelled documents train and how many score, in three bins."""
+    lab = corpus.labels(spark, sf_dir)
+    n = lab.agg(F.count_if(~F.col("is_spam")).alias("g"), F.count_if("is_spam").alias("s")).first()
+    return tune.split_for_tuning(lab, n["g"], n["s"]).groupBy("is_spam", "role", "bin").agg(F.count("*").alias("n"))
+
+
+def tune_quality(spark, sf_dir):
+    """Whether many good documents score high or many spam ones low."""
+    return _rounded(tune.quality_checks(corpus.labelled_scores(spark, sf_dir).withColumn("spamicity", F.round("spamicity", 9))), "score")
+
+
+def prior_checks(spark, sf_dir):
+    """What speaks against tuning with the labelled documents."""
+    roles = tune_split(spark, sf_dir)
+    n = {(r["is_spam"], r["role"]): r["n"] for r in roles.groupBy("is_spam", "role").agg(F.sum("n").alias("n")).collect()}
+    said = stats.prior_checks(*(n.get(k, 0) for k in ((False, "train"), (True, "train"), (False, "score"), (True, "score"))))
+    return spark.createDataFrame([(x,) for x in said], "warning string")
 
 
 def cutoff_for_fp_target(spark, sf_dir):
-    """Cutoffs at one false positive per so many good messages."""
-    counted, truth = _tuning(spark, sf_dir)
-    scored = score.scores(score.rated(counted, MULTI), MULTI).withColumn("spamicity", F.round("spamicity", 9)).join(truth, "id")
-    return _rounded(tune.recommended_cutoffs(scored), "cutoff")
+    """Cutoffs at one false positive per so many good documents."""
+    return _rounded(tune.recommended_cutoffs(corpus.labelled_scores(spark, sf_dir).withColumn("spamicity", F.round("spamicity", 9))), "cutoff")
 
 
 # --- streams and tables of other shape --------------------------------------------------------------
@@ -379,7 +409,7 @@ QUERIES = {
     for f in (
         header_tokens, message_tokens, message_attributes, ip_subnets, html_tokens, html_entities, url_escapes, part_kinds, message_parts, mime_roundtrip, mime_tokens, classify_messages, decoded_headers, transfer_decoding, without_nonascii,
         classify_msgcounts, msgcount_roundtrip, wordlist_load, wordlist_merge, legacy_merge, maint_count, maint_age, maint_size, maint_all, nonascii_fold, upgrade_prefix, wordlist_dump,
-        dump_roundtrip, bytes_before, multi_list_tokens, multi_list_score, format_headers, pass_through, tune_grid, tune_topten, tune_smooth_min, tune_split, cutoff_for_fp_target,
+        dump_roundtrip, bytes_before, multi_list_tokens, multi_list_score, format_headers, pass_through, tune_grid, tune_topten, tune_smooth_min, tune_fine, tune_split, tune_quality, prior_checks, cutoff_for_fp_target,
         stream_auto_update, token_age, event_windows, part_name_bags, mbox_split, sender_rank,
     )
 }
@@ -440,7 +470,6 @@ ORACLE = {
     "part_name_bags": "WITH l AS (SELECT l_partkey, count(*) AS lines FROM lineitem GROUP BY 1), w AS (SELECT p_partkey, unnest(list_distinct(string_split(p_name, ' '))) AS word FROM part) SELECT word, count(*) AS n_parts, coalesce(sum(lines), 0)::BIGINT AS n_lines FROM w LEFT JOIN l ON l_partkey = p_partkey GROUP BY word",
     "mbox_split": "SELECT msg_id, 1 AS n FROM messages",
     "sender_rank": "SELECT * FROM (SELECT *, rank() OVER (PARTITION BY source ORDER BY n DESC) AS place FROM (SELECT source, sender, count(*) AS n FROM messages WHERE source IS NOT NULL AND sender IS NOT NULL GROUP BY 1, 2)) WHERE place <= 5",
-    "cutoff_for_fp_target": f"WITH {_COUNTED}, {_sql_rated(P)}, {sql_scores('rated', P)}, truth AS (SELECT id, s > 0.5 AS is_spam FROM scored), b AS (WITH {_sql_rated(MULTI)}, {sql_scores('rated', MULTI)} SELECT scored.id, round(s, 9) AS s, is_spam FROM scored JOIN truth USING (id)), g AS (SELECT s, row_number() OVER (ORDER BY s DESC) AS r, count(*) OVER () AS n FROM b WHERE NOT is_spam), c AS (SELECT per, n // per AS fp, s AS cutoff FROM g, (VALUES (10000), (2000), (1000), (500)) v(per) WHERE n >= per AND r = (n + per - 1) // per) SELECT per, round(cutoff, 6) AS cutoff, fp, (SELECT count(*) FROM b WHERE is_spam AND s < c.cutoff) AS fn FROM c",
 }
 
 # --- more statements, for decoding, rendering and tuning ----------------------------------------------
@@ -463,34 +492,12 @@ _HTML = "msg"
 for _pattern, _by in (("(?s)<!--.*?(?:-->|\\z)", ""), ("(?s)<![^>]*>", ""), (f"(?is)({RE_WORD})((?:<(?:a|font)\\s[^>]*>)+)([^\\s<])", "\\2\\1\\3"), ("(?is)<(?:a|img|font)\\s([^>]*)>", " \\1 "), (f"(?is)<(?:{_BREAK})(?:\\s[^>]*)?/?>", " "), ("(?s)<[^>]*>", "")):
     _HTML = f"regexp_replace({_HTML}, '{_pattern}', '{_by}', 'g')"
 
-_GRID_CELLS = ", ".join(f"({idx}, {at[0]}, {at[1]}, {at[2]}, {p.robs!r}, {p.min_dev!r}, {p.robx!r})" for idx, at, p in GRID.cells())
-_TRUTH = f"{_COUNTED}, {_sql_rated(P)}, {sql_scores('rated', P)}, truth AS (SELECT id, s > 0.5 AS is_spam FROM scored)"
-_FW_CELL = "(CASE WHEN good + bad > 0 THEN (robs * robx + (good + bad) * (CASE WHEN bad::DOUBLE * mg + good::DOUBLE * ms > 0 THEN bad::DOUBLE * mg / (bad::DOUBLE * mg + good::DOUBLE * ms) ELSE robx END)) / (robs + (good + bad)) ELSE robx END)"
-_TUNED = f"""{_TRUTH}, target AS (SELECT greatest(1, trunc((-0.4831 * x + 12.8976) * x - 61.5264 + 0.5)::BIGINT) AS target FROM (SELECT ln(greatest(count(*) FILTER (NOT is_spam), 1)) AS x FROM truth)),
-grid(idx, rsi, mdi, rxi, robs, min_dev, robx) AS (SELECT a::INT, b::INT, c::INT, d::INT, e::DOUBLE, f::DOUBLE, g::DOUBLE FROM (VALUES {_GRID_CELLS}) v(a, b, c, d, e, f, g)),
-cf AS (SELECT idx, id, robx, min_dev, {_FW_CELL} AS fw FROM counted, grid),
-cs AS (SELECT idx, id, robx, coalesce(sum(-ln(1 - fw)) FILTER (abs(fw - 0.5) > min_dev), 0) AS yi, coalesce(sum(-ln(fw)) FILTER (abs(fw - 0.5) > min_dev), 0) AS yf, count(*) FILTER (abs(fw - 0.5) > min_dev) AS n FROM cf GROUP BY 1, 2, 3),
-cq AS (SELECT idx, id, robx, n, {{tail_i}} AS p, {{tail_f}} AS q FROM cs),
-cell AS (SELECT idx, id, is_spam, round(CASE WHEN n = 0 THEN robx ELSE (1 + q - p) / 2 END, 9) AS s FROM cq JOIN truth USING (id)),
-cut AS (SELECT idx, least(s, 0.975) AS cutoff FROM (SELECT idx, s, row_number() OVER (PARTITION BY idx ORDER BY s DESC) AS r FROM cell WHERE NOT is_spam), target WHERE r = target),
-res AS (SELECT idx, cutoff, count(*) FILTER (NOT is_spam AND s >= cutoff) AS fp, count(*) FILTER (is_spam AND s < cutoff) AS fn FROM cell JOIN cut USING (idx) GROUP BY 1, 2)"""
-
-
-_TUNED = _TUNED.format(tail_i=sql_tail("yi", "n"), tail_f=sql_tail("yf", "n"))
-
 ORACLE |= {
     "message_tokens": f"WITH {_HEADER_TOKENS}, {_BODY_TOKENS} SELECT msg_id, token FROM ht UNION SELECT msg_id, token FROM bt UNION SELECT msg_id, 'spc:invalid_end_of_header' FROM messages WHERE regexp_extract(replace(raw, chr(13) || chr(10), chr(10)), '(?s)^.*?\\n([ \\t]*)\\n', 1) <> ''",
     "message_attributes": f"WITH {_ATTRIBUTES} SELECT * FROM attributes",
     "html_tokens": f"WITH t AS (SELECT part_id, {_HTML} AS x FROM mime_parts WHERE starts_with(lower(trim(regexp_replace(mime_type, ';.*$', ''))), 'text/html')), e AS (SELECT part_id, {_sql_entities('x')} AS x FROM t), w AS (SELECT part_id, unnest(regexp_extract_all(x, '{RE_TOKEN}')) AS token FROM e) SELECT part_id, token, count(*) AS n FROM w WHERE {KEEP} GROUP BY ALL",
     "html_entities": f"SELECT part_id, {_sql_entities('msg')} AS msg FROM mime_parts WHERE contains(msg, '&#')",
     "format_headers": f"WITH {_COUNTED}, {_sql_rated(P)}, {sql_scores('rated', P)}, {_ATTRIBUTES}, z AS (SELECT id, round(s, 6) AS s, status, (SELECT count(*) FROM counted c WHERE c.id = scored.id) AS w FROM scored) SELECT id AS msg_id, 'X-Bogosity: ' || status || ', tests=bayes, spamicity=' || printf('%.6f', s) AS header, status[1] || ' ' || printf('%.6f', CASE WHEN status = 'Spam' THEN 1 - s ELSE s END) || ' ' || printf('%.6f', s) AS terse, 'id=' || coalesce(message_id, 'UNKNOWN') || ' queue=' || coalesce(queue_id, 'UNKNOWN') || ' from=' || coalesce(message_addr, 'UNKNOWN') || ' tokens=' || w || ' ' || printf('%e', s) || ' %' AS log FROM z JOIN attributes ON id = msg_id",
-    "tune_grid": f"WITH {_TUNED} SELECT idx, round(cutoff, 6) AS cutoff, fp, fn, rsi, mdi, rxi, 0 AS spi, 0 AS nsi, round(robs, 6) AS robs, min_dev, robx, 1.0::DOUBLE AS sp_esf, 1.0::DOUBLE AS ns_esf FROM res JOIN grid USING (idx)",
-    "tune_topten": f"WITH {_TUNED} SELECT idx, fp, fn, round(cutoff, 6) AS cutoff FROM res, target WHERE fp = target OR NOT EXISTS (SELECT 1 FROM res r WHERE r.fp = target) ORDER BY fn, res.cutoff, idx LIMIT 10",
-    "tune_smooth_min": f"""WITH {_TUNED}, ord AS (SELECT fn, row_number() OVER (ORDER BY fn, cutoff, idx) - 1 AS pos, count(*) OVER () AS n FROM res),
-      q AS (SELECT max(fn) FILTER (pos = floor(n * 0.50)) AS med, max(fn) FILTER (pos = floor(n * 0.33)) AS third FROM ord),
-      nb AS (SELECT a.idx, CASE WHEN r.fp = target THEN r.fn END AS near FROM grid a JOIN grid b ON abs(a.rsi - b.rsi) + abs(a.mdi - b.mdi) + abs(a.rxi - b.rxi) = 1 LEFT JOIN res r ON r.idx = b.idx CROSS JOIN target),
-      j AS (SELECT idx, bool_and(coalesce(near, 2147483647) < med) AS low, avg(near) AS mean, count(near) AS n, max(third) AS third FROM nb CROSS JOIN q GROUP BY idx)
-      SELECT res.idx, (coalesce(low, FALSE) AND n > 0 AND floor(mean) < third) AS smooth, fp, fn, round(cutoff, 6) AS cutoff FROM res JOIN j USING (idx) CROSS JOIN target WHERE fp = target ORDER BY smooth DESC, fn, res.cutoff, res.idx LIMIT 1""",
 }
 
 # the documents lie in one file, so they are one batch, all scored against the counts before it
@@ -515,3 +522,54 @@ ORACLE |= {
       counted AS (SELECT tok.msg_id AS id, tok.token, coalesce(k.m.g, 0) AS good, coalesce(k.m.b, 0) AS bad, top.m.mg AS mg, top.m.ms AS ms FROM tok LEFT JOIN k USING (token), top), {_sql_rated(MULTI)}, {sql_scores('rated', MULTI)}
       SELECT id AS msg_id, n AS n_used, round(p, 6) AS p_value, round(q, 6) AS q_value, round(s, 6) AS spamicity, status FROM scored""",
 }
+
+# tuning: the split by digits of MD5, the coarse grid around the mean spam share, chi-square tails of any degrees of freedom
+_SHARE = "(SELECT 1 - 1 / (1 + 4 - 3 * least(greatest((n - 2500) / 1500.0, 0), 1)) FROM (SELECT count(*) AS n FROM lab l WHERE l.is_spam = lab.is_spam))"
+_SPLIT = f"{corpus.TOK}, {corpus.LAB}, split AS (SELECT id, is_spam, CASE WHEN ('0x' || substr(md5(id::VARCHAR), 1, 8))::UBIGINT < {_SHARE} * 4294967296 THEN 'train' ELSE 'score' END AS role, ('0x' || substr(md5(id::VARCHAR), 9, 4))::INT % 3 AS bin FROM lab)"
+
+
+def sql_gamma_tail(a: str, x: str) -> str:
+    """Q(a, x) for a > 0: Q of the fractional part by quadrature, then the finite sum; every term is positive."""
+    m, f = f"(ceil({a}) - 1)", f"({a} - ceil({a}) + 1)"
+    first = f"(exp(-({x}) - lgamma({f})) * 0.25 * list_sum(list_transform(range(-240, 21), lambda k: exp(-exp(k * 0.25)) * pow({x} + exp(k * 0.25), {f} - 1) * exp(k * 0.25))))"
+    rest = f"coalesce(list_sum(list_transform(range({m}::BIGINT), lambda k: exp(({f} + k) * ln({x}) - ({x}) - lgamma({f} + k + 1)))), 0)"
+    return f"(CASE WHEN {x} <= 0 THEN 1.0 WHEN {first} + {rest} < 2.220446049250313e-16 THEN 0.0 ELSE least({first} + {rest}, 1.0) END)"
+
+
+_CELL_FW = "(CASE WHEN good + bad > 0 THEN (robs * robx + (good + bad) * (CASE WHEN bad::DOUBLE * mg + good::DOUBLE * ms > 0 THEN bad::DOUBLE * mg / (bad::DOUBLE * mg + good::DOUBLE * ms) ELSE robx END)) / (robs + (good + bad)) ELSE robx END)"
+_COARSE = f"""{_SPLIT},
+wl AS (SELECT token, count(*) FILTER (is_spam) AS spam, count(*) FILTER (NOT is_spam) AS good FROM tok JOIN split USING (id) WHERE role = 'train' GROUP BY token),
+tot AS (SELECT count(*) FILTER (is_spam) AS ms, count(*) FILTER (NOT is_spam) AS mg FROM split WHERE role = 'train' AND id IN (SELECT id FROM tok)),
+counted AS MATERIALIZED (SELECT id, is_spam, token, coalesce(good, 0) AS good, coalesce(spam, 0) AS bad, mg, ms FROM tok JOIN split USING (id) LEFT JOIN wl USING (token), tot WHERE role = 'score'),
+mean AS (SELECT round(least(greatest(coalesce(avg(spam / (good * (ms::DOUBLE / mg) + spam)), 0.52), 0.4), 0.6), 12) AS x FROM wl, tot WHERE good + spam >= 10 AND NOT starts_with(token, '.')),
+rs(rsi, robs) AS (VALUES (0, 1.0::DOUBLE), (1, 0.1), (2, 0.01)), md(mdi, min_dev) AS (VALUES (0, 0.05::DOUBLE), (1, 0.15), (2, 0.25), (3, 0.35), (4, 0.45)),
+rx AS (SELECT (row_number() OVER (ORDER BY o) - 1)::INT AS rxi, round(x + d, 12) AS robx FROM mean, (VALUES (0, 0.0::DOUBLE), (1, -0.05), (2, 0.05), (3, -0.1), (4, 0.1)) v(o, d) WHERE x + d BETWEEN 0.4 - 1e-9 AND 0.6 + 1e-9),
+combo AS (SELECT rsi, mdi, rxi, robs, min_dev, robx FROM rs, md, rx UNION ALL SELECT -1, -1, -1, {P.robs!r}, 0.02, x FROM mean),
+ex AS (SELECT k::INT AS e, pow(0.75, 2 + 3 * k) AS factor FROM range(7) r(k)), ex1 AS (SELECT * FROM ex UNION ALL SELECT -1, 1.0),
+cw AS (SELECT rsi, mdi, rxi, id, is_spam, robx, {_CELL_FW} AS fw, min_dev FROM counted, combo),
+cs AS MATERIALIZED (SELECT rsi, mdi, rxi, id, is_spam, robx, coalesce(sum(-ln(1 - fw)) FILTER (abs(fw - 0.5) > min_dev), 0) AS yi, coalesce(sum(-ln(fw)) FILTER (abs(fw - 0.5) > min_dev), 0) AS yf, count(*) FILTER (abs(fw - 0.5) > min_dev) AS n FROM cw GROUP BY ALL),
+ct AS MATERIALIZED (SELECT rsi, mdi, rxi, id, is_spam, robx, n, e, CASE WHEN n = 0 THEN 1.0 ELSE {sql_gamma_tail('(n * factor)', '(yi * factor)')} END AS p, CASE WHEN n = 0 THEN 1.0 ELSE {sql_gamma_tail('(n * factor)', '(yf * factor)')} END AS q FROM cs, ex1 WHERE (rsi < 0) = (e < 0)),
+cell AS MATERIALIZED (SELECT a.rsi, a.mdi, a.rxi, a.e AS spi, b.e AS nsi, a.id, a.is_spam, round(CASE WHEN a.n = 0 THEN a.robx WHEN a.p = 0 AND b.q = 0 THEN 0.5 ELSE b.q / (a.p + b.q) END, 9) AS s FROM ct a JOIN ct b USING (rsi, mdi, rxi, id)),
+good0 AS (SELECT s, row_number() OVER (ORDER BY s DESC) AS r, count(*) OVER () AS n FROM cell WHERE rsi < 0 AND NOT is_spam),
+aim AS (SELECT greatest(1, trunc((-0.4831 * ln(n) + 12.8976) * ln(n) - 61.5264 + 0.5)::BIGINT) AS t FROM good0 LIMIT 1),
+low AS (SELECT coalesce(max(r) FILTER (s >= 0.55), 1) AS t FROM good0, aim WHERE r <= aim.t),
+target AS (SELECT CASE WHEN s > 0.975 THEN (SELECT count(*) FROM good0 WHERE s > 0.975) ELSE r END AS target FROM good0, low WHERE r = low.t),
+ranked AS (SELECT rsi, mdi, rxi, spi, nsi, s, row_number() OVER w AS r, count(*) OVER (PARTITION BY rsi, mdi, rxi, spi, nsi) AS n FROM cell WHERE rsi >= 0 AND NOT is_spam WINDOW w AS (PARTITION BY rsi, mdi, rxi, spi, nsi ORDER BY s DESC)),
+cut AS (SELECT rsi, mdi, rxi, spi, nsi, coalesce(max(s) FILTER (r >= target AND s < 0.999999), min(s)) AS cutoff, coalesce(min(r) FILTER (r >= target AND s < 0.999999), max(n))::INT AS fp FROM ranked, target GROUP BY ALL),
+fns AS (SELECT rsi, mdi, rxi, spi, nsi, cutoff, fp, count(*) FILTER (is_spam AND s < cutoff) AS fn FROM cell JOIN cut USING (rsi, mdi, rxi, spi, nsi) GROUP BY ALL),
+res AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY rsi, mdi, rxi, spi, nsi) - 1)::INT AS idx, * FROM fns)"""
+_LABELLED = f"WITH {corpus.TRAINED}, {corpus.sql_rated(P)}, {sql_scores('rated', P)}, b AS MATERIALIZED (SELECT round(s, 9) AS s, is_spam FROM scored JOIN lab USING (id))"
+ORACLE |= {
+    "tune_split": f"WITH {_SPLIT} SELECT is_spam, role, bin, count(*) AS n FROM split GROUP BY ALL",
+    "tune_quality": f"{_LABELLED}, o AS (SELECT is_spam, s, row_number() OVER (PARTITION BY is_spam ORDER BY CASE WHEN is_spam THEN s ELSE -s END) AS r, count(*) OVER (PARTITION BY is_spam) AS n FROM b) SELECT CASE WHEN is_spam THEN 'spam' ELSE 'good' END AS class, r AS at, round(s, 6) AS score, CASE WHEN is_spam THEN s <= 0.10 + 2.220446049250313e-16 ELSE s >= 0.975 END AS suspicious FROM o WHERE r = ceil(n * 0.01)",
+    "prior_checks": f"""WITH {_SPLIT}, n AS (SELECT count(*) FILTER (NOT is_spam AND role = 'train') AS g, count(*) FILTER (is_spam AND role = 'train') AS s, count(*) FILTER (NOT is_spam AND role = 'score') AS tg, count(*) FILTER (is_spam AND role = 'score') AS ts FROM split)
+      SELECT 'at least 2000 registered messages of each class are needed' AS warning FROM n WHERE g < 2000 OR s < 2000 UNION ALL SELECT 'the classes differ more than tenfold in size' FROM n WHERE g = 0 OR s / g NOT BETWEEN 0.1 AND 10 UNION ALL SELECT 'at least 500 test messages of each class are needed' FROM n WHERE tg < 500 OR ts < 500""",
+    "cutoff_for_fp_target": f"{_LABELLED}, g AS (SELECT s, row_number() OVER (ORDER BY s DESC) AS r, count(*) OVER () AS n FROM b WHERE NOT is_spam), c AS (SELECT per, n // per AS fp, s AS cutoff FROM g, (VALUES (10000), (2000), (1000), (500)) v(per) WHERE n >= per AND r = (n + per - 1) // per) SELECT per, round(cutoff, 6) AS cutoff, fp, (SELECT count(*) FROM b WHERE is_spam AND s < c.cutoff) AS fn FROM c",
+    "tune_grid": f"WITH {_COARSE} SELECT idx, rsi, mdi, rxi, spi, nsi, round(cutoff, 6) AS cutoff, fp, fn, round(robs, 6) AS robs, min_dev, round(robx, 6) AS robx, round(pow(0.75, 2 + 3 * spi), 6) AS sp_esf, round(pow(0.75, 2 + 3 * nsi), 6) AS ns_esf FROM res JOIN rs USING (rsi) JOIN md USING (mdi) JOIN rx USING (rxi)",
+    "tune_topten": f"WITH {_COARSE} SELECT idx, fp, fn, round(cutoff, 6) AS cutoff FROM res, target WHERE fp = target OR NOT EXISTS (SELECT 1 FROM res r WHERE r.fp = target) ORDER BY fn, res.cutoff, idx LIMIT 10",
+    "tune_smooth_min": f"""WITH {_COARSE}, ord AS (SELECT fn, row_number() OVER (ORDER BY fn, cutoff, idx) - 1 AS pos, count(*) OVER () AS n FROM res),
+      q AS (SELECT max(fn) FILTER (pos = floor(n * 0.50)) AS med, max(fn) FILTER (pos = floor(n * 0.33)) AS third FROM ord),
+      nb AS (SELECT a.idx, CASE WHEN b.fp = target THEN b.fn END AS near FROM res a JOIN (VALUES (1, 0, 0, 0, 0), (0, 1, 0, 0, 0), (0, 0, 1, 0, 0), (0, 0, 0, 1, 0), (0, 0, 0, 0, 1)) v(d1, d2, d3, d4, d5) ON TRUE JOIN (VALUES (1), (-1)) s(s) ON TRUE JOIN res b ON b.rsi = a.rsi + s * d1 AND b.mdi = a.mdi + s * d2 AND b.rxi = a.rxi + s * d3 AND b.spi = a.spi + s * d4 AND b.nsi = a.nsi + s * d5 CROSS JOIN target),
+      j AS (SELECT idx, bool_and(coalesce(near, 2147483647) < med) AS low, avg(near) AS mean, count(near) AS n, max(third) AS third FROM nb CROSS JOIN q GROUP BY idx)
+      SELECT res.idx, (coalesce(low, FALSE) AND n > 0 AND floor(mean) < third) AS smooth, fp, fn, round(cutoff, 6) AS cutoff FROM res JOIN j USING (idx) CROSS JOIN target WHERE fp = target ORDER BY smooth DESC, fn, res.cutoff, res.idx LIMIT 1""",
+}

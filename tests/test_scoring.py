@@ -1,3 +1,5 @@
+import dataclasses
+import random
 import math
 
 import numpy as np
@@ -117,16 +119,48 @@ def test_histogram_and_robx(spark):
 
 
 def test_tuning_pieces(spark):
-    assert tune.by_amount(0.0, 0.4, 0.1) == pytest.approx([0.0, 0.1, 0.2, 0.3, 0.4])
-    assert tune.by_power(0.0, -2.0, -1.0) == pytest.approx([1.0, 0.1, 0.01])
     assert len(tune.coarse_grid(0.52).cells()) == 2940
+    assert tune.values("robs") == (1.0, 0.1, 0.01) and tune.values("robx", 0.7) == pytest.approx((0.6, 0.55, 0.5))
+    fine = tune.fine_grid(Params(robs=0.01, min_dev=0.45, robx=0.41), 2.0, 20.0)
+    assert fine.robs == pytest.approx((10**-1.5, 10**-1.75, 0.01)) and max(fine.min_dev) < 0.499 and fine.ns_exp == (18.5, 19.0, 19.5, 20.0)
     assert [tune.target_of(n) for n in (550, 2118, 12645, 70814)] == [1, 9, 17, 22]
-    scores = spark.createDataFrame([(1, 0.9), (1, 0.8), (1, 0.8), (2, 0.1)], "idx int, spamicity double")
-    assert {r["idx"]: r["cutoff"] for r in tune.kth_highest(scores, 2).collect()} == {1: 0.8}
-    assert tune.threshold(1000, [0.99, 0.98, 0.6, 0.5, 0.4, 0.3]) == (3, 0.6)
+    assert [round(tune.train_share(n), 3) for n in (0, 2500, 3250, 4000, 10**9)] == [0.8, 0.8, round(2.5 / 3.5, 3), 0.5, 0.5]
+    scores = lambda top, n: spark.createDataFrame([(float(x),) for x in top + [0.0] * (n - len(top))], "spamicity double")
+    assert tune.threshold(scores([0.99, 0.9, 0.6, 0.5], 1000)) == (3, 0.6)
+    assert tune.threshold(scores([0.99] * 12, 1000)) == (12, 0.975) and tune.threshold(scores([], 0))[0] == 1
     assert stats.prior_checks(10, 10, 1, 1) and not stats.prior_checks(3000, 3000, 600, 600)
 
 
+def test_grid_scan_equals_scoring_cell_by_cell(spark):
+    rng = random.Random(4)
+    rows = [(f"m{k}", rng.randrange(40), rng.randrange(40), 100, 80) for k in range(60) for _ in range(rng.randrange(1, 30))]
+    counted = spark.createDataFrame(rows, "id string, good bigint, bad bigint, msgs_good bigint, msgs_bad bigint")
+    labels = spark.createDataFrame([(f"m{k}", k % 3 == 0) for k in range(60)], "id string, is_spam boolean")
+    grid = tune.Grid((1.0, 0.01), (0.05, 0.3), (0.5,), (0.0, 2.0), (5.0,))
+    together = tune.by_message(counted, labels)
+    got = {(r["idx"], r["id"]): r["spamicity"] for r in tune.grid_scores(together, grid).collect()}
+    for idx, _, p in grid.cells():
+        q = dataclasses.replace(p, sp_esf=p.sp_esf if p.sp_esf < 1 else 1 - 1e-15)  # the tuner always divides
+        for r in score.scores(score.rated(counted.withColumn("token", F.monotonically_increasing_id()), q), q).collect():
+            assert got[idx, r["id"]] == pytest.approx(r["spamicity"], abs=1e-8)
+    for r in tune.grid_results(together, grid, 3).collect():
+        good = sorted((s for (i, m), s in got.items() if i == r["idx"] and int(m[1:]) % 3), reverse=True)
+        k = next(k for k in range(3, len(good)) if good[k - 1] < 0.999999)
+        assert (r["fp"], r["cutoff"]) == (k, good[k - 1])
+        assert r["fn"] == sum(s < r["cutoff"] for (i, m), s in got.items() if i == r["idx"] and int(m[1:]) % 3 == 0)
+
+
+def test_messages_go_on_over_batches():
+    import pyarrow as pa
+
+    t = pa.table({"id": [1] * 5 + [2] * 4 + [3], "is_spam": [True] * 5 + [False] * 5, "good": [1, 5, 9, 0, 2, 7, 7, 3, 1, 0], "bad": [9, 1, 0, 4, 2, 1, 0, 3, 8, 0], "msgs_good": [10] * 10, "msgs_bad": [10] * 10})
+    grid = tune.Grid((0.1,), (0.1, 0.2), (0.5,), (0.0,), (3.0,))
+    whole = [(i, s[:, k].tolist()) for ids, _, s in tune.scored_messages(t.to_batches(), grid) for k, i in enumerate(ids)]
+    for size in (1, 2, 3):
+        cut = [(i, s[:, k].tolist()) for ids, _, s in tune.scored_messages(t.to_batches(size), grid) for k, i in enumerate(ids)]
+        assert [i for i, _ in cut] == [1, 2, 3] and all(a == pytest.approx(b) for (_, a), (_, b) in zip(cut, whole))
+
+
 def test_message_histogram_has_every_bin(spark):
     rows = [("m", "a", 0.05, True), ("m", "b", 0.95, True), ("m", "c", 1.0, True), ("n", "a", 0.5, False)]
     df = spark.createDataFrame(rows, "id string, token string, fw double, used boolean")
@@ -184,12 +218,12 @@ def test_header_that_ends_in_blanks(spark):
 
 
 def test_split_for_tuning_is_stable_and_proportional(spark):
-    df = spark.range(4000).select(F.col("id").cast("string").alias("id"))
-    one, two = tune.split_for_tuning(df, 4, 1), tune.split_for_tuning(df.repartition(7), 4, 1)
+    df = spark.range(4000).select(F.col("id").cast("string").alias("id"), (F.col("id") % 2 == 0).alias("is_spam"))
+    one, two = tune.split_for_tuning(df, 2000, 2000), tune.split_for_tuning(df.repartition(7), 2000, 2000)
     assert one.exceptAll(two).isEmpty()
     n = {(r["role"], r["bin"]): r["count"] for r in one.groupBy("role", "bin").count().collect()}
     assert len(n) == 6 and 0.76 < sum(v for (role, _), v in n.items() if role == "train") / 4000 < 0.84
-    assert tune.split_for_tuning(df.limit(0)).count() == 0
+    assert tune.split_for_tuning(df.limit(0), 0, 0).count() == 0
 
 
 def test_train_on_error_registers_only_what_it_gets_wrong(spark):

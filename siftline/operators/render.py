@@ -13,7 +13,7 @@ HEADER = "X-Bogosity"
 def render(template: str, fields: dict[str, Column]) -> Column:
     """A template with %x directives, x a key of fields; %.3f-like precisions for e, f and g, %N.M or %.M cuts strings; %% is a percent sign.
 
-    Flags 0, - and # and widths are read; a width pads numbers only. An unknown directive is an error.
+    Flags 0, - and # and widths are read; a width pads on the left, with - on the right. An unknown directive is an error.
     """
     out: list[Column] = []
     k, plain = 0, ""
@@ -36,18 +36,38 @@ def render(template: str, fields: dict[str, Column]) -> Column:
         out.append(F.lit(plain))
         plain = ""
         value = fields[letter]
-        if letter in "efgo":
-            width, _, prec = spec.replace("#", "").partition(".")
-            out.append(F.format_string(f"%{width}.{prec or 6}{'f' if letter in 'go' else letter}", value))
+        width, _, prec = spec.replace("#", "").partition(".")
+        if letter in "efo":
+            out.append(F.format_string(f"%{width}.{prec or 6}{'f' if letter == 'o' else letter}", value))
+        elif letter == "g":
+            out.append(_padded(_shortest(value, int(prec or 6)), width))
         else:
-            cut = spec.partition(".")[2]
             text = value.cast("string")
-            out.append(F.substring(text, 1, int(cut)) if cut.isdigit() else text)
+            out.append(_padded(F.substring(text, 1, int(prec)) if prec.isdigit() else text, width))
     return F.concat(*out, F.lit(plain))
 
 
-def fields(p: Params, header: str = HEADER, version: str = "1") -> dict[str, Column]:
-    """Directive -> column for scored messages(status, spamicity, n_tokens, message_addr, message_id, queue_id)."""
+def _padded(text: Column, width: str) -> Column:
+    """Text of at least so many characters; longer ones stay whole."""
+    n = width.strip("-").lstrip("0")
+    if not n.isdigit():
+        return text
+    pad = F.rpad if width.startswith("-") else F.lpad
+    return F.when(F.length(text) < int(n), pad(text, int(n), " ")).otherwise(text)
+
+
+def _shortest(value: Column, digits: int) -> Column:
+    """So many significant digits without zeros at the end, as an exponent below 1e-4 or where the digits do not reach the units."""
+    power = F.floor(F.log10(F.abs(value)))
+    rounded = F.format_string(f"%.{digits - 1}e", value)
+    places = F.greatest(F.lit(digits - 1) - power, F.lit(0))
+    fixed = F.regexp_replace(F.regexp_replace(F.element_at(F.array(*[F.format_string(f"%.{k}f", value) for k in range(digits + 4)]), (places + 1).cast("int")), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    wide = F.regexp_replace(F.regexp_replace(rounded, r"(\.[0-9]*?)0+e", "$1e"), r"\.e", "e")
+    return F.when(value == 0, F.lit("0")).when((power < -4) | (power >= digits), wide).otherwise(fixed)
+
+
+def fields(p: Params, header: str = HEADER, version: str = "1", log_tag: str = "", run_type: str = "", user: str = "", date: Column | None = None) -> dict[str, Column]:
+    """Directive -> column for scored messages(status, spamicity, n_tokens, message_addr, message_id, queue_id); %m the messages of the run, from n_messages where there is such a column."""
     s = F.col("spamicity")
     spam = F.col("status") == p.tags[0]
     unknown = lambda c: F.coalesce(F.col(c), F.lit("UNKNOWN"))
@@ -55,6 +75,7 @@ def fields(p: Params, header: str = HEADER, version: str = "1") -> dict[str, Col
     return {
         "h": F.lit(header), "c": F.col("status"), "p": number(s), "d": number(F.when(spam, 1 - s).otherwise(s)), "e": s, "f": s, "g": s, "o": F.lit(p.spam_cutoff),
         "A": unknown("message_addr"), "I": unknown("message_id"), "Q": unknown("queue_id"), "w": F.col("n_tokens"), "v": F.lit(version),
+        "l": F.lit(log_tag), "r": F.lit(run_type), "u": F.lit(user), "m": F.col("n_messages"), "D": F.date_format(F.current_timestamp() if date is None else date, "yyyy-MM-dd'T'HH:mm:ss'Z'"),
     }
 
 
@@ -64,7 +85,7 @@ def pass_through(raw: Column, score_line: Column, tag: Column, place: str | None
     head = F.regexp_extract(text, r"(?s)\A((?:[^\n]+\n?)*)", 1)
     body = F.substring(text, F.length(head) + 1, F.length(text))
     tagged = F.when(tag.isNull(), head).otherwise(F.regexp_replace(head, r"(?im)\A((?:(?!subject:)[^\n]*\n)*)(subject:)[ ]?", F.concat(F.lit("$1$2 "), tag, F.lit(" "))))
-    line = F.concat(score_line, F.lit("\n"))
+    line = F.concat(F.when((head == "") | head.endswith("\n"), "").otherwise("\n"), score_line, F.lit("\n"))
     placed = F.concat(tagged, line)
     if place:
         there = rf"(?m)\A((?:(?!{place})[^\n]*\n)*)(?={place})"

@@ -48,6 +48,19 @@ def explain(rated_tokens: DataFrame) -> DataFrame:
     return rated_tokens.select("id", "token", (F.col("good") + F.col("bad")).alias("n"), share("good", "msgs_good").alias("pgood"), share("bad", "msgs_bad").alias("pbad"), "fw", flag.alias("flag"))
 
 
+def in_order(explained: DataFrame) -> DataFrame:
+    """explain() with the place of each token in its message: by probability and token, and by token alone; a message's own tokens only."""
+    by_id = W.partitionBy("id")
+    return explained.withColumns({"place": F.row_number().over(by_id.orderBy("fw", "token")), "place_by_token": F.row_number().over(by_id.orderBy("token"))})
+
+
+def data_frame(rated_tokens: DataFrame, p: Params) -> DataFrame:
+    """explain() with the logarithms of 1 - fw and fw, and one summary row per message (token null): n the used tokens, pgood P, pbad Q, fw the score, the logs those of robs and robx."""
+    logs = explain(rated_tokens).withColumns({"invfwlog": F.ln(F.greatest(1 - F.col("fw"), F.lit(1e-300))), "fwlog": F.ln(F.greatest("fw", F.lit(1e-300)))})
+    last = scores(rated_tokens, p).select("id", F.lit(None).cast("string").alias("token"), F.col("n_used").alias("n"), F.col("p_value").alias("pgood"), F.col("q_value").alias("pbad"), F.col("spamicity").alias("fw"), F.lit("=").alias("flag"), F.lit(p.robs).alias("invfwlog"), F.lit(p.robx).alias("fwlog"))
+    return logs.unionByName(last)
+
+
 def message_histogram(rated_tokens: DataFrame, p: Params, bins: int = 10) -> DataFrame:
     """id, bin, cnt, prob, spamicity for every bin [i/bins, (i+1)/bins): used tokens (fw = 1 in none), their mean, and the
     score from the geometric means over all used tokens of what lies below the bin's end. One aggregate per message."""

@@ -19,9 +19,12 @@ def score_bins(fw: Column, bins: int = 20) -> Column:
     return F.least(F.floor(fw * bins), F.lit(bins - 1)).cast("int")
 
 
-def wordlist_histogram(table: DataFrame, fw: Column, bins: int = 20) -> DataFrame:
-    """score, count, pct of the tokens by fw; empty bins too."""
-    counted = table.where(~is_meta(F.col("token"))).groupBy(score_bins(fw, bins).alias("bin")).agg(F.count("*").alias("n"))
+def wordlist_histogram(table: DataFrame, fw: Column, bins: int = 20, without: str = "") -> DataFrame:
+    """score, count, pct of the tokens by fw; empty bins too. without: 'hapaxes' takes tokens seen once, 'pure' those seen in one class only out of the end bins."""
+    least = {"": None, "hapaxes": 1, "pure": 0}[without]
+    n, single = F.col("good") + F.col("spam"), (F.col("good") == 0) | (F.col("spam") == 0)
+    left_out = F.lit(False) if least is None else single & ((n == 1) if least else (n > 0))
+    counted = table.where(~is_meta(F.col("token")) & ~left_out).groupBy(score_bins(fw, bins).alias("bin")).agg(F.count("*").alias("n"))
     every = table.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     whole = counted.agg(F.sum("n").alias("total")).first()["total"] or 0
     n = F.coalesce("n", F.lit(0))

@@ -49,12 +49,18 @@ def move(table: DataFrame, change: DataFrame, to_spam: bool = True) -> DataFrame
     return apply_counts(table, swapped)
 
 
-def load(entries: DataFrame, token: str, spam: str, good: str, date: str, order: str, max_token_len: int = 255) -> DataFrame:
-    """token, spam, good, date of dump rows: counts of a recurring token add up, the last row's date stays; overlong and empty tokens go, negative counts are 0."""
+def is_count(token: Column) -> Column:
+    """Rows of a dump that hold counts: all but the meta rows other than the message totals and the encoding."""
+    return ~is_meta(token) | token.isin(".MSG_COUNT", ".ENCODING")
+
+
+def load(entries: DataFrame, token: str, spam: str, good: str, date: str, order: str, max_token_len: int = 255, today: int = 0) -> DataFrame:
+    """token, spam, good, date of dump rows that are counts: those of a recurring token add up, the last row's date stays (today's where it has none); overlong and empty tokens go, negative counts are 0."""
+    day = F.coalesce(F.nullif(F.col(date), F.lit(0)), F.lit(today))
     return (
-        entries.where(F.col(token).isNotNull() & F.octet_length(F.col(token)).between(1, max_token_len))
+        entries.where(F.col(token).isNotNull() & F.octet_length(F.col(token)).between(1, max_token_len) & is_count(F.col(token)))
         .groupBy(F.col(token).alias("token"))
-        .agg(F.sum(clamp(F.col(spam))).alias("spam"), F.sum(clamp(F.col(good))).alias("good"), F.max_by(F.coalesce(F.col(date), F.lit(0)), F.col(order)).alias("date"))
+        .agg(F.sum(clamp(F.col(spam))).alias("spam"), F.sum(clamp(F.col(good))).alias("good"), F.max_by(day, F.col(order)).alias("date"))
     )
 
 
@@ -96,6 +102,26 @@ def fold_nonascii(token: Column) -> Column:
     return F.when(token.rlike(r"[^\x00-\x7f]"), F.array_join(F.transform(pieces, lambda c: F.when(c.rlike(r"^[\x00-\x7f]"), c).otherwise(F.repeat(F.lit("?"), F.octet_length(c)))), "")).otherwise(token)
 
 
+def recoded(token: Column, charset: str = "UTF-8") -> Column:
+    """A token whose characters are the bytes of another charset, as text; what cannot be such bytes stays."""
+    raw = F.when(token.rlike(r"[\x80-\xff]") & ~token.rlike(r"[^\x00-\xff]"), F.encode(token, "ISO-8859-1"))
+    if charset.upper() in ("UTF-8", "UTF8"):
+        return F.coalesce(F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")), token)
+    return F.coalesce(F.decode(raw, charset), token)
+
+
+def convert_encoding(table: DataFrame, charset: str = "UTF-8") -> DataFrame:
+    """A table of raw tokens with its keys as text; keys that meet add up, the later date stays, and the table says so (.ENCODING 2)."""
+    done = rekey(table.where("token <> '.ENCODING'"), recoded(F.col("token"), charset))
+    mark = table.agg(F.max("date").alias("date")).select(F.lit(".ENCODING").alias("token"), F.lit(2).cast("long").alias("spam"), F.lit(0).cast("long").alias("good"), F.coalesce("date", F.lit(0)).cast("int").alias("date"))
+    return done.unionByName(mark)
+
+
+def distinct_lists(registry: DataFrame) -> DataFrame:
+    """Lists of the same type, priority, name and file are met once."""
+    return registry.dropDuplicates(["list_type", "priority", "list_name", "file_name"])
+
+
 def upgrade_prefix(table: DataFrame, octets_only: bool = False) -> DataFrame:
     """Addresses tagged url: in old tables are tagged ip: (replaced, not merged); other rows stay."""
     is_url = F.col("token").startswith("url:")
@@ -111,11 +137,11 @@ def combined_lists(tokens: DataFrame, wordlist: DataFrame, registry: DataFrame,
     up until an ignore list holds the token: then its counts are zero, its totals those met so far,
     and it is marked. totals: list_name, msgs_spam, msgs_good. The registry is a handful of rows.
     """
-    lists = registry.join(F.broadcast(totals), "list_name", "left").select(
+    lists = distinct_lists(registry).join(broadcast_if_small(totals), "list_name", "left").select(
         "list_name", (F.col("list_type") == "i").alias("ignore"), F.struct("priority", "list_name").alias("rank"), clamp(F.col("msgs_spam")).alias("ms"), clamp(F.col("msgs_good")).alias("mg")
     )
     lists = lists.where("ignore is not null")
-    entries = wordlist.join(F.broadcast(lists), "list_name").groupBy("token", "rank", "ignore").agg(F.sum(clamp(F.col("spam"))).alias("spam"), F.sum(clamp(F.col("good"))).alias("good"))
+    entries = wordlist.join(broadcast_if_small(lists), "list_name").groupBy("token", "rank", "ignore").agg(F.sum(clamp(F.col("spam"))).alias("spam"), F.sum(clamp(F.col("good"))).alias("good"))
     stop = F.min(F.when(F.col("ignore"), F.col("rank")))
     hits = entries.groupBy("token").agg(
         stop.alias("stop"),

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftline.common import checkpoint, read, spread
+from siftline.common import checkpoint, read, running_before, spread
 from siftline.functions.prob import token_probability
 from siftline.operators import score, stats, tokenize, train, wordlist
 from siftline.params import Params
@@ -198,9 +198,41 @@ def train_on_error(spark, sf_dir):
     return train.train_on_error(found, labels(spark, sf_dir), P, rounds=2, parts=3)
 
 
+def train_balanced(spark, sf_dir):
+    """The batches of a training in which spam and good documents alternate in their ratio."""
+    return train.in_batches(labels(spark, sf_dir), 4, "balanced", seed=3).groupBy("part", "is_spam").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+
+
+def train_random(spark, sf_dir):
+    """The batches of a training in random order."""
+    return train.in_batches(labels(spark, sf_dir), 4, "random", seed=3).groupBy("part", "is_spam").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+
+
 def scrambled_order(spark, sf_dir):
+    """Each document's place in a random order."""
     rows = read(spark, sf_dir, "documents").select("doc_id", "source")
-    return train.scrambled(rows, "doc_id", seed=7)
+    placed = train.scrambled(rows, "doc_id", seed=7).withColumns({"draw": train.draw("doc_id", 7), "all": F.lit(0)})
+    return running_before(placed, "all", ["draw", "doc_id"], {"place": F.lit(1)}).select("doc_id", "source", "place")
+
+
+def hist_hapaxes(spark, sf_dir):
+    """The histograms without tokens seen once, and without those of one class only."""
+    t = trained(spark, sf_dir)
+    fw = token_probability(F.col("good"), F.col("spam"), F.lit(t.msgs_good), F.lit(t.msgs_spam), Params(robs=0.0, robx=0.0))
+    both = [stats.wordlist_histogram(t.table, fw, without=w).withColumn("without", F.lit(w)) for w in ("hapaxes", "pure")]
+    return _rounded(both[0].unionByName(both[1]), "score", "pct")
+
+
+def r_table(spark, sf_dir):
+    """The explanation as a table for statistics, with logarithms and a summary per document."""
+    rows = score.data_frame(score.rated(counted(spark, sf_dir), P), P).withColumnRenamed("id", "doc_id")
+    return _rounded(rows, "pgood", "pbad", "fw", "invfwlog", "fwlog")
+
+
+def explain_order(spark, sf_dir):
+    """The places of a document's tokens by probability and by text."""
+    rows = score.explain(score.rated(counted(spark, sf_dir), P)).withColumn("fw", F.round("fw", 9))
+    return score.in_order(rows).select(F.col("id").alias("doc_id"), "token", "place", "place_by_token")
 
 
 QUERIES = {
@@ -208,7 +240,7 @@ QUERIES = {
     for f in (
         tokens_doc_counts, doc_distinct_tokens, document_frequency, wordlist_register, msg_counts, wordlist_unregister, wordlist_move_class, token_fw, token_lookup_probe, robx,
         wordlist_hist20, hapax_pure, classify_docs, classify_two_state, classify_esf, *map(_topk, TOPK), explain_tokens, doc_hist10, confusion_by_source, fp_fn_curve, ngrams3,
-        money_tokens, train_on_error, scrambled_order,
+        money_tokens, train_on_error, train_balanced, train_random, scrambled_order, hist_hapaxes, r_table, explain_order,
     )
 }
 
@@ -221,9 +253,9 @@ RE_TOKEN = rf"{RE_IP}|\$[0-9]+(?:\.[0-9]+)?|{RE_WORD}"
 KEEP = f"(regexp_full_match(token, '{RE_IP}') OR (strlen(token) <= 30 AND (strlen(token) >= 3 OR starts_with(token, '$'))))"
 
 RAW = f"raw_tok AS (SELECT id, token FROM (SELECT doc_id AS id, unnest(regexp_extract_all(text, '{RE_TOKEN}')) AS token FROM documents) WHERE {KEEP})"
-TOK = f"{RAW}, tok AS (SELECT DISTINCT id, token FROM raw_tok)"
+TOK = f"{RAW}, tok AS MATERIALIZED (SELECT DISTINCT id, token FROM raw_tok)"
 LAB = "lab AS (SELECT doc_id AS id, max(toxic) = 1 AS is_spam FROM labels WHERE toxic IS NOT NULL GROUP BY 1)"
-WL = f"{TOK}, {LAB}, wl AS (SELECT token, count(*) FILTER (is_spam) AS spam, count(*) FILTER (NOT is_spam) AS good FROM tok JOIN lab USING (id) GROUP BY token)"
+WL = f"{TOK}, {LAB}, wl AS MATERIALIZED (SELECT token, count(*) FILTER (is_spam) AS spam, count(*) FILTER (NOT is_spam) AS good FROM tok JOIN lab USING (id) GROUP BY token)"
 TRAINED = f"{WL}, tot AS (SELECT count(*) FILTER (is_spam) AS ms, count(*) FILTER (NOT is_spam) AS mg FROM lab WHERE id IN (SELECT id FROM tok))"
 
 
@@ -296,5 +328,31 @@ ORACLE = {
     "fp_fn_curve": _SCORED + "SELECT round(c, 6) AS cutoff, count(*) FILTER (NOT is_spam AND round(s, 6) >= c) AS fp, count(*) FILTER (is_spam AND round(s, 6) < c) AS fn FROM (SELECT unnest(" + repr(CUTOFFS) + "::DOUBLE[]) AS c), scored JOIN lab USING (id) GROUP BY c",
     "ngrams3": f"WITH {_LINES}, kept AS (SELECT id, line, list_filter(w, lambda token: {KEEP}) AS w FROM lines), g AS (SELECT id, unnest(list_transform(range(2, len(w) + 1), lambda i: w[i - 1] || '*' || w[i])) AS gram FROM kept UNION ALL SELECT id, unnest(list_transform(range(3, len(w) + 1), lambda i: w[i - 2] || '*' || w[i - 1] || '*' || w[i])) FROM kept) SELECT gram, count(*) AS n, count(DISTINCT id) AS n_docs FROM g GROUP BY gram",
     "money_tokens": f"WITH {RAW} SELECT token, count(*) AS n FROM raw_tok WHERE starts_with(token, '$') GROUP BY token",
-    "scrambled_order": "SELECT doc_id, source FROM documents",
+    "scrambled_order": "SELECT doc_id, source, row_number() OVER (ORDER BY md5('7:' || doc_id), doc_id) - 1 AS place FROM documents",
+    "train_balanced": f"WITH {LAB}, o AS (SELECT *, row_number() OVER (PARTITION BY is_spam ORDER BY md5('3:' || id), id) - 1 AS place, count(*) OVER (PARTITION BY is_spam) AS size FROM lab) SELECT floor(place * 4 / size)::INT AS part, is_spam, count(*) AS n, min(id) AS first FROM o GROUP BY ALL",
+    "train_random": f"WITH {LAB} SELECT floor(('0x' || substr(md5('3:' || id), 1, 8))::UBIGINT * 4 / 4294967296.0)::INT AS part, is_spam, count(*) AS n, min(id) AS first FROM lab GROUP BY ALL",
+}
+
+_RAW_FW = sql_fw("good", "spam", "mg", "ms", Params(robs=0.0, robx=0.0))
+_WITHOUT = {"hapaxes": "(good = 0 OR spam = 0) AND good + spam = 1", "pure": "(good = 0 OR spam = 0) AND good + spam > 0"}
+
+
+def sql_half_tail(y: str, n: str) -> str:
+    """Survival of chi-square at 2 * y with n degrees of freedom, any whole n: the finite sum, from the error function where n is odd."""
+    z = f"sqrt({y})"
+    small = f"1 - 2 / sqrt(pi()) * list_sum(list_transform(range(60), lambda k: pow(-1, k) * pow({z}, 2 * k + 1) / (exp(lgamma(k + 1)) * (2 * k + 1))))"
+    large = f"{z} * exp(-({y})) / pi() * 0.15 * list_sum(list_transform(range(-300, 301), lambda k: exp(-pow(0.15 * k, 2)) / ({y} + pow(0.15 * k, 2))))"
+    odd = f"(CASE WHEN {y} < 1 THEN {small} ELSE {large} END) + coalesce(list_sum(list_transform(range(({n} - 1) // 2), lambda k: exp((k + 0.5) * ln({y}) - ({y}) - lgamma(k + 1.5)))), 0)"
+    even = f"list_sum(list_transform(range({n} // 2), lambda k: exp(k * ln({y}) - ({y}) - lgamma(k + 1))))"
+    return f"(CASE WHEN {n} = 0 OR {y} <= 0 THEN 1.0 ELSE (CASE WHEN {n} % 2 = 1 THEN {odd} ELSE {even} END) END)"
+
+
+_FLUSH = lambda c: f"CASE WHEN {c} < 2.220446049250313e-16 THEN 0.0 ELSE least({c}, 1.0) END"
+ORACLE |= {
+    "hist_hapaxes": f"WITH {TRAINED}, b AS (SELECT least(floor({_RAW_FW} * 20), 19)::INT AS bin, good, spam FROM wl, tot WHERE NOT starts_with(token, '.')) "
+    + " UNION ALL ".join(f"SELECT round(i / 20.0, 6)::DOUBLE AS score, count(bin) AS count, round(count(bin) * 100.0 / (SELECT count(*) FROM b WHERE NOT ({w})), 6)::DOUBLE AS pct, '{name}' AS without FROM range(20) r(i) LEFT JOIN (SELECT * FROM b WHERE NOT ({w})) x ON x.bin = r.i GROUP BY i" for name, w in _WITHOUT.items()),
+    "r_table": f"WITH {TRAINED}, {sql_rated(P)}, {sql_scores('rated', P)} SELECT id AS doc_id, token, good + bad AS n, round(good / mg::DOUBLE, 6) AS pgood, round(bad / ms::DOUBLE, 6) AS pbad, round(fw, 6) AS fw, CASE WHEN used THEN '+' ELSE '-' END AS flag, round(ln(greatest(1 - fw, 1e-300)), 6) AS invfwlog, round(ln(greatest(fw, 1e-300)), 6) AS fwlog FROM rated UNION ALL SELECT id, NULL, n, round(p, 6), round(q, 6), round(s, 6), '=', {P.robs!r}, {P.robx!r} FROM scored",
+    "explain_order": f"WITH {TRAINED}, {sql_rated(P)} SELECT id AS doc_id, token, row_number() OVER (PARTITION BY id ORDER BY round(fw, 9), token) AS place, row_number() OVER (PARTITION BY id ORDER BY token) AS place_by_token FROM rated",
+    # exponents of one half: n degrees of freedom of half the sums, so 2 * y is the statistic with y halved
+    "classify_esf": f"WITH {TRAINED}, {sql_rated(ESF)}, sums AS (SELECT id, coalesce(sum(CASE WHEN used THEN -ln(1 - fw) END), 0) / 2 AS yi, coalesce(sum(CASE WHEN used THEN -ln(fw) END), 0) / 2 AS yf, count(*) FILTER (used) AS n FROM rated GROUP BY id), t AS (SELECT id, n, {sql_half_tail('yi', 'n')} AS p0, {sql_half_tail('yf', 'n')} AS q0 FROM sums), pq AS (SELECT id, n, {_FLUSH('p0')} AS p, {_FLUSH('q0')} AS q FROM t), v AS (SELECT *, CASE WHEN n = 0 THEN {ESF.robx!r} WHEN p = 0 AND q = 0 THEN 0.5 ELSE q / (q + p) END AS s FROM pq) SELECT id AS doc_id, n AS n_used, round(p, 6) AS p_value, round(q, 6) AS q_value, round(s, 6) AS spamicity, CASE WHEN s >= 0.99 THEN 'Spam' WHEN s <= 0.45 THEN 'Ham' ELSE 'Unsure' END AS status FROM v",
 }

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from siftline.common import checkpoint, fresh_dir, read
@@ -14,7 +12,7 @@ from siftline.params import Params, from_table
 from siftline.plans import corpus
 from siftline.plans.corpus import KEEP, RE_IP, RE_TOKEN, RE_WORD, sql_classify, sql_fw, sql_scores, sql_tail
 from siftline.sources import mailstores, tables
-from siftline.streaming.auto_update import AutoUpdate
+from siftline.streaming.auto_update import AutoUpdate, token_ages
 
 P = Params()
 
@@ -116,17 +114,16 @@ def message_parts(spark, sf_dir):
 
 
 def decoded_headers(spark, sf_dir):
-    """Subjects with their encoded words resolved."""
-    head = tokenize.headers(tokenize.head_and_body(F.col("raw"))["head"])
-    subject = F.get(F.filter(head, lambda h: F.lower(h["name"]) == "subject"), F.lit(0))["value"]
-    return read(spark, sf_dir, "messages").select("msg_id", F.trim(decode.decoded_words(subject)).alias("subject"))
+    """Subjects written as encoded words, base64 or quoted, two words a subject, and read again."""
+    rows = read(spark, sf_dir, "documents").where("subject is not null and subject not like '%\\n%'").select("doc_id", "subject")
+    half = F.greatest(F.floor(F.length("subject") / 2), F.lit(1)).cast("int")
 
+    def word(part):
+        raw = F.encode(part, "UTF-8")
+        return F.when(F.pmod("doc_id", F.lit(2)) == 0, F.concat(F.lit("=?utf-8?B?"), F.regexp_replace(F.base64(raw), "\r\n", ""), F.lit("?="))).otherwise(F.concat(F.lit("=?UTF-8?q?"), F.regexp_replace(F.hex(raw), "(..)", "=$1"), F.lit("?=")))
 
-def transfer_decoding(spark, sf_dir):
-    """Texts of the parts written in base64 and read back."""
-    rows = read(spark, sf_dir, "mime_parts").where("msg is not null")
-    back = decode.decoded_body(F.encode(F.base64(F.encode("msg", "UTF-8")), "UTF-8"), F.lit("base64"), F.lit("utf-8"))
-    return rows.select("part_id", back.alias("msg"))
+    both = F.concat(word(F.substring("subject", F.lit(1), half)), F.lit("\n\t"), word(F.substring("subject", half + 1, F.length("subject"))))
+    return rows.select("doc_id", decode.decoded_words(both).alias("subject"))
 
 
 def without_nonascii(spark, sf_dir):
@@ -161,8 +158,12 @@ def msgcount_roundtrip(spark, sf_dir):
 # --- wordlists --------------------------------------------------------------------------------------
 
 
+#: The day on which rows without a date are loaded.
+TODAY = 20260101
+
+
 def _loaded(spark, sf_dir) -> DataFrame:
-    return wordlist.load(read(spark, sf_dir, "wordlist"), "key", "spam", "good", "date_ymd", "entry_id")
+    return wordlist.load(read(spark, sf_dir, "wordlist"), "key", "spam", "good", "date_ymd", "entry_id", today=TODAY)
 
 
 def wordlist_load(spark, sf_dir):
@@ -173,7 +174,7 @@ def wordlist_load(spark, sf_dir):
 def wordlist_merge(spark, sf_dir):
     """Regular lists only, summed."""
     regular = read(spark, sf_dir, "registry").where("list_type = 'r'").select("list_name")
-    return wordlist.load(read(spark, sf_dir, "wordlist").join(F.broadcast(regular), "list_name", "left_semi"), "key", "spam", "good", "date_ymd", "entry_id")
+    return wordlist.load(read(spark, sf_dir, "wordlist").join(F.broadcast(regular), "list_name", "left_semi"), "key", "spam", "good", "date_ymd", "entry_id", today=TODAY)
 
 
 def legacy_merge(spark, sf_dir):
@@ -203,6 +204,32 @@ def nonascii_fold(spark, sf_dir):
     return wordlist.rekey(_loaded(spark, sf_dir), wordlist.fold_nonascii(F.col("token")))
 
 
+def convert_encoding(spark, sf_dir):
+    """The lists with those of the site written as raw bytes, loaded together and converted to text: keys that meet add up."""
+    raw = F.decode(F.encode("key", "UTF-8"), "ISO-8859-1")
+    rows = read(spark, sf_dir, "wordlist").withColumn("key", F.when(F.col("list_name") == "site", raw).otherwise(F.col("key")))
+    return wordlist.convert_encoding(wordlist.load(rows, "key", "spam", "good", "date_ymd", "entry_id", max_token_len=4096, today=TODAY))
+
+
+def registry_lists(spark, sf_dir):
+    """The registry with each list named twice and one once more at another priority: lists that are the same are met once."""
+    rows = read(spark, sf_dir, "registry")
+    return wordlist.distinct_lists(rows.unionByName(rows).unionByName(rows.where("list_name = 'base'").withColumn("priority", F.lit(9))))
+
+
+def store_changes(spark, sf_dir):
+    """A stored table after a change, its undoing and a new whole one in between: loading the lists one after another equals loading them together."""
+    rows = read(spark, sf_dir, "wordlist").where(wordlist.is_count(F.col("key")))
+    store = tables.CountStore(spark, fresh_dir(spark, "counts"), compact_every=2)
+    parts = [rows.where(F.pmod("entry_id", F.lit(3)) == k).groupBy(F.col("key").alias("token")).agg(F.sum(wordlist.clamp(F.col("spam"))).alias("spam"), F.sum(wordlist.clamp(F.col("good"))).alias("good")) for k in range(3)]
+    for k, part in enumerate(parts):
+        store.change(part, TODAY + k)
+        store.change(parts[0], TODAY)
+        store.change(parts[0], TODAY, sign=-1)
+    store.purge()
+    return store.read().where("token <> ''").select("token", "spam", "good")
+
+
 def upgrade_prefix(spark, sf_dir):
     return wordlist.upgrade_prefix(_loaded(spark, sf_dir))
 
@@ -267,6 +294,15 @@ def format_headers(spark, sf_dir):
     return rows.select(F.col("id").alias("msg_id"), line("%h: %c, tests=bayes, spamicity=%p").alias("header"), line("%.1c %d %f").alias("terse"), line("id=%I queue=%Q from=%A tokens=%w %e %%").alias("log"))
 
 
+def format_directives(spark, sf_dir):
+    """The other directives, with widths and precisions."""
+    rows, p = _scored_messages(spark, sf_dir)
+    dates = read(spark, sf_dir, "messages").select(F.col("msg_id").alias("id"), F.coalesce("ingested_at", "received_at").alias("at"))
+    rows = rows.join(dates, "id").withColumn("n_messages", F.lit(3))
+    f = render.fields(p, log_tag="night", run_type="s", user="mail", date=F.col("at"))
+    return rows.select(F.col("id").alias("msg_id"), render.render("%D %l %r %u %m %v", f).alias("line"), render.render("%g|%.3g|%-8c|%8c|%.3c|%9.3f|%.2o", f).alias("numbers"))
+
+
 def pass_through(spark, sf_dir):
     """Messages with their new score header; spam and unsure ones tagged in the subject."""
     rows, p = _scored_messages(spark, sf_dir)
@@ -357,65 +393,51 @@ def cutoff_for_fp_target(spark, sf_dir):
 
 
 def stream_auto_update(spark, sf_dir):
-    """Documents as a stream, one file a batch: scored against the counts so far, clear ones registered. Scores of all."""
-    from siftline.plans.corpus import trained
-
-    t = trained(spark, sf_dir)
+    """Documents as a stream of two batches, even ids before odd ones: each scored against the counts so far, clear ones registered. Scores of all."""
+    t = corpus.trained(spark, sf_dir)
     path = fresh_dir(spark, "auto-update")
-    update = AutoUpdate(spark, path, P).start(t.table, t.msgs_spam, t.msgs_good)
-    docs = f"{sf_dir}/documents.parquet"
-    folder = docs if os.path.isdir(docs) else sf_dir
-    reader = spark.readStream.schema(spark.read.parquet(docs).schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet" if folder == docs else "documents.parquet")
-    update.run(reader.parquet(folder).select(F.col("doc_id").alias("id"), "text"))
+    update = AutoUpdate(spark, path, P, compact_every=1).start(t.table, t.msgs_spam, t.msgs_good)
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    for batch in (0, 1):
+        docs.where(F.pmod("id", F.lit(2)) == batch).withColumn("batch", F.lit(batch)).write.parquet(f"{path}/arrived/{batch}")
+        update.run(spark.readStream.schema("id long, text string").parquet(f"{path}/arrived/{batch}"), batch)
     return _rounded(update.scores().select(F.col("id").alias("doc_id"), "n_used", "spamicity", "status"), "spamicity")
 
 
 def token_age(spark, sf_dir):
-    """First and last delivery of each sender, and how often it wrote."""
+    """First and last delivery of each sender, and how often it wrote, from the messages as a stream."""
+    path = fresh_dir(spark, "ages")
     rows = read(spark, sf_dir, "messages").where("sender is not null and received_at is not null")
-    return rows.groupBy(F.col("sender").alias("token")).agg(F.min("received_at").alias("first_seen"), F.max("received_at").alias("last_seen"), F.count("*").alias("n"))
-
-
-def event_windows(spark, sf_dir):
-    """Events per type and hour."""
-    rows = read(spark, sf_dir, "events").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
-    return rows.select(F.col("window.start").alias("hour"), "event_type", "n", "total")
-
-
-def part_name_bags(spark, sf_dir):
-    """Words of part names weighted by the lines that order them: a bag of words over structured rows."""
-    lines = read(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("lines"))
-    words = read(spark, sf_dir, "part").select("p_partkey", F.explode(F.array_distinct(F.split("p_name", " "))).alias("word"))
-    return words.join(lines, words["p_partkey"] == lines["l_partkey"], "left").groupBy("word").agg(F.count("*").alias("n_parts"), F.coalesce(F.sum("lines"), F.lit(0)).alias("n_lines"))
+    rows.select(F.col("sender").alias("token"), F.col("received_at").cast("timestamp").alias("ts")).write.parquet(f"{path}/in")
+    ages = token_ages(spark.readStream.schema("token string, ts timestamp").parquet(f"{path}/in"), late="100000 days")
+    ages.writeStream.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/out")).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("token", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("first_seen", "last_seen")], "n")
 
 
 def mbox_split(spark, sf_dir):
-    """Each mailbox's messages joined as one mbox text and split again."""
+    """All messages written as mailboxes and read again, with their numbers counted per mailbox."""
     head = F.concat(F.lit("From sender "), F.col("msg_id"), F.lit("\n"))
-    one = read(spark, sf_dir, "messages").select(F.pmod(F.xxhash64("msg_id"), F.lit(1000)).alias("box"), F.struct("msg_id", F.concat(head, F.regexp_replace(F.regexp_replace("raw", "\r\n", "\n"), "(?m)^From ", ">From "), F.lit("\n")).alias("m")).alias("s"))
-    boxes = one.groupBy("box").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: F.concat(F.regexp_replace(s["m"], r"\n+\z", ""), F.lit("\n\n"))), "").alias("text"))
-    split = boxes.select(F.explode(mailstores.split_mbox(F.col("text"))).alias("m"))
-    return split.groupBy(F.regexp_extract("m", r"^From sender (\S+)", 1).alias("msg_id")).agg(F.count("*").alias("n"))
-
-
-def sender_rank(spark, sf_dir):
-    """The busiest senders of each mailbox, ties kept."""
-    n = read(spark, sf_dir, "messages").where("source is not null and sender is not null").groupBy("source", "sender").agg(F.count("*").alias("n"))
-    return n.withColumn("place", F.rank().over(W.partitionBy("source").orderBy(F.desc("n")))).where("place <= 5")
+    body = F.regexp_replace(F.regexp_replace("raw", "\r\n", "\n"), "(?m)^From ", ">From ")
+    path = fresh_dir(spark, "mailboxes")
+    read(spark, sf_dir, "messages").where("raw is not null").select(F.concat(head, F.regexp_replace(body, r"\n+\z", ""), F.lit("\n"))).write.text(path)  # a text row ends its line: an empty one between messages
+    found = mailstores.numbered(mailstores.mbox(spark, path))
+    last = found.groupBy("source").agg(F.max("number").alias("last"), F.countDistinct("number").alias("n"))
+    whole = last.agg(F.min((F.col("last") == F.col("n")).cast("int")).alias("counted"))
+    return found.crossJoin(F.broadcast(whole)).select(F.regexp_extract("raw", r"^From sender (\S+)", 1).alias("msg_id"), "raw", (F.col("counted") == 1).alias("counted"))  # one row
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        header_tokens, message_tokens, message_attributes, ip_subnets, html_tokens, html_entities, url_escapes, part_kinds, message_parts, mime_roundtrip, mime_tokens, classify_messages, decoded_headers, transfer_decoding, without_nonascii,
+        header_tokens, message_tokens, message_attributes, ip_subnets, html_tokens, html_entities, url_escapes, part_kinds, message_parts, mime_roundtrip, mime_tokens, classify_messages, decoded_headers, without_nonascii,
         classify_msgcounts, msgcount_roundtrip, wordlist_load, wordlist_merge, legacy_merge, maint_count, maint_age, maint_size, maint_all, nonascii_fold, upgrade_prefix, wordlist_dump,
-        dump_roundtrip, bytes_before, multi_list_tokens, multi_list_score, format_headers, pass_through, tune_grid, tune_topten, tune_smooth_min, tune_fine, tune_split, tune_quality, prior_checks, cutoff_for_fp_target,
-        stream_auto_update, token_age, event_windows, part_name_bags, mbox_split, sender_rank,
+        dump_roundtrip, bytes_before, multi_list_tokens, multi_list_score, format_headers, format_directives, pass_through, tune_grid, tune_topten, tune_smooth_min, tune_fine, tune_split, tune_quality, prior_checks, cutoff_for_fp_target,
+        stream_auto_update, token_age, mbox_split, convert_encoding, registry_lists, store_changes,
     )
 }
 
 # --- the same in SQL --------------------------------------------------------------------------------
-_LOAD = "wl AS (SELECT key AS token, sum(greatest(coalesce(spam, 0), 0))::BIGINT AS spam, sum(greatest(coalesce(good, 0), 0))::BIGINT AS good, arg_max(coalesce(date_ymd, 0), entry_id) AS date FROM wordlist WHERE strlen(key) BETWEEN 1 AND 255 {} GROUP BY key)"
+_LOAD = "wl AS (SELECT key AS token, sum(greatest(coalesce(spam, 0), 0))::BIGINT AS spam, sum(greatest(coalesce(good, 0), 0))::BIGINT AS good, arg_max(CASE WHEN coalesce(date_ymd, 0) = 0 THEN 20260101 ELSE date_ymd END, entry_id) AS date FROM wordlist WHERE strlen(key) BETWEEN 1 AND 255 AND (key NOT LIKE '.%' OR key IN ('.MSG_COUNT', '.ENCODING')) {} GROUP BY key)"
 LOAD = _LOAD.format("")
 _FOLD = "list_aggregate(list_transform(string_split(token, ''), lambda c: CASE WHEN strlen(c) > 1 THEN repeat('?', strlen(c)) ELSE c END), 'string_agg', '')"
 _COUNTED = "counted AS (SELECT msg_id AS id, key AS token, max(greatest(coalesce(good, 0), 0)) AS good, max(greatest(coalesce(bad, 0), 0)) AS bad, max(greatest(coalesce(msgs_good, 0), 0)) AS mg, max(greatest(coalesce(msgs_bad, 0), 0)) AS ms FROM msgcounts WHERE key <> '' AND msg_id IS NOT NULL GROUP BY 1, 2)"
@@ -447,7 +469,6 @@ ORACLE = {
     "header_tokens": f"WITH {_HEADER_TOKENS} SELECT msg_id, token, count(*) AS n FROM ht GROUP BY ALL",
     "ip_subnets": f"WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{RE_TOKEN}')) AS token FROM documents), o AS (SELECT doc_id, list_transform(string_split(token, '.'), lambda x: (x::INT % 256)::VARCHAR) AS o FROM t WHERE regexp_full_match(token, '{RE_IP}')), n AS (SELECT DISTINCT doc_id, array_to_string(o[1:k], '.') AS net FROM o, range(1, 5) r(k)) SELECT net, count(*) AS n_docs FROM n GROUP BY net",
     "part_kinds": "SELECT CASE WHEN t IS NULL OR t = '' OR starts_with(t, 'text') THEN CASE WHEN starts_with(t, 'text/html') THEN 'html' ELSE 'text' END WHEN regexp_matches(t, '^(multipart|message|application|image|audio|video)/') THEN split_part(t, '/', 1) ELSE 'other' END AS kind, CASE WHEN e IN ('quoted-printable', 'base64', 'x-uuencode') THEN e ELSE 'identity' END AS encoding, count(*) AS n, sum(coalesce(length(msg), 0))::BIGINT AS chars FROM (SELECT msg, lower(trim(regexp_replace(mime_type, ';.*$', ''))) AS t, lower(trim(mime_encoding)) AS e FROM mime_parts) GROUP BY ALL",
-    "transfer_decoding": "SELECT part_id, msg FROM mime_parts WHERE msg IS NOT NULL",
     "without_nonascii": f"SELECT {_FOLD.replace('token', 'key')} AS token, count(*) AS n FROM msgcounts WHERE key IS NOT NULL GROUP BY 1",
     "msgcount_roundtrip": f"WITH {_COUNTED} SELECT id AS msg_id, token, bad, good, max(ms) OVER (PARTITION BY id) AS msgs_bad, max(mg) OVER (PARTITION BY id) AS msgs_good FROM counted",
     "wordlist_load": f"WITH {LOAD} SELECT * FROM wl",
@@ -466,10 +487,7 @@ ORACLE = {
     "multi_list_score": f"WITH {_MULTI}, {_sql_rated(MULTI)}, {sql_scores('rated', MULTI)} SELECT id AS msg_id, n AS n_used, round(p, 6) AS p_value, round(q, 6) AS q_value, round(s, 6) AS spamicity, status FROM scored",
     "classify_msgcounts": f"WITH {_COUNTED}, {_sql_rated(P)}, {sql_scores('rated', P)} SELECT id AS msg_id, n AS n_used, round(p, 6) AS p_value, round(q, 6) AS q_value, round(s, 6) AS spamicity, status FROM scored",
     "token_age": "SELECT sender AS token, min(received_at) AS first_seen, max(received_at) AS last_seen, count(*) AS n FROM messages WHERE sender IS NOT NULL AND received_at IS NOT NULL GROUP BY 1",
-    "event_windows": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2",
-    "part_name_bags": "WITH l AS (SELECT l_partkey, count(*) AS lines FROM lineitem GROUP BY 1), w AS (SELECT p_partkey, unnest(list_distinct(string_split(p_name, ' '))) AS word FROM part) SELECT word, count(*) AS n_parts, coalesce(sum(lines), 0)::BIGINT AS n_lines FROM w LEFT JOIN l ON l_partkey = p_partkey GROUP BY word",
-    "mbox_split": "SELECT msg_id, 1 AS n FROM messages",
-    "sender_rank": "SELECT * FROM (SELECT *, rank() OVER (PARTITION BY source ORDER BY n DESC) AS place FROM (SELECT source, sender, count(*) AS n FROM messages WHERE source IS NOT NULL AND sender IS NOT NULL GROUP BY 1, 2)) WHERE place <= 5",
+    "mbox_split": r"SELECT msg_id, 'From sender ' || msg_id || chr(10) || regexp_replace(regexp_replace(replace(raw, chr(13) || chr(10), chr(10)), '(?m)^From ', '>From ', 'g'), '\n+$', '') || chr(10) AS raw, TRUE AS counted FROM messages WHERE raw IS NOT NULL",
 }
 
 # --- more statements, for decoding, rendering and tuning ----------------------------------------------
@@ -500,8 +518,19 @@ ORACLE |= {
     "format_headers": f"WITH {_COUNTED}, {_sql_rated(P)}, {sql_scores('rated', P)}, {_ATTRIBUTES}, z AS (SELECT id, round(s, 6) AS s, status, (SELECT count(*) FROM counted c WHERE c.id = scored.id) AS w FROM scored) SELECT id AS msg_id, 'X-Bogosity: ' || status || ', tests=bayes, spamicity=' || printf('%.6f', s) AS header, status[1] || ' ' || printf('%.6f', CASE WHEN status = 'Spam' THEN 1 - s ELSE s END) || ' ' || printf('%.6f', s) AS terse, 'id=' || coalesce(message_id, 'UNKNOWN') || ' queue=' || coalesce(queue_id, 'UNKNOWN') || ' from=' || coalesce(message_addr, 'UNKNOWN') || ' tokens=' || w || ' ' || printf('%e', s) || ' %' AS log FROM z JOIN attributes ON id = msg_id",
 }
 
-# the documents lie in one file, so they are one batch, all scored against the counts before it
-ORACLE["stream_auto_update"] = f"SELECT doc_id, n_used, spamicity, status FROM ({sql_classify(P)})"
+# two batches: the odd documents are scored with the counts of the clear even ones added
+_CLEAR = "SELECT id, status = 'Spam' AS is_spam FROM first WHERE id % 2 = 0 AND status <> 'Unsure'"
+ORACLE["stream_auto_update"] = f"""WITH {corpus.TRAINED}, {corpus.sql_rated(P)}, {sql_scores('rated', P)}, first AS MATERIALIZED (SELECT * FROM scored), clear AS ({_CLEAR}),
+  added AS (SELECT token, count(*) FILTER (is_spam) AS spam, count(*) FILTER (NOT is_spam) AS good FROM tok JOIN clear USING (id) GROUP BY token),
+  wl2 AS MATERIALIZED (SELECT token, sum(spam)::BIGINT AS spam, sum(good)::BIGINT AS good FROM (SELECT * FROM wl UNION ALL SELECT * FROM added) GROUP BY token),
+  tot2 AS (SELECT ms + (SELECT count(*) FILTER (is_spam) FROM clear) AS ms, mg + (SELECT count(*) FILTER (NOT is_spam) FROM clear) AS mg FROM tot),
+  second AS (WITH {corpus.sql_rated(P).replace('LEFT JOIN wl USING (token), tot)', 'LEFT JOIN wl2 wl USING (token), tot2)')}, {sql_scores('rated', P)} SELECT * FROM scored)
+  SELECT id AS doc_id, n AS n_used, round(s, 6) AS spamicity, status FROM first WHERE id % 2 = 0 UNION ALL SELECT id, n, round(s, 6), status FROM second WHERE id % 2 = 1"""
+ORACLE |= {
+    "convert_encoding": "WITH w AS (SELECT key AS token, sum(greatest(coalesce(spam, 0), 0))::BIGINT AS spam, sum(greatest(coalesce(good, 0), 0))::BIGINT AS good, arg_max(CASE WHEN coalesce(date_ymd, 0) = 0 THEN 20260101 ELSE date_ymd END, entry_id) AS date, list_name = 'site' AND regexp_matches(key, '[^\\x00-\\x7f]') AS raw FROM wordlist WHERE strlen(key) >= 1 AND (key NOT LIKE '.%' OR key = '.MSG_COUNT') GROUP BY key, raw) SELECT token, sum(spam)::BIGINT AS spam, sum(good)::BIGINT AS good, max(date) AS date FROM w GROUP BY token UNION ALL SELECT '.ENCODING', 2, 0, max(date) FROM w",
+    "registry_lists": "SELECT * FROM registry UNION ALL SELECT list_type, list_name, file_name, 9 FROM registry WHERE list_name = 'base'",
+    "store_changes": "SELECT * FROM (SELECT key AS token, sum(greatest(coalesce(spam, 0), 0))::BIGINT AS spam, sum(greatest(coalesce(good, 0), 0))::BIGINT AS good FROM wordlist WHERE key <> '' AND (key NOT LIKE '.%' OR key IN ('.MSG_COUNT', '.ENCODING')) GROUP BY key) WHERE spam > 0 OR good > 0",
+}
 
 _READABLE = "CASE WHEN starts_with(lower(trim(regexp_replace(mime_type, ';.*$', ''))), 'text/html') THEN 'text/html' ELSE 'text/plain' END"
 _DEEP = "part_id % 5 = 0"
@@ -573,3 +602,14 @@ ORACLE |= {
       j AS (SELECT idx, bool_and(coalesce(near, 2147483647) < med) AS low, avg(near) AS mean, count(near) AS n, max(third) AS third FROM nb CROSS JOIN q GROUP BY idx)
       SELECT res.idx, (coalesce(low, FALSE) AND n > 0 AND floor(mean) < third) AS smooth, fp, fn, round(cutoff, 6) AS cutoff FROM res JOIN j USING (idx) CROSS JOIN target WHERE fp = target ORDER BY smooth DESC, fn, res.cutoff, res.idx LIMIT 1""",
 }
+
+_Z = f"{_COUNTED}, {_sql_rated(P)}, {sql_scores('rated', P)}, z AS (SELECT id, round(s, 6) AS s, status FROM scored)"
+ORACLE |= {
+    "decoded_headers": "SELECT doc_id, subject FROM documents WHERE subject IS NOT NULL AND subject NOT LIKE '%' || chr(10) || '%'",
+    "url_escapes": r"""SELECT DISTINCT part_id, url_decode(url) AS url FROM (SELECT part_id, unnest(regexp_extract_all(msg, 'https?:(//[^\s<>"]+)', 1)) AS url FROM mime_parts)""",
+    "message_parts": rf"""WITH t AS (SELECT msg_id, replace(raw, chr(13) || chr(10), chr(10)) AS t FROM messages) SELECT msg_id, 1 AS part_no, 0 AS depth, coalesce(nullif(lower(trim(regexp_extract(regexp_split_to_array(t || chr(10), '\n[ \t]*\n')[1], '(?im)^content-type:([^;\n]*)', 1))), ''), 'text/plain') AS mime_type, length(regexp_extract(t, '(?s)^.*?\n[ \t]*\n(.*)$', 1)) AS chars FROM t""",
+    "format_directives": f"""WITH {_Z} SELECT id AS msg_id, strftime(coalesce(ingested_at, received_at), '%Y-%m-%dT%H:%M:%SZ') || ' night s mail 3 1' AS line,
+      printf('%g', s) || '|' || printf('%.3g', s) || '|' || rpad(status, greatest(8, length(status))::INT, ' ') || '|' || lpad(status, greatest(8, length(status))::INT, ' ') || '|' || status[1:3] || '|' || printf('%9.3f', s) || '|' || '{P.spam_cutoff:.2f}' AS numbers FROM z JOIN messages ON id = msg_id""",
+    "pass_through": rf"""WITH {_Z}, t AS (SELECT msg_id, regexp_replace(replace(raw, chr(13) || chr(10), chr(10)), '(?m)^X-Bogosity[^\n]*\n(?:[ \t][^\n]*\n)*', '', 'g') AS t FROM messages), h AS (SELECT msg_id, t, regexp_extract(t, '^((?:[^\n]+\n?)*)', 1) AS head FROM t)
+      SELECT msg_id, CASE WHEN status = 'Ham' THEN head ELSE regexp_replace(head, '(?im)^(subject:)[ ]?', '\1 [' || lower(status) || '] ') END || CASE WHEN head = '' OR head LIKE '%' || chr(10) THEN '' ELSE chr(10) END || 'X-Bogosity: ' || status || ', tests=bayes, spamicity=' || printf('%.6f', s) || chr(10) || CASE WHEN length(t) = length(head) THEN chr(10) ELSE substr(t, length(head) + 1) END AS raw FROM h JOIN z ON id = msg_id""",
+}

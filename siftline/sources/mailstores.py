@@ -13,15 +13,17 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from siftline.common import head_of, is_folder, running_before
+
 
 def single_messages(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Each file is one message."""
     return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.lit(0).cast("long").alias("position"), F.col("value").alias("raw"))
 
 
-def mbox(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """A message begins with 'From ' at the start of a file or after an empty line; '>From ' stays as it is."""
-    rows = spark.read.text(paths, lineSep="\n\nFrom ").select(F.col("_metadata.file_path").alias("source"), F.monotonically_increasing_id().alias("position"), F.col("value").alias("v"))
+def mbox(spark: SparkSession, paths: str | list[str], crlf: bool = False) -> DataFrame:
+    """A message begins with 'From ' at the start of a file or after an empty line; '>From ' stays as it is. crlf: the line ends of the files, which become plain ones."""
+    rows = spark.read.text(paths, lineSep="\r\n\r\nFrom " if crlf else "\n\nFrom ").select(F.col("_metadata.file_path").alias("source"), F.monotonically_increasing_id().alias("position"), (F.regexp_replace("value", "\r\n", "\n") if crlf else F.col("value")).alias("v"))
     first = F.col("v").startswith("From ")
     raw = F.when(first, F.col("v")).otherwise(F.concat(F.lit("From "), F.col("v")))
     return rows.where(F.length(F.trim("v")) > 0).select("source", "position", F.concat(F.regexp_replace(raw, r"\n+\z", ""), F.lit("\n")).alias("raw"))
@@ -75,9 +77,36 @@ def store_format(first_line: Column) -> Column:
     return F.when(first_line.startswith("From "), "mbox").when(first_line.startswith("#! rmail "), "rmail").when(F.upper(first_line).startswith("MAIL FROM:"), "dotted").when(first_line.startswith('".MSG_COUNT"'), "msg-count").otherwise("single")
 
 
-def split_mbox(text: Column) -> Column:
-    """The messages of a mailbox held in one string."""
-    return F.filter(F.split(text, r"(?<=\n\n)(?=From )|(?<=\A)(?=From )"), lambda m: F.length(F.trim(m)) > 0)
+def numbered(messages: DataFrame) -> DataFrame:
+    """messages with number, their place within their source from 1."""
+    at = running_before(messages, "source", ["position"], {"number": F.lit(1)})
+    return at.withColumn("number", F.col("number") + 1)
+
+
+def store_kind(spark: SparkSession, path: str) -> str:
+    """Which reader a store asks for: folders by what lies in them, files by how they begin."""
+    if is_folder(spark, path):
+        return "maildir" if is_folder(spark, f"{path}/cur") or is_folder(spark, f"{path}/new") else "mh"
+    line = head_of(spark, path).decode("utf-8", "replace").partition("\n")[0]
+    for start, kind in (("From ", "mbox"), ("#! rmail ", "rmail"), ("MAIL FROM:", "dotted")):
+        if line.startswith(start) or kind == "dotted" and line.upper().startswith(start):
+            return "mbox-crlf" if kind == "mbox" and line.endswith("\r") else kind
+    return "single"
+
+
+def open_stores(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """source, position, raw of stores of any kind, each read as it asks for; those of one kind together."""
+    kinds: dict[str, list[str]] = {}
+    for path in paths:
+        kinds.setdefault(store_kind(spark, path), []).append(path)
+    out = None
+    for kind, some in sorted(kinds.items()):
+        readers = {"maildir": maildir, "mh": mh}
+        parts = [readers[kind](spark, p) for p in some] if kind in readers else [mbox(spark, some, crlf=True) if kind == "mbox-crlf" else listed(spark, some, kind)]
+        for part in parts:
+            part = part.select("source", "position", "raw")
+            out = part if out is None else out.unionByName(part)
+    return out if out is not None else spark.createDataFrame([], "source string, position long, raw string")
 
 
 def listed(spark: SparkSession, paths: list[str], kind: str = "single") -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from siftline.common import checkpoint, running_before
 from siftline.operators.wordlist import clamp, fold_nonascii
 
 
@@ -42,46 +43,83 @@ def parse_count_lines(lines: DataFrame, by: str, order: Column, value: str = "va
     """msg_no, token, bad, good, msgs_bad, msgs_good from lines in order within each file `by`."""
     m = lambda g: F.regexp_extract(F.col(value), r'^"(.*)" ([0-9]+) ([0-9]+)$', g)
     rows = lines.select(F.col(by).alias("file"), order.alias("at"), m(1).alias("token"), m(2).try_cast("long").alias("bad"), m(3).try_cast("long").alias("good")).where("bad is not null")
-    w = W.partitionBy("file").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
     is_head = F.col("token") == ".MSG_COUNT"
-    rows = rows.withColumn("msg_no", F.sum(is_head.cast("int")).over(w))
-    for name in ("bad", "good"):
-        rows = rows.withColumn(f"msgs_{name}", F.last(F.when(is_head, F.col(name)), ignorenulls=True).over(w))
-    return rows.where(~is_head).select("file", "msg_no", "token", "bad", "good", "msgs_bad", "msgs_good")
+    rows = running_before(rows, "file", ["at", "token"], {"heads": is_head.cast("int")}).withColumn("msg_no", F.col("heads") + is_head.cast("int"))
+    rows = checkpoint(rows)
+    heads = rows.where(is_head).select("file", "msg_no", F.col("bad").alias("msgs_bad"), F.col("good").alias("msgs_good"))
+    return rows.where(~is_head).join(heads, ["file", "msg_no"], "left").select("file", "msg_no", "token", "bad", "good", "msgs_bad", "msgs_good")
 
 
 def starting_with(lines: DataFrame, by: str, order: str, prefix: str, value: str = "value") -> DataFrame:
     """offset, value of the lines that begin with a prefix; the offset in bytes from the start of the file."""
-    w = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return lines.withColumn("offset", F.coalesce(F.sum(F.octet_length(value) + 1).over(w), F.lit(0))).where(F.col(value).startswith(prefix)).select("offset", value)
+    at = running_before(lines.select(by, order, value), by, [order], {"offset": F.octet_length(value) + 1})
+    return at.where(F.col(value).startswith(prefix)).select("offset", value)
 
 
 class CountStore:
-    """Snapshots of a count table below one folder. A change writes a new snapshot; readers see only finished ones."""
+    """Count tables below one folder: a base and the changes since, merged on reading and now and then into a new base.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    A change costs what it holds, not the table. Readers see only finished writes; a table that was replaced stays until
+    purge().
+    """
+
+    def __init__(self, spark: SparkSession, path: str, compact_every: int = 16):
+        self.spark, self.path, self.compact_every = spark, path.rstrip("/"), compact_every
 
-    def _versions(self) -> list[int]:
+    def _fs(self):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _finished(self) -> list[tuple[int, str]]:
+        """(version, name) of all finished writes in order: v<n> are whole tables, c<n> changes."""
+        fs, p = self._fs()
         if not fs.exists(p):
             return []
         done = [s.getPath().getName() for s in fs.listStatus(p) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-        return sorted(int(n[1:]) for n in done if n.startswith("v"))
+        return sorted((int(n[1:]), n) for n in done if n[0] in "vc")
+
+    def _live(self) -> list[str]:
+        done = self._finished()
+        base = max((v for v, n in done if n[0] == "v"), default=0)
+        return [n for v, n in done if v > base or n == f"v{base}"]
 
     def read(self) -> DataFrame:
-        versions = self._versions()
-        if not versions:
-            return self.spark.createDataFrame([], "token string, spam long, good long, date int")
-        return self.spark.read.parquet(f"{self.path}/v{versions[-1]}")
+        live = self._live()
+        schema = "token string, spam long, good long, date int"
+        if not live:
+            return self.spark.createDataFrame([], schema)
+        if len(live) == 1 and live[0][0] == "v":
+            return self.spark.read.schema(schema).parquet(f"{self.path}/{live[0]}")
+        parts = [self.spark.read.schema(schema).parquet(f"{self.path}/{n}").withColumn("_at", F.lit(k)) for k, n in enumerate(live)]
+        rows = parts[0]
+        for x in parts[1:]:
+            rows = rows.unionByName(x)
+        # counts stop at zero after every change, so the sums since the lowest point count: at most compact_every rows a token
+        steps = F.array_sort(F.collect_list(F.struct("_at", "spam", "good")))
+        total = lambda n: F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: F.greatest(a + x[n], F.lit(0).cast("long")))
+        merged = rows.groupBy("token").agg(total("spam").alias("spam"), total("good").alias("good"), F.max("date").alias("date"))
+        return merged.where("spam > 0 or good > 0")
+
+    def _write(self, table: DataFrame, kind: str) -> None:
+        version = max((v for v, _ in self._finished()), default=0) + 1
+        table.select("token", "spam", "good", "date").write.mode("overwrite").parquet(f"{self.path}/{kind}{version}")
 
     def replace(self, table: DataFrame) -> DataFrame:
-        version = (self._versions() or [0])[-1] + 1
-        table.select("token", "spam", "good", "date").write.mode("overwrite").parquet(f"{self.path}/v{version}")
+        self._write(table, "v")
         return self.read()
 
     def change(self, delta: DataFrame, date: int, sign: int = 1) -> DataFrame:
         """Add or take away counts(token, spam, good); touched tokens get the date; counts stop at zero."""
-        rows = self.read().select("token", "spam", "good", "date").unionByName(delta.select("token", (F.col("spam") * sign).alias("spam"), (F.col("good") * sign).alias("good"), F.lit(date).alias("date")))
-        return self.replace(rows.groupBy("token").agg(clamp(F.sum("spam")).alias("spam"), clamp(F.sum("good")).alias("good"), F.max("date").alias("date")).where("spam > 0 or good > 0"))
+        one = delta.groupBy("token").agg((F.sum("spam") * sign).alias("spam"), (F.sum("good") * sign).alias("good"))
+        self._write(one.withColumn("date", F.lit(date)), "c")
+        if len(self._live()) > self.compact_every:
+            return self.replace(self.read())
+        return self.read()
+
+    def purge(self) -> None:
+        """Delete what the newest whole table has replaced; for when nobody reads it any more."""
+        fs, _ = self._fs()
+        live = set(self._live())
+        for _, n in self._finished():
+            if n not in live:
+                fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}"), True)

@@ -6,10 +6,11 @@ probabilities rank the terms: words found everywhere are explained by the backgr
 nothing. The background probability of a term is the share of registered messages holding it,
 (bad + good + 1/2) / (msgs_bad + msgs_good + 1), over the sum of these shares over the vocabulary.
 
-Plan shape: one shuffle by record, then sorted rows stream through Arrow batches in which all
-records are iterated together with vector operations. A record of more than `stream_terms` terms is
-not held by one task: its rows stay spread and every iteration is a partial aggregate of one number
-per record.
+Plan shape: records of more than `stream_terms` rows are told by a partial count first. All others take one
+shuffle by record and one sort and stay so at a checkpoint; the vocabulary is aggregated from there, and the sorted
+rows stream through Arrow batches in which all records are iterated together with vector operations. A
+longer record is not held by one task: its rows stay spread and every iteration is a partial
+aggregate of one number per record.
 
 Defined cases: term null or empty, record null: no row. Rows stored twice count once (largest
 counts). freq null or below 1 counts as 1. Counts null or negative count as 0. Totals null: those of
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from siftline.common import broadcast_sized, checkpoint
 
@@ -65,14 +66,19 @@ def mixture_em(freq: np.ndarray, background: np.ndarray, starts: np.ndarray, own
     return p
 
 
-def _streamed(own_weight: float, iterations: int):
+def _streamed(own_weight: float, iterations: int, top: int, mass: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def scored(t: pa.Table) -> pa.RecordBatch:
             t = t.combine_chunks()
             code = t.column("record").combine_chunks().dictionary_encode().indices.to_numpy()
             starts = np.flatnonzero(np.diff(code, prepend=-1))
-            freq, b = t.column("freq").to_numpy().astype(float), t.column("background").to_numpy()
-            return t.append_column("score", pa.array(mixture_em(freq, b, starts, own_weight, iterations))).to_batches()[0]
+            freq, held = t.column("freq").to_numpy().astype(float), t.column("held").to_numpy()
+            total = t.column("total").fill_null(-1).to_numpy()
+            own = np.repeat(np.maximum.reduceat(total, starts), np.diff(np.append(starts, len(total))))  # of the record's other rows
+            total = np.where(total >= 0, total, np.where(own >= 0, own, top))
+            b = (held + 0.5) / (total + 1) / mass
+            p = mixture_em(freq, b, starts, own_weight, iterations)
+            return pa.RecordBatch.from_arrays([*(t.column(n).combine_chunks() for n in ("record", "term", "freq")), pa.array(b), pa.array(p)], ["record", "term", "freq", "background", "score"])
 
         open_rows: pa.Table | None = None  # the last record of a batch may go on in the next one
         for batch in batches:
@@ -80,8 +86,8 @@ def _streamed(own_weight: float, iterations: int):
             if not t.num_rows:
                 continue
             t = pa.concat_tables([open_rows, t]) if open_rows is not None else t
-            records = t.column("record").to_numpy(zero_copy_only=False)
-            cut = int(np.flatnonzero(records != records[-1])[-1]) + 1 if records[0] != records[-1] else 0
+            code = t.column("record").combine_chunks().dictionary_encode().indices.to_numpy()
+            cut = int(np.searchsorted(code, code[-1]))  # rows are sorted, so codes only grow
             if cut:
                 yield scored(t.slice(0, cut))
             open_rows = t.slice(cut)
@@ -112,26 +118,27 @@ def _spread_em(rows: DataFrame, own_weight: float, iterations: int, size: int) -
 
 def distinctiveness(df: DataFrame, record: str = "msg_id", term: str = "key", own_weight: float = OWN_WEIGHT, iterations: int = ITERATIONS, stream_terms: int = STREAM_TERMS) -> DataFrame:
     """record, term, freq, background, score (converged probability under the record's own model)."""
-    rows = _rows(df, record, term, "record")
-    # sum of the shares over the vocabulary and the largest total: two numbers for the whole collection
-    shares = rows.groupBy("term").agg(F.max(F.struct("total", "held")).alias("k"))
+    long = df.where(F.col(record).isNotNull()).groupBy(F.col(record).cast("string").alias(record)).agg(F.count("*").alias("_n")).where(F.col("_n") > stream_terms).select(record)
+    long = checkpoint(long)  # at most rows / stream_terms records
+    n_long, size = long.count(), 0
+    giants = None
+    if n_long:
+        size = n_long * 256
+        giants = checkpoint(_rows(df.join(broadcast_sized(long, size), record, "left_semi"), record, term, "record", "term"))
+        df = df.join(broadcast_sized(long, size), record, "left_anti")
+    rows = checkpoint(_rows(df, record, term, "record").sortWithinPartitions("record", "term"))
+
+    # sum of the shares over the vocabulary and the largest total: a few numbers for the whole collection
+    every = rows.select("term", "total", "held") if giants is None else rows.select("term", "total", "held").unionByName(giants.select("term", "total", "held"))
+    shares = every.groupBy("term", "total").agg(F.max("held").alias("held")).groupBy("term").agg(F.max(F.struct("total", "held")).alias("k"))
     whole = shares.agg(F.max("k.total").alias("top"), F.sum(_share(F.col("k.held"), F.col("k.total"))).alias("mass"), F.count(F.when(F.col("k.total").isNull(), 1)).alias("open")).first()
     top = whole["top"] or 0
     mass = (whole["mass"] or 0.0) + whole["open"] * 0.5 / (top + 1) or 1.0
 
-    def with_background(rows: DataFrame, own_total: Column) -> DataFrame:
-        share = _share(F.col("held"), F.coalesce("total", own_total, F.lit(top))) / mass
-        return rows.withColumn("background", share).select("record", "term", "freq", "background")
-
-    long = df.where(F.col(record).isNotNull()).groupBy(F.col(record).cast("string").alias(record)).agg(F.count("*").alias("_n")).where(F.col("_n") > stream_terms).select(record)
-    streamed, giants = df, None
-    long = checkpoint(long)  # at most rows / stream_terms records
-    if n_long := long.count():
-        size = n_long * 256
-        rows = _rows(df.join(broadcast_sized(long, size), record, "left_semi"), record, term, "record", "term")
-        own = rows.groupBy("record").agg(F.max("total").alias("_own"))
-        giants = _spread_em(with_background(rows.join(broadcast_sized(own, size), "record"), F.col("_own")), own_weight, iterations, size)
-        streamed = df.join(broadcast_sized(long, size), record, "left_anti")
-    streamed = with_background(_rows(streamed, record, term, "record"), F.max("total").over(W.partitionBy("record")))
-    scored = streamed.sortWithinPartitions("record", "term").mapInArrow(_streamed(own_weight, iterations), OUT)
-    return scored.unionByName(giants) if giants is not None else scored
+    scored = rows.mapInArrow(_streamed(own_weight, iterations, top, mass), OUT)
+    if giants is None:
+        return scored
+    own = giants.groupBy("record").agg(F.max("total").alias("_own"))
+    share = _share(F.col("held"), F.coalesce("total", "_own", F.lit(top))) / mass
+    at = giants.join(broadcast_sized(own, size), "record").withColumn("background", share).select("record", "term", "freq", "background")
+    return scored.unionByName(_spread_em(at, own_weight, iterations, size))

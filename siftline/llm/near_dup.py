@@ -174,11 +174,15 @@ def groups(found: NearDuplicates) -> DataFrame:
         moved = at.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")) if large else at.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         return moved.where("u <> v").distinct()
 
-    while edges.take(1):
+    def mark(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    now = mark(edges)
+    while now[0]:
         after = checkpoint(star(star(edges, True), False))
-        same = edges.exceptAll(after).isEmpty() and after.exceptAll(edges).isEmpty()
+        before, now = now, mark(after)
         edges = after
-        if same:
+        if before == now:  # number of edges and sum of their hashes
             break
     top = edges.select(F.col("u").alias("rep"), F.col("v").alias("group_id"))
     return found.members.join(top, "rep", "left").join(links, "rep", "left").select("id", F.coalesce("group_id", "rep").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

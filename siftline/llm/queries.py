@@ -235,3 +235,15 @@ ORACLE |= {
     "p8_kept": "SELECT c AS capacity, (SELECT count(*) FROM documents) AS n_docs, 0 AS overfull, 0 AS loose, 0 AS needless FROM (SELECT param_value::INT AS c FROM params WHERE param_name IN ('pack_capacity', 'pack_capacity_small'))",
     "p10_rebuilt": "SELECT doc_id, coalesce(text, '') AS text, TRUE AS within_limit FROM documents",
 }
+
+ORACLE["p6_groups"] = """WITH RECURSIVE w AS MATERIALIZED (SELECT DISTINCT part_id, unnest(regexp_extract_all(lower(msg), '[\\p{L}\\p{N}]{3,}')) AS word FROM mime_parts),
+      n AS (SELECT part_id, count(*) AS n FROM w GROUP BY 1 HAVING count(*) >= 20),
+      s AS (SELECT a.part_id AS x, b.part_id AS y, count(*) AS shared FROM w a JOIN w b ON a.word = b.word AND a.part_id < b.part_id GROUP BY 1, 2),
+      p AS MATERIALIZED (SELECT x, y, shared = nx.n + ny.n - shared AS equal FROM s JOIN n nx ON nx.part_id = x JOIN n ny ON ny.part_id = y WHERE shared >= 0.6 * (nx.n + ny.n - shared)),
+      e AS MATERIALIZED (SELECT x AS u, y AS v FROM p UNION ALL SELECT y, x FROM p),
+      rep AS MATERIALIZED (SELECT part_id, least(part_id, coalesce((SELECT min(x) FROM p WHERE equal AND y = part_id), part_id)) AS rep FROM n),
+      reach AS (SELECT part_id AS a, part_id AS b FROM n UNION SELECT a, v FROM reach JOIN e ON u = b),
+      g AS (SELECT a, min(b) AS group_id FROM reach GROUP BY 1),
+      pairs_ AS (SELECT ru.rep AS r, rv.rep AS o FROM e JOIN rep ru ON ru.part_id = u JOIN rep rv ON rv.part_id = v WHERE ru.rep <> rv.rep),
+      k AS (SELECT r, count(DISTINCT o) AS n_links FROM pairs_ GROUP BY 1)
+      SELECT rep.part_id, group_id, coalesce(n_links, 0) AS n_links FROM rep JOIN g ON g.a = rep.part_id LEFT JOIN k ON k.r = rep.rep"""

@@ -129,6 +129,17 @@ def decoded_words(text: pd.Series) -> pd.Series:
     return text.map(encoded_words, na_action="ignore")
 
 
+def recoder(charset: str):
+    """A column function: characters that are bytes of a charset as its text; what it cannot read stays."""
+    def one(text: str) -> str:
+        try:
+            return text.encode("latin-1").decode(charset)
+        except UnicodeError:
+            return text
+
+    return F.pandas_udf(lambda s: s.map(one, na_action="ignore"), T.StringType())
+
+
 def qp_valid(text: Column, in_header: bool = False) -> Column:
     """Only printable ASCII; in bodies tabs and line ends too, in headers neither those nor blanks and question marks."""
     return text.rlike(r"^[\x21-\x3e\x40-\x7e]*$" if in_header else r"^[\x20-\x7e\t\r\n]*$")

@@ -4,16 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from siftline.common import broadcast_if_small, broadcast_sized
+from siftline.common import BROADCAST_BYTES, checkpoint, plan_bytes
 from siftline.functions.prob import combine, deviates, status, token_probability
 from siftline.params import EPS, Params
 
 
-def with_counts(tokens: DataFrame, wordlist: DataFrame, msgs_good: int, msgs_bad: int, size: int | None = None) -> DataFrame:
-    """Distinct (id, token) with the counts of one list; unknown tokens have none. Broadcast only while the list is small: by its counted bytes, if given."""
+#: Tokens of the largest counts that are looked up by broadcast where the whole list is too large for that.
+HEAD = 20_000
+
+
+def with_counts(tokens: DataFrame, wordlist: DataFrame, msgs_good: int, msgs_bad: int, size: int | None = None, limit: int = BROADCAST_BYTES, head: int = HEAD) -> DataFrame:
+    """Distinct (id, token) with the counts of one list; unknown tokens have none.
+
+    The list is broadcast only while it is small: by its counted bytes, if given. Beyond that its head, the tokens
+    of the largest counts, is broadcast, and only the others are met by a shuffle; rows that have their counts
+    already are spread over it by their ids, so no task gets all rows of a frequent token.
+    """
     table = wordlist.select("token", "good", F.col("spam").alias("bad"))
-    table = broadcast_if_small(table) if size is None else broadcast_sized(table, size)
-    found = tokens.join(table, "token", "left").na.fill(0, ["good", "bad"])
+    if (plan_bytes(table) if size is None else size) <= limit:
+        found = tokens.join(F.broadcast(table), "token", "left")
+    else:
+        table = checkpoint(table)
+        top = table.orderBy(F.desc(F.col("good") + F.col("bad")), "token").limit(head).select("token", F.col("good").alias("_good"), F.col("bad").alias("_bad"))
+        known = tokens.join(F.broadcast(top), "token", "left")
+        key = F.when(F.col("_good").isNull(), F.col("token")).otherwise(F.concat(F.lit("\0"), F.pmod(F.xxhash64("id"), F.lit(1 << 16)).cast("string")))
+        found = known.withColumn("_key", key).join(table.withColumnRenamed("token", "_key"), "_key", "left")
+        found = found.select(*tokens.columns, F.coalesce("good", "_good").alias("good"), F.coalesce("bad", "_bad").alias("bad"))
+    found = found.na.fill(0, ["good", "bad"])
     return found.withColumns({"msgs_good": F.lit(msgs_good).cast("bigint"), "msgs_bad": F.lit(msgs_bad).cast("bigint")})
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftline.common import broadcast_if_small
+from siftline.functions.decode import recoder
 
 
 def clamp(c: Column) -> Column:
@@ -107,7 +108,7 @@ def recoded(token: Column, charset: str = "UTF-8") -> Column:
     raw = F.when(token.rlike(r"[\x80-\xff]") & ~token.rlike(r"[^\x00-\xff]"), F.encode(token, "ISO-8859-1"))
     if charset.upper() in ("UTF-8", "UTF8"):
         return F.coalesce(F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")), token)
-    return F.coalesce(F.decode(raw, charset), token)
+    return F.when(raw.isNull(), token).otherwise(recoder(charset)(token))
 
 
 def convert_encoding(table: DataFrame, charset: str = "UTF-8") -> DataFrame:

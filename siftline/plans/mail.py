@@ -300,7 +300,7 @@ def format_directives(spark, sf_dir):
     dates = read(spark, sf_dir, "messages").select(F.col("msg_id").alias("id"), F.coalesce("ingested_at", "received_at").alias("at"))
     rows = rows.join(dates, "id").withColumn("n_messages", F.lit(3))
     f = render.fields(p, log_tag="night", run_type="s", user="mail", date=F.col("at"))
-    return rows.select(F.col("id").alias("msg_id"), render.render("%D %l %r %u %m %v", f).alias("line"), render.render("%g|%.3g|%-8c|%8c|%.3c|%9.3f|%.2o", f).alias("numbers"))
+    return rows.select(F.col("id").alias("msg_id"), render.render("%D %l %r %u %m %v", f).alias("line"), render.render("%g|%.8g|%-8c|%8c|%.3c|%9.3f|%.2o", f).alias("numbers"))
 
 
 def pass_through(spark, sf_dir):
@@ -609,7 +609,7 @@ ORACLE |= {
     "url_escapes": r"""SELECT DISTINCT part_id, url_decode(url) AS url FROM (SELECT part_id, unnest(regexp_extract_all(msg, 'https?:(//[^\s<>"]+)', 1)) AS url FROM mime_parts)""",
     "message_parts": rf"""WITH t AS (SELECT msg_id, replace(raw, chr(13) || chr(10), chr(10)) AS t FROM messages) SELECT msg_id, 1 AS part_no, 0 AS depth, coalesce(nullif(lower(trim(regexp_extract(regexp_split_to_array(t || chr(10), '\n[ \t]*\n')[1], '(?im)^content-type:([^;\n]*)', 1))), ''), 'text/plain') AS mime_type, length(regexp_extract(t, '(?s)^.*?\n[ \t]*\n(.*)$', 1)) AS chars FROM t""",
     "format_directives": f"""WITH {_Z} SELECT id AS msg_id, strftime(coalesce(ingested_at, received_at), '%Y-%m-%dT%H:%M:%SZ') || ' night s mail 3 1' AS line,
-      printf('%g', s) || '|' || printf('%.3g', s) || '|' || rpad(status, greatest(8, length(status))::INT, ' ') || '|' || lpad(status, greatest(8, length(status))::INT, ' ') || '|' || status[1:3] || '|' || printf('%9.3f', s) || '|' || '{P.spam_cutoff:.2f}' AS numbers FROM z JOIN messages ON id = msg_id""",
+      printf('%g', s) || '|' || printf('%.8g', s) || '|' || rpad(status, greatest(8, length(status))::INT, ' ') || '|' || lpad(status, greatest(8, length(status))::INT, ' ') || '|' || status[1:3] || '|' || printf('%9.3f', s) || '|' || '{P.spam_cutoff:.2f}' AS numbers FROM z JOIN messages ON id = msg_id""",
     "pass_through": rf"""WITH {_Z}, t AS (SELECT msg_id, regexp_replace(replace(raw, chr(13) || chr(10), chr(10)), '(?m)^X-Bogosity[^\n]*\n(?:[ \t][^\n]*\n)*', '', 'g') AS t FROM messages), h AS (SELECT msg_id, t, regexp_extract(t, '^((?:[^\n]+\n?)*)', 1) AS head FROM t)
       SELECT msg_id, CASE WHEN status = 'Ham' THEN head ELSE regexp_replace(head, '(?im)^(subject:)[ ]?', '\1 [' || lower(status) || '] ') END || CASE WHEN head = '' OR head LIKE '%' || chr(10) THEN '' ELSE chr(10) END || 'X-Bogosity: ' || status || ', tests=bayes, spamicity=' || printf('%.6f', s) || chr(10) || CASE WHEN length(t) = length(head) THEN chr(10) ELSE substr(t, length(head) + 1) END AS raw FROM h JOIN z ON id = msg_id""",
 }

@@ -169,3 +169,32 @@ def test_parts_are_decoded_tagged_and_filtered(spark):
     assert not {"nothing", "rcvd:ABC", "to:inner", "zz", "head:zz"} & set(got)
     assert stream(spark, "X: naïve\n\nnaïve\n", replace_nonascii=True, header_line_markup=False)[-1] == "na??ve"
     assert stream(spark, "") == [] and stream(spark, None) in ([], None)
+
+
+def test_stores_open_by_what_they_are(spark, tmp_path):
+    (tmp_path / "box").write_text("From a\nS: 1\n\none\n\nFrom b\nS: 2\n\ntwo\n")
+    (tmp_path / "dos").write_bytes(b"From a\r\nS: 3\r\n\r\nthree\r\n\r\nFrom b\r\nS: 4\r\n\r\nfour\r\n")
+    (tmp_path / "one").write_text("S: 5\n\nfive\n")
+    (tmp_path / "batch").write_bytes(b"#! rmail 11\nS: 6\n\nsix\n\n")
+    (tmp_path / "md" / "cur").mkdir(parents=True)
+    (tmp_path / "md" / "new").mkdir()
+    (tmp_path / "md" / "new" / "7").write_text("S: 7\n\nseven\n")
+    (tmp_path / "mh").mkdir()
+    (tmp_path / "mh" / "1").write_text("S: 8\n\neight\n")
+    names = ["box", "dos", "one", "batch", "md", "mh"]
+    assert [mailstores.store_kind(spark, str(tmp_path / n)) for n in names] == ["mbox", "mbox-crlf", "single", "rmail", "maildir", "mh"]
+    rows = mailstores.open_stores(spark, [str(tmp_path / n) for n in names])
+    got = mailstores.numbered(rows).collect()
+    assert sorted(r["raw"].partition("S: ")[2][0] for r in got) == list("12345678")
+    assert sorted(r["number"] for r in got) == [1] * 6 + [2] * 2 and not any("\r" in r["raw"] for r in got)
+    assert mailstores.open_stores(spark, []).count() == 0
+
+
+def test_general_format(spark):
+    from siftline.operators.render import render
+
+    values = [0.0, 1.0, 0.5, 0.00001, 1234567.0, 0.1234567, 99.9999999, 1e-10, 0.52]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[0] for r in df.select(render("%g", {"g": F.col("v")})).collect()]
+    assert got == ["%g" % v for v in values]
+    assert df.limit(1).select(render("%-6c|%6c|%.1c", {"c": F.lit("Ham")})).first()[0] == "Ham   |   Ham|H"

@@ -235,3 +235,18 @@ def test_train_on_error_registers_only_what_it_gets_wrong(spark):
     table = {r["token"]: (r["spam"], r["good"]) for r in train_on_error(tokens, labels, p, rounds=3, parts=4).collect()}
     assert 0 < table["pills"][0] < 20 and table["pills"][1] == 0 and 0 < table["meeting"][1] < 20
     assert train_on_error(tokens.limit(0), labels.limit(0), p, rounds=1, parts=2).count() == 0
+
+
+def test_long_lists_are_met_by_head_and_shuffle(spark):
+    tokens = spark.createDataFrame([(k, t) for k in range(20) for t in ("the", f"w{k % 7}", "unknown")], "id bigint, token string")
+    table = spark.createDataFrame([("the", 90, 80), *[(f"w{k}", k, 1) for k in range(7)]], "token string, good bigint, spam bigint")
+    rows = lambda df: sorted((r["id"], r["token"], r["good"], r["bad"]) for r in df.collect())
+    assert rows(score.with_counts(tokens, table, 9, 9, size=1)) == rows(score.with_counts(tokens, table, 9, 9, size=1 << 40, head=2))
+
+
+def test_raw_keys_become_text(spark):
+    rows = [("caf\u00c3\u00a9", 1, 2, 20200101), ("caf\u00e9", 3, 4, 20210101), ("\u00e9\u0448", 1, 0, 1), (".ENCODING", 1, 0, 5), ("plain", 1, 1, 1)]
+    t = spark.createDataFrame(rows, "token string, spam bigint, good bigint, date int")
+    got = {r["token"]: (r["spam"], r["good"], r["date"]) for r in wordlist.convert_encoding(t).collect()}
+    assert got == {"caf\u00e9": (4, 6, 20210101), "\u00e9\u0448": (1, 0, 1), "plain": (1, 1, 1), ".ENCODING": (2, 0, 20210101)}
+    assert spark.createDataFrame([("\u00ef\u00f0",)], "t string").select(wordlist.recoded(F.col("t"), "windows-1251")).first()[0] == "\u043f\u0440"

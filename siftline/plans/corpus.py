@@ -245,6 +245,7 @@ QUERIES = {
 }
 
 # --- the same in SQL, written apart ---------------------------------------------------------------
+# The character classes of tokens, addresses and amounts.
 _OCT = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
 RE_IP = rf"{_OCT}(?:\.{_OCT}){{3}}"
 _NOT = r""":$*<>;=()&%#@+|/\\{}^"?,\[\]"""
@@ -356,3 +357,22 @@ ORACLE |= {
     # exponents of one half: n degrees of freedom of half the sums, so 2 * y is the statistic with y halved
     "classify_esf": f"WITH {TRAINED}, {sql_rated(ESF)}, sums AS (SELECT id, coalesce(sum(CASE WHEN used THEN -ln(1 - fw) END), 0) / 2 AS yi, coalesce(sum(CASE WHEN used THEN -ln(fw) END), 0) / 2 AS yf, count(*) FILTER (used) AS n FROM rated GROUP BY id), t AS (SELECT id, n, {sql_half_tail('yi', 'n')} AS p0, {sql_half_tail('yf', 'n')} AS q0 FROM sums), pq AS (SELECT id, n, {_FLUSH('p0')} AS p, {_FLUSH('q0')} AS q FROM t), v AS (SELECT *, CASE WHEN n = 0 THEN {ESF.robx!r} WHEN p = 0 AND q = 0 THEN 0.5 ELSE q / (q + p) END AS s FROM pq) SELECT id AS doc_id, n AS n_used, round(p, 6) AS p_value, round(q, 6) AS q_value, round(s, 6) AS spamicity, CASE WHEN s >= 0.99 THEN 'Spam' WHEN s <= 0.45 THEN 'Ham' ELSE 'Unsure' END AS status FROM v",
 }
+
+
+def _sql_trained_on_error(rounds: int, parts: int) -> str:
+    """Step by step: a batch is scored with the counts so far, and what is wrong or unsure is added."""
+    steps = ["wl_0(token, spam, good) AS (SELECT '', 0, 0 WHERE FALSE)", "tot_0(ms, mg) AS (SELECT 0, 0)"]
+    for k in range(rounds * parts):
+        turn, part = divmod(k, parts)
+        here = f"floor(('0x' || substr(md5('{turn}:' || id), 1, 8))::UBIGINT * {parts} / 4294967296.0) = {part}"
+        rated = sql_rated(P).replace("FROM tok LEFT JOIN wl USING (token), tot)", f"FROM (SELECT tok.* FROM tok JOIN lab USING (id) WHERE {here}) tok LEFT JOIN wl_{k} wl USING (token), tot_{k})")
+        steps += [
+            f"s_{k} AS (WITH {rated}, {sql_scores('rated', P)} SELECT id, status FROM scored)",
+            f"e_{k} AS MATERIALIZED (SELECT id, is_spam FROM lab JOIN s_{k} USING (id) WHERE status <> CASE WHEN is_spam THEN 'Spam' ELSE 'Ham' END)",
+            f"wl_{k + 1} AS MATERIALIZED (SELECT token, sum(spam)::BIGINT AS spam, sum(good)::BIGINT AS good FROM (SELECT * FROM wl_{k} UNION ALL SELECT token, CASE WHEN is_spam THEN 1 ELSE 0 END, CASE WHEN is_spam THEN 0 ELSE 1 END FROM tok JOIN e_{k} USING (id)) GROUP BY token)",
+            f"tot_{k + 1} AS MATERIALIZED (SELECT ms + (SELECT count(*) FILTER (is_spam) FROM e_{k}) AS ms, mg + (SELECT count(*) FILTER (NOT is_spam) FROM e_{k}) AS mg FROM tot_{k})",
+        ]
+    return f"WITH {TOK}, {LAB}, {', '.join(steps)} SELECT * FROM wl_{rounds * parts}"
+
+
+ORACLE["train_on_error"] = _sql_trained_on_error(2, 3)

@@ -450,6 +450,7 @@ def _sql_rated(p: Params) -> str:
 _HEAD = r"""m AS (SELECT msg_id, regexp_split_to_array(replace(raw, chr(13) || chr(10), chr(10)) || chr(10), '\n[ \t]*\n')[1] AS head FROM messages),
 h AS (SELECT msg_id, unnest(regexp_extract_all(head, '(?m)^[^\s:]+:[^\n]*(?:\n[ \t][^\n]*)*')) AS line FROM m),
 hh AS (SELECT msg_id, regexp_extract(line, '^([^\s:]+):', 1) AS written, regexp_extract(line, '(?s)^[^\s:]+:(.*)$', 1) AS value FROM h WHERE lower(regexp_extract(line, '^([^\s:]+):', 1)) <> 'x-bogosity'),"""
+# The tags of headers, the headers of which only the name counts, what is skipped in header values.
 _HEADER_TOKENS = f"""{_HEAD}
 t AS (SELECT *, CASE lower(written) WHEN 'to' THEN 'to:' WHEN 'cc' THEN 'to:' WHEN 'from' THEN 'from:' WHEN 'return-path' THEN 'rtrn:' WHEN 'subject' THEN 'subj:' WHEN 'received' THEN 'rcvd:' END AS tag FROM hh),
 u AS (SELECT msg_id, coalesce(tag, 'head:') AS tag, unnest(regexp_extract_all(written, '{RE_WORD}')) AS token FROM t WHERE tag IS NULL

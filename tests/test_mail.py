@@ -190,6 +190,12 @@ def test_stores_open_by_what_they_are(spark, tmp_path):
     assert mailstores.open_stores(spark, []).count() == 0
 
 
+def test_quoted_printable_validity(spark):
+    rows = ["plain text\t=41\r\n", "a_b=41", "a b", "a?b", "na\u00efve", ""]
+    got = spark.createDataFrame([(t,) for t in rows], "t string").select(decode.qp_valid(F.col("t")), decode.qp_valid(F.col("t"), in_header=True)).collect()
+    assert [tuple(r) for r in got] == [(True, False), (True, True), (True, False), (True, False), (False, False), (True, True)]
+
+
 def test_general_format(spark):
     from siftline.operators.render import render
 

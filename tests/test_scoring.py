@@ -250,3 +250,26 @@ def test_raw_keys_become_text(spark):
     got = {r["token"]: (r["spam"], r["good"], r["date"]) for r in wordlist.convert_encoding(t).collect()}
     assert got == {"caf\u00e9": (4, 6, 20210101), "\u00e9\u0448": (1, 0, 1), "plain": (1, 1, 1), ".ENCODING": (2, 0, 20210101)}
     assert spark.createDataFrame([("\u00ef\u00f0",)], "t string").select(wordlist.recoded(F.col("t"), "windows-1251")).first()[0] == "\u043f\u0440"
+
+
+def test_running_sums_over_partitions(spark):
+    from siftline.common import running_before
+
+    rows = [("hot", k, k % 5) for k in range(300)] + [("b", 7, 1), ("b", 9, None), (None, 1, 4), (None, 2, 4)]
+    df = spark.createDataFrame(rows, "g string, at int, v int").repartition(7)
+    got = {(r["g"], r["at"]): (r["before"], r["n"]) for r in running_before(df, "g", ["at"], {"before": F.col("v"), "n": F.lit(1)}).collect()}
+    assert got["hot", 0] == (0, 0) and all(got["hot", k] == (sum(x % 5 for x in range(k)), k) for k in range(300))
+    assert got["b", 9] == (1, 1) and got[None, 2] == (4, 1) and len(got) == len(rows)
+    assert running_before(df.limit(0), "g", ["at"], {"before": F.col("v")}).count() == 0
+
+
+def test_quality_checks(spark):
+    scored = spark.createDataFrame([(False, 0.99)] * 3 + [(False, 0.1)] * 97 + [(True, 0.05)] + [(True, 0.9)] * 199, "is_spam boolean, spamicity double")
+    got = {r["class"]: (r["at"], round(r["score"], 6), r["suspicious"]) for r in tune.quality_checks(scored).collect()}
+    assert got == {"good": (1, 0.99, True), "spam": (2, 0.9, False)}
+    assert tune.quality_checks(scored.limit(0)).count() == 0
+
+
+def test_identical_lists_are_met_once(spark):
+    rows = [("r", "a", "a.db", 1), ("r", "a", "a.db", 1), ("r", "a", "a.db", 2), ("i", "a", "a.db", 1)]
+    assert wordlist.distinct_lists(spark.createDataFrame(rows, "list_type string, list_name string, file_name string, priority int")).count() == 3

@@ -140,7 +140,7 @@ class Splitter:
         if n <= self.limit:
             return [(0, len(text), n, 0, 0, text)]
         char_at, strength = self._places(text, tokens)
-        room = self.limit
+        room, sizes = self.limit, {}  # tokens of the pieces tried before: most stay as they are
         while room > self.overlap:
             cuts = self.balanced(n, -(-(n - self.overlap) // (room - self.overlap)), room, char_at, strength)
             if cuts is None:
@@ -149,7 +149,8 @@ class Splitter:
             for start, end, s in cuts:
                 a, b = int(char_at[start]), int(char_at[end]) if end < n else len(text)
                 piece = text[a:b]
-                size = len(self.encoding.encode_ordinary(piece))
+                if (size := sizes.get((a, b))) is None:
+                    size = sizes[a, b] = len(self.encoding.encode_ordinary(piece))
                 out.append((a, b, size, before - start if out else 0, s, piece))
                 before = end
             if all(x[2] <= self.limit for x in out):

@@ -7,11 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """At least one partition per core, for expensive work on inputs of a few large files; otherwise the input itself."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+from siftline.common import spread as spread  # for costly work on inputs of a few large files
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:

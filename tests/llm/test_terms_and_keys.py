@@ -27,6 +27,13 @@ def test_counts_and_marks(spark):
     assert tc.marked(tc.count_terms(counts(spark, []))).count() == 0
 
 
+def test_loading_in_parts_equals_loading_at_once(spark):
+    rows = lambda s: sorted(map(tuple, s.counts().collect()))
+    df = counts(spark, ROWS)
+    store = tc.load_and_update(df, F.col("msg_id") < "b")
+    assert rows(store) == rows(tc.count_terms(df)) and len(store._generations()) == 2 and store.totals().first()["records"] == 4
+
+
 def test_exact_share_is_not_common(spark):
     rows = [(f"m{k}", "k" if k < 4 else "other", 1, 0, 0, 1, 1) for k in range(10)]
     assert {r["term"]: r["mark"] for r in tc.marked(tc.count_terms(counts(spark, rows)), rare_below=1).collect()} == {"k": None, "other": "common"}
@@ -73,6 +80,11 @@ def test_what_looks_the_same(spark):
     assert pairs(spark, ["\u0449\u0443\u0442\u0430\u0431o\u0434o", "\u0449\u0443\u0442\u0430\u0431\u043e\u0434\u043e"]) == [(1, 2)]
 
 
+def test_what_made_keys_one(spark):
+    df = spark.createDataFrame([(k, w, "x", "y") for k, w in enumerate(["host", "h\u043est", "\uff48ost", "\u0441\u043e\u0440", "cop", "cop"])], WORDS)
+    assert {(r["a"], r["b"]): r["step"] for r in key_forms.key_pairs(df).collect()} == {("host", "h\u043est"): "repair", ("host", "\uff48ost"): "base", ("h\u043est", "\uff48ost"): "repair", ("cop", "\u0441\u043e\u0440"): "shape"}
+
+
 def test_key_edge_cases(spark):
     assert pairs(spark, []) == [] and pairs(spark, [None, None, "a", "a"]) == []
     assert pairs(spark, ["", " ", "\u200b"]) == [(1, 2), (1, 3), (2, 3)]

@@ -1,3 +1,4 @@
+import pickle
 import random
 from collections import Counter
 
@@ -70,6 +71,14 @@ def test_one_word_and_one_character(model):
     assert model.repair("price Â½ of it")[0]
 
 
+def test_what_a_worker_has_met_before_changes_nothing(model, corpus):
+    texts = [garbled.garble(t, garbled.CHAINS[3 * k % len(garbled.CHAINS)]) or t for k, t in enumerate(corpus[:40])] + corpus[:10]
+    model.learn(texts)
+    once = [model.repair(t) for t in texts]
+    fresh = pickle.loads(pickle.dumps(model))
+    assert [fresh.repair(t) for t in reversed(texts)] == once[::-1] == [model.repair(t) for t in reversed(texts)]
+
+
 def test_garble_many_equals_one_by_one(corpus):
     words = sorted({w for t in corpus for w in t.split()})
     for chain in garbled.CHAINS:
@@ -235,6 +244,18 @@ def test_packing(spark):
         pack.pack(docs(spark, []), [0])
 
 
+def test_the_curve_keeps_likes_together(spark):
+    rng = random.Random(5)
+    kinds = [[f"w{k}x{j}" for j in range(30)] for k in range(4)]
+    rows = [(k, " ".join(rng.choices(kinds[k % 4], k=25)), None) for k in range(400)] + [(None, "x", None), (900, None, None)]
+    got = {}
+    for shuffled in (False, True):
+        packed = pack.pack(docs(spark, rows), [512], window=16, most_open=4, shuffled=shuffled)
+        got[shuffled] = pack.locality(packed, docs(spark, rows)).first()
+    assert got[False]["similarity"] > 1.5 * got[True]["similarity"] and got[False]["fill"] > 0.8
+    assert pack.locality(pack.pack(docs(spark, []), [10]), docs(spark, [])).count() == 0
+
+
 def targets(spark, rows):
     return spark.createDataFrame(rows, "source string, target_share double, max_repeats int")
 

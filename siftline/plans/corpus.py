@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftline.common import checkpoint, read, running_before, spread
+from siftline.common import broadcast_if_small, checkpoint, read, running_before, spread
 from siftline.functions.prob import token_probability
 from siftline.operators import score, stats, tokenize, train, wordlist
 from siftline.params import Params
@@ -34,10 +34,12 @@ class Trained:
 
 def trained(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> Trained:
     """The count table of the labelled documents, or of those in known(id, is_spam). Every message also holds the totals' token, so one aggregate gives both."""
-    docs = spread(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    known = labels(spark, sf_dir) if known is None else known
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(docs.join(broadcast_if_small(known.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi"))  # only what is registered is tokenised
     found = F.array_distinct(tokenize.token_array(F.col("text"), P))
     held = docs.select(F.col("doc_id").alias("id"), found.alias("t")).where(F.size("t") > 0).select("id", F.explode(F.concat("t", F.array(F.lit(TOTALS)))).alias("token"))
-    table = checkpoint(wordlist.register(held, labels(spark, sf_dir) if known is None else known))
+    table = checkpoint(wordlist.register(held, known))
     of_totals = lambda c: F.max(F.when(F.col("token") == TOTALS, F.col(c)))
     one = table.agg(of_totals("good").alias("good"), of_totals("spam").alias("spam"), F.sum(F.octet_length("token") + 48).alias("size")).first()
     return Trained(table.where(F.col("token") != TOTALS), one["good"] or 0, one["spam"] or 0, one["size"] or 0)
@@ -99,7 +101,7 @@ def token_fw(spark, sf_dir):
 def token_lookup_probe(spark, sf_dir):
     """Counts and probability of the words of the part names, where the table knows them."""
     probes = read(spark, sf_dir, "msgcounts").where("key is not null").select(F.col("key").alias("token"))
-    return token_fw(spark, sf_dir).join(probes.distinct(), "token", "left_semi")
+    return wordlist.lookup(probes, token_fw(spark, sf_dir))
 
 
 def robx(spark, sf_dir):

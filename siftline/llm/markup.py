@@ -94,7 +94,7 @@ _BARE = re.compile(r"(?<![\w\\:])\\(?:item|maketitle|tableofcontents|centering|h
 _ACCENT = re.compile(r"\\(['\"`^~])\s*(?:\{\\?([A-Za-z])\}|\\?([A-Za-z]))")
 _ESCAPED = re.compile(r"(?<![\\\w:])\\([%&#_$])|(?<=\w)\\([%&$])")
 _LINE_BREAK = re.compile(r"\\\\(?:\[[^\]\n]*\])?[ \t]*(?=\n|$)")
-_MATH = re.compile(r"\\\((.+?)\\\)|\\\[(.+?)\\\]|\$\$(.+?)\$\$", re.S)
+_MATH = re.compile(r"\\\(((?:(?!\\\().)+?)\\\)|\\\[((?:(?!\\\[).)+?)\\\]|\$\$(.+?)\$\$", re.S)
 _DOLLARS = re.compile(r"(?<![\w$\\])\$(?=[^\s$])([^$\n]++)(?<![\s\\])\$(?![\w$])")
 _MATH_INNER = re.compile(r"\\[A-Za-z]|[\^_{}]|^[A-Za-z]$|^[A-Za-z0-9 ]*[=<>+/-] ?[A-Za-z0-9 .]+$")
 _BEGIN = re.compile(r"^\s*\\begin\{([A-Za-z]+)\*?\}")
@@ -106,7 +106,7 @@ _MARKS = {"'": "\u0301", "`": "\u0300", '"': "\u0308", "^": "\u0302", "~": "\u03
 _ITEM = re.compile(r"^\s*\\item(?:\[([^\]]*)\])?\s*(.*)$")
 _LIST = re.compile(r"^(\s*)([-*+\u2022]|\*{2,}|#{2,}|#(?=[^#]*$)|\d{1,3}[.)])[ \t]+(\S.*)$")
 _WORDS = re.compile(r"[^\W\d_]+")
-_ADDRESS = re.compile(r"(?:https?|ftp)://\S+|www\.\S+|\S+@\S+\.\S+")
+_URL = re.compile(r"(?:https?|ftp)://\S+|www\.\S+")
 
 
 @dataclass
@@ -248,6 +248,16 @@ def _commands(text: str, found: Counter) -> str:
     return "".join(stack[0][2]) + tail
 
 
+def _addresses(text: str) -> int:
+    """Characters of URLs and mail addresses."""
+    n = sum(len(x) for x in _URL.findall(text))
+    if "@" in text:
+        for word in text.split():
+            local, _, host = word.partition("@")
+            n += len(word) if local and "." in host[1:-1] and not _URL.search(word) else 0
+    return n
+
+
 def _inline(text: str, found: Counter) -> tuple[str, int]:
     """Text without inline markup, and how many of its characters were link text."""
     links = 0
@@ -295,7 +305,7 @@ def _inline(text: str, found: Counter) -> tuple[str, int]:
         text = _BARE.sub(count("latex", lambda m: ""), text)
         text = _ESCAPED.sub(count("latex", lambda m: m.group(1) or m.group(2)), text)
         text = _LINE_BREAK.sub(count("latex", lambda m: ""), text)
-    links += sum(len(x) for x in re.findall(f"{_Html.LINK}([^{_Html.LINKED}]*)", text)) + sum(len(x) for x in _ADDRESS.findall(text))
+    links += sum(len(x) for x in re.findall(f"{_Html.LINK}([^{_Html.LINKED}]*)", text)) + _addresses(text)
     text = text.replace(_Html.LINK, "").replace(_Html.LINKED, "")
     return re.sub("\ue010(\\d+)\ue011", lambda m: kept[int(m.group(1))], text), links
 

@@ -252,7 +252,7 @@ def test_the_curve_keeps_likes_together(spark):
     for shuffled in (False, True):
         packed = pack.pack(docs(spark, rows), [512], window=16, most_open=4, shuffled=shuffled)
         got[shuffled] = pack.locality(packed, docs(spark, rows)).first()
-    assert got[False]["similarity"] > 1.5 * got[True]["similarity"] and got[False]["fill"] > 0.8
+    assert got[False]["similarity"] > got[True]["similarity"] + 0.05 and got[False]["fill"] > 0.8
     assert pack.locality(pack.pack(docs(spark, []), [10]), docs(spark, [])).count() == 0
 
 

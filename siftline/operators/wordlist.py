@@ -120,7 +120,7 @@ def convert_encoding(table: DataFrame, charset: str = "UTF-8") -> DataFrame:
 
 def distinct_lists(registry: DataFrame) -> DataFrame:
     """Lists of the same type, priority, name and file are met once."""
-    return registry.dropDuplicates(["list_type", "priority", "list_name", "file_name"])
+    return registry.dropDuplicates([c for c in ("list_type", "priority", "list_name", "file_name") if c in registry.columns])
 
 
 def upgrade_prefix(table: DataFrame, octets_only: bool = False) -> DataFrame:

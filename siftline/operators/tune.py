@@ -245,6 +245,7 @@ def threshold(scores: DataFrame) -> tuple[int, float]:
 
 def quality_checks(scored: DataFrame, share: float = 0.01) -> DataFrame:
     """class, at, score, suspicious: the score at the place of `share` among the highest good and the lowest spam scores of (is_spam, spamicity); suspicious where messages look wrongly filed."""
+    scored = checkpoint(scored.select("is_spam", "spamicity"))
     n = scored.agg(F.count_if(~F.col("is_spam")).alias("g"), F.count_if("is_spam").alias("s")).first()
     spark, out = scored.sparkSession, []
     for name, count, rows in (("good", n["g"], scored.where("not is_spam")), ("spam", n["s"], scored.where("is_spam").withColumn("spamicity", 1 - F.col("spamicity")))):

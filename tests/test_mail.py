@@ -122,13 +122,13 @@ def stream(spark, raw, **settings):
     return tokenize.token_stream(df, "id", "raw", Params(**settings)).first()["tokens"]
 
 
-HEAD_AND_BODY = "From somebody@bogofilter.org\nTo:  somebody-else@bogofilter.org\n\nThis is a test\n"
+HEAD_AND_BODY = "From somebody@mail.example\nTo:  somebody-else@mail.example\n\nThis is a test\n"
 
 
 @pytest.mark.parametrize("n, want", [
-    (1, "From:somebody bogofilter.org | somebody-else bogofilter.org | This is test"),
-    (2, "From somebody From*somebody bogofilter.org somebody*bogofilter.org | somebody-else bogofilter.org somebody-else*bogofilter.org | This is This*is test is*test"),
-    (3, "From somebody From*somebody bogofilter.org somebody*bogofilter.org From*somebody*bogofilter.org | somebody-else bogofilter.org somebody-else*bogofilter.org | This is This*is test is*test This*is*test"),
+    (1, "From:somebody mail.example | somebody-else mail.example | This is test"),
+    (2, "From somebody From*somebody mail.example somebody*mail.example | somebody-else mail.example somebody-else*mail.example | This is This*is test is*test"),
+    (3, "From somebody From*somebody mail.example somebody*mail.example From*somebody*mail.example | somebody-else mail.example somebody-else*mail.example | This is This*is test is*test This*is*test"),
 ])
 def test_golden_ngrams_of_headers(spark, n, want):
     parts = want.replace(":", " ").split(" | ")

@@ -2,9 +2,11 @@
 
 A chain (written in, read as) turns bytes of one encoding into characters of another, once or twice.
 A multinomial classifier tells chains from clean text: its features are hashed byte bigrams of the
-UTF-8 form, of which only those with a non-ASCII byte count; it is fitted on a bounded sample of the
-collection (SAMPLE records), garbled synthetically by every chain. The sample holds some garbled
-records itself; they are taken out with the first fit and the second fit uses the rest.
+UTF-8 form, of which only those with a non-ASCII byte count; it is fitted on the non-ASCII words of all
+records, each as often as it occurs, garbled synthetically by every chain. The collection holds some garbled
+records itself; they are taken out with the first fit and the second fit uses the rest. Records with a replacement
+character are no clean text and are left out of both. Words are counted by one aggregation and garbled once each;
+the counts are whole numbers, so their sums, and with them the model, don't depend on how rows are spread.
 
 A text is scored word by word: the log odds of every chain against clean text, minus infinity where
 the word can't be inverted strictly through the chain, or where the restored word is no likelier in clean text
@@ -30,20 +32,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from siftline.llm.util import spread
 
-SAMPLE = 4000
 THRESHOLD = 7.0
 #: Added to every bigram count.
 FLOOR = 0.3
 _BINS = 1 << 16
 
-ONE_BYTE = ["cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp437", "cp850", "mac-roman", "cp866"]
+ONE_BYTE = ["cp1252", "latin-1", "cp1250", "iso8859-2", "cp1251", "koi8-r", "cp437", "cp850", "mac-roman", "cp866", "cp852"]
 MANY_BYTES = ["utf-8", "gbk", "shift_jis", "euc-jp"]
 # Steps whose characters differ enough to leave a trace; the two Western pairs differ only in 0x80-0x9F.
-STEPS = [(o, r) for o in MANY_BYTES + ONE_BYTE + ["cp852"] for r in ONE_BYTE + ["gbk"] if o != r]
+STEPS = [(o, r) for o in MANY_BYTES + ONE_BYTE for r in ONE_BYTE + ["gbk"] if o != r]
 CHAINS: list[tuple[tuple[str, str], ...]] = [(s,) for s in STEPS] + [
     (("utf-8", r), ("utf-8", r)) for r in ("cp1252", "latin-1", "cp1250", "cp1251", "koi8-r", "cp437", "mac-roman")
 ]
@@ -53,7 +54,9 @@ PENALTY = np.array([0.0 if c[0][0] == "utf-8" else THRESHOLD if c[0][0] in MANY_
 PARTLY = [k for k, c in enumerate(CHAINS) if len(c) == 1 and c[0][0] == "utf-8" and c[0][1] in ONE_BYTE]
 _PARTLY = frozenset(PARTLY)
 _SEQUENCES = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
+_CONTROL = re.compile(r"[\x80-\x9f]")
 _RUN = re.compile(r"[^\x00-\x7f]+")
+_NON_ASCII = r"[^\x00-\x7f]"
 _WORD = re.compile(r"[^ \t\r\n\f\v]+")
 
 
@@ -133,13 +136,19 @@ def invert(text: str, chain: tuple[tuple[str, str], ...]) -> str | None:
     return was if was != text and not any("\x80" <= c < "\xa0" for c in was) and garble(was, chain) == text else None
 
 
+def _pair_bins(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed bigrams of bytes a and b; whether they have a non-ASCII byte."""
+    a, b = a.astype(np.uint32), b.astype(np.uint32)
+    return ((a * np.uint32(0x9E3B) + b * np.uint32(0x85EBCA6B)) >> np.uint32(3)) % np.uint32(_BINS), (a | b) > 127
+
+
 def _bins(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashed bigram of each position but the last; whether it has a non-ASCII byte."""
-    a, b = raw[:-1].astype(np.uint32), raw[1:].astype(np.uint32)
-    return ((a * np.uint32(0x9E3B) + b * np.uint32(0x85EBCA6B)) >> np.uint32(3)) % np.uint32(_BINS), (a | b) > 127
+    return _pair_bins(raw[:-1], raw[1:])
 
 
-_CHAR_BINS = 1 << 20
+#: So many that in a large collection few triples share a bin with a frequent one.
+_CHAR_BINS = 1 << 22
 
 
 def _char_bins(padded: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,21 +165,16 @@ def _char_bins(padded: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return bins[0], bins[1:3], bins[3]
 
 
-def _char_counts(words: Counter[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts by bin: triples; pairs and single characters together; and log probabilities of byte steps."""
-    steps = np.full((256, 256), 0.05)
-    triples, pairs = np.zeros(_CHAR_BINS, np.float32), np.zeros(_CHAR_BINS, np.float32)
-    if words:
-        listed = list(words)
-        weight = np.repeat(np.fromiter(words.values(), np.float32, len(words)), [len(w) + 3 for w in listed])
-        three, two, one = _char_bins("".join(f"  {w} " for w in listed))
-        np.add.at(triples, three, weight[2:])
-        np.add.at(pairs, two[0], weight[2:])
-        np.add.at(pairs, one, weight[2:])
-        raw = np.frombuffer("".join(f" {w} " for w in listed).encode("utf-8", "replace"), np.uint8)
-        by_byte = np.repeat(np.fromiter(words.values(), float, len(words)), [len(w.encode("utf-8", "replace")) + 2 for w in listed])
-        np.add.at(steps, (raw[:-1], raw[1:]), by_byte[1:])
-    return triples, pairs, np.log(steps / steps.sum(1, keepdims=True))
+def _count_chars(words: dict[str, int], triples: np.ndarray, pairs: np.ndarray, steps: np.ndarray) -> None:
+    """Add counts by bin: triples; pairs and single characters together; and those of byte steps, 256 x 256 in a row."""
+    listed, n = list(words), np.fromiter(words.values(), float, len(words))
+    weight = np.repeat(n, [len(w) + 3 for w in listed])  # a word's own, up to the two spaces before the next
+    three, two, one = _char_bins("".join(f"  {w} " for w in listed) + "  ")
+    np.add.at(triples, three, weight)
+    np.add.at(pairs, two[0], weight)
+    np.add.at(pairs, one, weight)
+    raw = np.frombuffer(("".join(f" {w} " for w in listed) + " ").encode("utf-8", "replace"), np.uint8).astype(np.int64)
+    np.add.at(steps, raw[:-1] * 256 + raw[1:], np.repeat(n, [len(w.encode("utf-8", "replace")) + 2 for w in listed]))
 
 
 class _Word:
@@ -338,8 +342,8 @@ class Model:
                 self.words[w] = _Word(runs[starts[k] : ends[k]].copy(), held + k)
             at = end
 
-    def best(self, text: str) -> tuple[float, int, list[tuple[int, int, str]]]:
-        """(log odds, chain, restored words as (start, end, text)) of the best run of words."""
+    def best(self, text: str, any_will_do: bool = False) -> tuple[float, int, list[tuple[int, int, str]]]:
+        """(log odds, chain, restored words as (start, end, text)) of the best run of words; of any run found, with no word restored, if any will do."""
         spans = [m.span() for m in _WORD.finditer(text) if not m.group().isascii()]
         if not spans or not self.odds.shape[1]:
             return 0.0, -1, []
@@ -396,6 +400,8 @@ class Model:
                     run, start = 0.0, k + 1
                 elif (value := float(run - PENALTY[c])) > THRESHOLD and (value > top[0] + 1e-6 or c < top[1] and value > top[0] - 1e-6):
                     top = (value, c, start, k)
+                    if any_will_do:
+                        return value, c, []
         odds, c, a, b = top
         if c < 0:
             return odds, -1, []
@@ -407,6 +413,10 @@ class Model:
                     changed.append((*spans[k], was))
         return odds, c, changed
 
+    def is_garbled(self, text: str) -> bool:
+        """Whether best() finds a chain."""
+        return self.best(text, True)[1] >= 0
+
     def repair(self, text: str | None) -> tuple[bool, str | None, list[int], float]:
         """(garbled, the restored text or None, chains found, log odds of the first)."""
         if not text or text.isascii():
@@ -439,11 +449,8 @@ def _counted(words: Counter[str]) -> np.ndarray:
 
 
 def _words(texts: list[str]) -> Counter[str]:
-    """Non-ASCII words, each counted at most four times a text; endless ones tell nothing about words."""
-    words: Counter[str] = Counter()
-    for t in texts:
-        words.update({w: min(n, 4) for w, n in Counter(w for w in _WORD.findall(t) if not w.isascii() and len(w) < 2000).items()})
-    return words
+    """Non-ASCII words."""
+    return Counter(w for t in texts for w in _WORD.findall(t) if not w.isascii())
 
 
 def _count_chain(words: dict[str, int], chain: tuple[tuple[str, str], ...] | None) -> np.ndarray:
@@ -457,84 +464,173 @@ def _count_chain(words: dict[str, int], chain: tuple[tuple[str, str], ...] | Non
     return _counted(made)
 
 
-def _chain_counts(words: Counter[str]) -> list[np.ndarray]:
-    """Bigram counts of the words themselves, then of their garbled forms by chain."""
-    return [_count_chain(words, chain) for chain in (None, *CHAINS)]
+#: What is counted, as a row of tables: bigrams of the words themselves, of their garbled forms by chain, character triples, pairs, byte steps.
+_SIZES = [_BINS] * (1 + len(CHAINS)) + [_CHAR_BINS, _CHAR_BINS, 256 * 256]
+#: Characters of words counted at once.
+_COUNTED_AT_ONCE = 1 << 17
 
 
-def _model(counts: list[np.ndarray], words: Counter[str]) -> Model:
-    # every chain starts from the same words, so all share one total: what a chain can't take counts against it
-    base, odds = np.log(counts[0] + FLOOR), np.empty((_BINS, len(CHAINS)), np.float32)
-    for c, n in enumerate(counts[1:]):
-        odds[:, c] = (np.log(n + FLOOR) - base).astype(np.float16)  # as it is broadcast
-    return Model(odds, *_char_counts(words))
+def _count(words: dict[str, int], into: list[np.ndarray]) -> list[np.ndarray]:
+    """Add what the words count to the tables of _SIZES."""
+    part, size = {}, 0
+    for w, n in words.items():
+        part[w] = n
+        size += len(w)
+        if size >= _COUNTED_AT_ONCE:
+            _count_part(part, into)
+            part, size = {}, 0
+    if part:
+        _count_part(part, into)
+    return into
+
+
+@lru_cache(None)
+def _shown(chain: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How a chain that reads one-byte charsets shows each byte, in UTF-8: first bytes, last bytes, and rows (byte shown, a, b) of the bigrams within."""
+    shown = [garble(ch, chain[1:]).encode() for ch in _char_of(chain[0][1])]
+    within = [(byte, *ab) for byte, s in enumerate(shown) for ab in zip(s, s[1:], strict=False)]
+    return np.array([s[0] for s in shown]), np.array([s[-1] for s in shown]), np.array(within)
+
+
+def _count_shown(pairs: np.ndarray, chain: tuple[tuple[str, str], ...]) -> np.ndarray:
+    """Bigram counts of what a chain that reads one-byte charsets shows, from the counts of pairs of the bytes first written."""
+    first, last, within = _shown(chain)
+    at = np.flatnonzero(pairs)
+    each = np.bincount(at >> 8, pairs[at], 256)
+    bins, counts = _pair_bins(np.append(last[at >> 8], within[:, 1]), np.append(first[at & 255], within[:, 2]))
+    return np.bincount(bins[counts], np.append(pairs[at], each[within[:, 0]])[counts], _BINS)
+
+
+def _count_part(words: dict[str, int], into: list[np.ndarray]) -> None:
+    """As _count_chain() of every chain, but words are written once a charset, and what one-byte charsets make of the bytes follows from their pairs."""
+    into[0] += _count_chain(words, None)
+    for written in dict.fromkeys(c[0][0] for c in CHAINS):
+        one_byte, raws, n = written not in MANY_BYTES, [], []
+        for w, times in words.items():
+            if one_byte and _CONTROL.search(w):  # as in garble_all()
+                continue
+            try:
+                raws.append(w.encode(written))
+            except UnicodeEncodeError:
+                continue
+            n.append(times)
+        raw = np.frombuffer(b" " + b" ".join(raws) + b" ", np.uint8)
+        pair = raw[:-1].astype(np.int64) * 256 + raw[1:]
+        owner, weight = np.minimum(np.cumsum(raw == 32)[:-1] - 1, len(n) - 1), np.array(n, float)
+        for k, chain in enumerate(CHAINS, 1):
+            read = chain[0][1]
+            if chain[0][0] != written or not raws:
+                continue
+            if read not in ONE_BYTE:
+                into[k] += _count_chain(words, chain)
+                continue
+            times = weight
+            if one_byte:  # a word shown as it is counts nothing; more bytes a character always show
+                moved = np.array([a != b for a, b in zip(_char_of(written), _char_of(read), strict=True)])
+                times = weight * (np.bincount(owner, moved[raw[:-1]], len(n)) > 0)
+            into[k] += _count_shown(np.bincount(pair, times[owner], 1 << 16), chain)
+    _count_chars(words, *into[-3:])
+
 
+def _zeros() -> list[np.ndarray]:
+    return [np.zeros(n) for n in _SIZES]
 
-def _garbled_words(model: Model, texts: list[str]) -> Counter[str]:
-    return _words([t for t in texts if model.best(t)[1] >= 0])
 
+def _model(counts: list[np.ndarray] | None) -> Model:
+    """The model of the tables of _SIZES; None: nothing to learn from."""
+    *chains, triples, pairs, steps = counts or _zeros()
+    # every chain starts from the same words, so all share one total: what a chain can't take counts against it
+    base, odds = np.log(chains[0] + FLOOR), np.empty((_BINS, len(CHAINS) if counts else 0), np.float32)
+    for c in range(odds.shape[1]):
+        odds[:, c] = (np.log(chains[c + 1] + FLOOR) - base).astype(np.float16)  # as it is broadcast
+    follow = steps.reshape(256, 256) + 0.05
+    return Model(odds, triples.astype(np.float32), pairs.astype(np.float32), np.log(follow / follow.sum(1, keepdims=True)))
 
-def fit(texts: list[str], chain_counts=_chain_counts, garbled_words=_garbled_words) -> Model:
-    """The model of a sample of texts, fitted again without what it finds garbled itself."""
+
+def fit(texts: list[str]) -> Model:
+    """The model of texts, fitted again without what it finds garbled itself."""
     texts = [t for t in texts if t and not t.isascii() and "\ufffd" not in t]
     if not texts:
-        return Model(np.zeros((_BINS, 0), np.float32), *_char_counts(Counter()))
-    words = _words(texts)
-    counts = chain_counts(words)
-    garbled = garbled_words(_model(counts, words), texts)
-    words.subtract(garbled)
-    words = +words
-    return _model([np.maximum(a - b, 0) for a, b in zip(counts, chain_counts(garbled), strict=True)], words)
+        return _model(None)
+    counts = _count(_words(texts), _zeros())
+    first = _model(counts)
+    garbled = _count(_words([t for t in texts if first.is_garbled(t)]), _zeros())
+    return _model([a - b for a, b in zip(counts, garbled, strict=True)])
+
 
+def _packed(tables: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """One row a table: its bins that aren't empty and their counts, compressed."""
+    for k, n in tables:
+        at = np.flatnonzero(n)
+        cols = [pa.array([k], pa.int32()), *(pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in (at.astype(np.int32), n[at]))]
+        yield pa.RecordBatch.from_arrays(cols, ["k", "bins", "n"])
 
-def fit_on(spark: SparkSession, texts: list[str]) -> Model:
-    """fit() with its two costly steps spread over the cluster: chains over tasks, then the sample's texts over tasks. Both are bounded by the sample."""
-    slots = min(2 * spark.sparkContext.defaultParallelism, 64)
 
-    def chain_counts(words: Counter[str]) -> list[np.ndarray]:
-        shared = spark.sparkContext.broadcast(dict(words))
+def _add_packed(table: np.ndarray, bins: bytes, n: bytes) -> None:
+    table[np.frombuffer(zlib.decompress(bins), np.int32)] += np.frombuffer(zlib.decompress(n))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for c in b.column(0).to_pylist():
-                    n = _count_chain(shared.value, None if c == 0 else CHAINS[c - 1])
-                    at = np.flatnonzero(n)
-                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int64()), pa.array([at.astype(np.int32)], pa.list_(pa.int32())), pa.array([n[at]], pa.list_(pa.float64()))], ["c", "bins", "n"])
 
-        out = [np.zeros(_BINS) for _ in range(len(CHAINS) + 1)]
-        for r in spark.range(0, len(CHAINS) + 1, 1, slots).mapInArrow(run, "c long, bins array<int>, n array<double>").collect():  # one row a chain
-            out[r["c"]][r["bins"]] = r["n"]
-        shared.destroy()
-        return out
+_PACKED = "k int, bins binary, n binary"
 
-    def garbled_words(model: Model, texts: list[str]) -> Counter[str]:
-        shared = spark.sparkContext.broadcast(model)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                some = b.column(0).to_pylist()
-                shared.value.learn(some)
-                yield b.filter(pa.array([shared.value.best(t)[1] >= 0 for t in some], pa.bool_()))
+def _count_on(texts: DataFrame) -> list[np.ndarray] | None:
+    """The tables of _SIZES of the words of all texts (column t), None without a word.
 
-        rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(slots).mapInArrow(run, "t string").collect()  # part of the sample
-        shared.destroy()
-        return _words([r["t"] for r in rows])
+    Each distinct word goes to one task; tasks send their tables, of fixed size, to those that add them up by table.
+    """
+    tasks = 2 * texts.sparkSession.sparkContext.defaultParallelism
+    non_ascii = F.filter(F.split("t", r"[ \t\r\n\f\x0B]+"), lambda w: w.rlike(_NON_ASCII))
+    words = texts.select(F.explode(non_ascii).alias("w")).groupBy("w").agg(F.count("*").alias("n")).repartition(tasks)
 
-    return fit(texts, chain_counts, garbled_words)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = None
+        for b in batches:
+            tables = _count(dict(zip(*(c.to_pylist() for c in b.columns), strict=True)), tables or _zeros())
+        yield from _packed(enumerate(tables or []))
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, bins, n in zip(*b.columns, strict=True):
+                _add_packed(tables.setdefault(k.as_py(), np.zeros(_SIZES[k.as_py()])), bins.as_py(), n.as_py())
+        yield from _packed(tables.items())
+
+    rows = words.mapInArrow(count, _PACKED).repartition(tasks, "k").mapInArrow(add, _PACKED).collect()  # one row a table
+    tables = _zeros()
+    for r in rows:
+        _add_packed(tables[r["k"]], r["bins"], r["n"])
+    return tables if rows else None
+
+
+def fit_on(df: DataFrame, text_col: str) -> Model:
+    """fit() of all texts of a table."""
+    spark = df.sparkSession
+    texts = df.select(F.col(text_col).alias("t")).where(F.col("t").rlike(_NON_ASCII) & ~F.contains("t", F.lit("\ufffd")))
+    counts = _count_on(texts)
+    if counts is None:
+        return _model(None)
+    first = spark.sparkContext.broadcast(_model(counts))  # fixed size: bins x chains
+
+    def garbled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held, found = b.column(0).to_pylist(), []
+            for at in range(0, len(held), 256):
+                first.value.learn(held[at : at + 256])
+                found += map(first.value.is_garbled, held[at : at + 256])
+            yield b.filter(pa.array(found, pa.bool_()))
 
-def sample_texts(df: DataFrame, id_col: str, text_col: str, bound: int = SAMPLE) -> list[str]:
-    """At most `bound` non-ASCII texts, those with the smallest hash of id and text."""
-    some = df.select(F.col(text_col).alias("t"), F.xxhash64(id_col, text_col).alias("h")).where(F.col("t").rlike("[^\\x00-\\x7f]"))
-    return [r["t"] for r in some.orderBy("h", "t").limit(bound).select("t").collect()]
+    for table, n in zip(counts, _count_on(spread(texts).mapInArrow(garbled, "t string")) or [], strict=False):
+        table -= n
+    first.destroy()
+    return _model(counts)
 
 
 OUT = "id long, garbled boolean, written_in string, read_as string, odds double, restored string"
 
 
-def find_garbled(df: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> DataFrame:
+def find_garbled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, garbled, written_in, read_as (the steps of the chain, joined by >), odds, restored, of every row."""
-    model = df.sparkSession.sparkContext.broadcast(fit_on(df.sparkSession, sample_texts(df, id_col, text_col, sample)))  # fixed size: bins x chains
+    model = df.sparkSession.sparkContext.broadcast(fit_on(df, text_col))  # fixed size: bins x chains
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value

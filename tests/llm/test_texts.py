@@ -85,6 +85,31 @@ def test_garble_many_equals_one_by_one(corpus):
         assert garbled.garble_all(words, chain) == [garbled.garble(w, chain) for w in words]
 
 
+def test_what_was_read_as_cp852_comes_back(model):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(WORDS["pl"].split()) for _ in range(12)) for _ in range(20)]
+    found = [model.repair(garbled.garble(t, (("cp1250", "cp852"),))) for t in texts]
+    assert all(f[0] for f in found) and np.mean([f[1] == t for t, f in zip(texts, found, strict=True)]) >= 0.8
+
+
+def test_pairs_of_bytes_count_what_each_chain_shows(corpus):
+    words = Counter(w for t in corpus for w in t.split() if not w.isascii()) + Counter({"¥ｱﾄ‾é": 3, "漢字": 2, "é": 5, "\x85x": 2, "x\xa0y": 3, "😀": 4})
+    counts = garbled._count(words, garbled._zeros())
+    assert [c for n, c in zip(counts, (None, *garbled.CHAINS), strict=False) if not np.array_equal(n, garbled._count_chain(words, c))] == []
+
+
+def test_the_model_rests_on_every_text(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(w.split()) for _ in range(3)) for w in WORDS.values() for _ in range(860)]
+    texts += ["für " * 9, "ü" * 2500] + [garbled.garble(t, garbled.CHAINS[k]) or t for k, t in enumerate(texts[:40])]
+    whole = garbled.fit(texts)
+    want = {k: found[3] for k, t in enumerate(texts) if (found := whole.repair(t))[0]}
+    rows = docs(spark, [(k, t, None) for k, t in enumerate(texts)])
+    for tasks in (3, 7):
+        assert {r["id"]: r["odds"] for r in garbled.find_garbled(rows.repartition(tasks), "doc_id", "text").where("garbled").collect()} == want != {}
+    assert garbled._words(["für " * 9, "ü" * 2500]) == {"für": 9, "ü" * 2500: 1}
+
+
 def test_garbled_edge_cases(spark, corpus):
     rows = [(k, t, None) for k, t in enumerate(corpus)] + [(900, None, None), (901, "", None), (902, "ascii only", None), (903, "lost \ufffd bytes", None), (None, "löst Türhaus fÃ¼r", None), (905, "für " * 20_000, None), (905, "für " * 20_000, None)]
     got = {r["id"]: r for r in garbled.find_garbled(docs(spark, rows), "doc_id", "text").where("garbled or id >= 900 or id is null").collect()}
